@@ -1,3 +1,4 @@
 """Imports all plan modules (registration side effect)."""
 
 from flowlens.plans import q_labels  # noqa: F401
+from flowlens.plans import q_clean  # noqa: F401
