@@ -3,3 +3,4 @@
 from flowlens.plans import q_labels  # noqa: F401
 from flowlens.plans import q_clean  # noqa: F401
 from flowlens.plans import q_profile  # noqa: F401
+from flowlens.plans import q_sample  # noqa: F401
