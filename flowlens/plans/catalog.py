@@ -5,3 +5,4 @@ from flowlens.plans import q_clean  # noqa: F401
 from flowlens.plans import q_profile  # noqa: F401
 from flowlens.plans import q_sample  # noqa: F401
 from flowlens.plans import q_verdict  # noqa: F401
+from flowlens.plans import q_evaluate  # noqa: F401
