@@ -22,8 +22,15 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def add_range_bucket(df: DataFrame, order: str, groups: Sequence[str], n_buckets: int,
-                     desc: bool = False, bucket: str = "__bucket") -> DataFrame:
-    """Equal-width range bucket of ``order`` within each group (0 = first in order)."""
+                     desc: bool = False, bucket: str = "__bucket",
+                     width: float | None = None) -> DataFrame:
+    """Equal-width range bucket of ``order`` within each group (0 = first in order).
+
+    With ``width`` the buckets are fixed slices of the order axis shared by all groups
+    (use when there are many groups: a group only gets the buckets it has rows in)."""
+    if width:
+        x = F.floor(F.col(order).cast("double") / float(width))
+        return df.withColumn(bucket, (-x if desc else x).cast("long"))
     if groups:
         ranges = df.groupBy(*groups).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
         j = join_small(df, ranges, on=list(groups), how="inner")
@@ -44,21 +51,24 @@ def _attach_global(df: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def global_lag(df: DataFrame, order: str, cols: Sequence[str], n_buckets: int | None = None,
-               suffix: str = "_prev") -> DataFrame:
-    """``lag(c)`` over the whole table ordered by the unique, non-null ``order`` column,
-    computed in parallel: lag inside range buckets, plus each bucket's first row takes
-    the last row of the previous non-empty bucket."""
+               suffix: str = "_prev", groups: Sequence[str] = (),
+               width: float | None = None) -> DataFrame:
+    """``lag(c)`` within ``groups`` (default: the whole table) ordered by ``order``
+    (unique within a group, non-null), computed in parallel: lag inside range buckets,
+    and each bucket's first row takes the last row of the group's previous non-empty
+    bucket (from a groups x buckets summary)."""
     n_buckets = n_buckets or default_buckets(df)
-    b = add_range_bucket(df, order, [], n_buckets)
-    w = Window.partitionBy("__bucket").orderBy(order)
+    g = list(groups)
+    b = add_range_bucket(df, order, g, n_buckets, width=width)
+    w = Window.partitionBy(*g, "__bucket").orderBy(order)
     inner = b.withColumns({"__first": F.lag(order).over(w).isNull(),
                            **{f"__lag_{c}": F.lag(c).over(w) for c in cols}})
-    last = b.groupBy("__bucket").agg(
+    last = b.groupBy(*g, "__bucket").agg(
         F.max_by(F.struct(*cols), F.col(order)).alias("__last"))
-    # one row per non-empty bucket: a small table, ordered window is cheap here
-    last = last.withColumn("__prev_last", F.lag("__last").over(Window.orderBy("__bucket"))) \
-        .select("__bucket", "__prev_last")
-    j = join_small(inner, last, on="__bucket", how="inner")
+    # one row per non-empty (group, bucket): small, so the ordered window is cheap
+    last = last.withColumn("__prev_last", F.lag("__last").over(
+        Window.partitionBy(*g).orderBy("__bucket"))).select(*g, "__bucket", "__prev_last")
+    j = join_small(inner, last, on=[*g, "__bucket"], how="inner")
     return j.withColumns({
         f"{c}{suffix}": F.when(F.col("__first"), F.col(f"__prev_last.{c}"))
         .otherwise(F.col(f"__lag_{c}")) for c in cols
@@ -67,14 +77,14 @@ def global_lag(df: DataFrame, order: str, cols: Sequence[str], n_buckets: int |
 
 def running_sum(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence[str],
                 desc: bool = True, n_buckets: int | None = None,
-                suffix: str = "_cum") -> DataFrame:
+                suffix: str = "_cum", width: float | None = None) -> DataFrame:
     """Cumulative sums of ``cols`` within ``groups`` ordered by the unique-per-group
     ``order`` column (rows up to and including the current one).
 
     Distributed: running sum inside (group, range bucket), plus the total of all earlier
     buckets of the group from a (groups x buckets)-row summary."""
     n_buckets = n_buckets or default_buckets(df)
-    b = add_range_bucket(df, order, groups, n_buckets, desc=desc)
+    b = add_range_bucket(df, order, groups, n_buckets, desc=desc, width=width)
     o = F.col(order).desc() if desc else F.col(order).asc()
     w = Window.partitionBy(*groups, "__bucket").orderBy(o).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
