@@ -85,3 +85,23 @@ FROM f
 @register("packets_to_flows", _FLOWS_SQL)
 def packets_to_flows(spark, sf):
     return FL.packets_to_flows(packets(spark, sf), GAP_SECONDS)
+
+
+def flow_model(spark, sf):
+    """Flow classifier fitted on lineitem-as-flows (label l_returnflag)."""
+    from flowlens.plans import standins as S
+    from flowlens.streaming import score as SC
+    from flowlens.plans.q_ml import _cached
+    def fit():
+        lf = S.line_flows(spark, sf)
+        return SC.with_label_text(SC.flow_pipeline(SC.SCORE_FEATURES, "l_returnflag").fit(lf))
+    return _cached(spark, ("flow_model", sf), fit)
+
+
+@register("streaming_score")
+def streaming_score(spark, sf):
+    """ST4 batch twin: the packet flows scored by the fitted flow pipeline (the same
+    model scores the streaming flows in ``streaming.score.start_flow_scoring``)."""
+    from flowlens.streaming import score as SC
+    flows = FL.packets_to_flows(packets(spark, sf), GAP_SECONDS)
+    return SC.score_flows(flow_model(spark, sf), flows, keep=[*FL.KEY, "session_start"])
