@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.joins import join_small
+from flowlens.operators.joins import join_small, materialize_small
 from flowlens.operators.windows import running_sum
+from flowlens.session import cut_lineage
 
 MAX_CLASSES = 10_000
 
@@ -143,31 +144,36 @@ def one_vs_rest(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
         "r.class", "r.score", "r.pos", (1 - F.col("r.pos")).alias("neg"))
 
 
-def curve_counts(long: DataFrame) -> DataFrame:
+def curve_counts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per (class, distinct score): tp, fp, their cumulative sums from the top score down,
-    and the class totals P, N."""
-    g = long.groupBy("class", "score").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    and the class totals P, N. Returns (points, totals).
+
+    The (class, score) aggregate is the reduced input of several small jobs (bucket
+    ranges, bucket offsets, totals), so it is checkpointed once into the shared
+    checkpoint folder instead of re-scanning the source for each of them."""
+    g = cut_lineage(long.groupBy("class", "score").agg(F.sum("pos").alias("tp"),
+                                                        F.sum("neg").alias("fp")))
     cum = running_sum(g, ["class"], "score", ["tp", "fp"], desc=True)
-    totals = g.groupBy("class").agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    return join_small(cum, totals, on="class", how="inner")
+    totals = materialize_small(g.groupBy("class").agg(F.sum("tp").alias("P"),
+                                                      F.sum("fp").alias("N")), MAX_CLASSES)
+    return join_small(cum, totals, on="class", how="inner"), totals
 
 
 def roc_points(long: DataFrame, digits: int = 6) -> DataFrame:
     """(class, threshold, fpr, tpr) per distinct score, preceded by (0, 0)."""
-    c = curve_counts(long)
+    c, totals = curve_counts(long)
     pts = c.select("class", F.col("score").alias("threshold"),
                    F.round(F.try_divide(F.col("fp_cum"), F.col("N")), digits).alias("fpr"),
                    F.round(F.try_divide(F.col("tp_cum"), F.col("P")), digits).alias("tpr"))
-    start = c.select("class").distinct().select(
-        "class", F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = totals.select("class", F.lit(None).cast("double").alias("threshold"),
+                          F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
 
 def auc(long: DataFrame, digits: int = 6) -> DataFrame:
     """Trapezoid area under the ROC points; each distinct score adds
     fp/N * (tp_cum + (tp_cum - tp)) / (2P), so no lag is needed."""
-    c = curve_counts(long)
+    c, _ = curve_counts(long)
     term = F.try_divide(F.col("fp"), F.col("N")) * F.try_divide(
         2 * F.col("tp_cum") - F.col("tp"), 2 * F.col("P"))
     return c.groupBy("class").agg(F.round(F.sum(term), digits).alias("auc"))
@@ -176,14 +182,13 @@ def auc(long: DataFrame, digits: int = 6) -> DataFrame:
 def pr_points(long: DataFrame, digits: int = 6) -> DataFrame:
     """(class, threshold, recall, precision) per distinct score, plus the closing
     point recall 0 / precision 1."""
-    c = curve_counts(long)
+    c, totals = curve_counts(long)
     pts = c.select("class", F.col("score").alias("threshold"),
                    F.round(F.try_divide(F.col("tp_cum"), F.col("P")), digits).alias("recall"),
                    F.round(F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum")), digits)
                    .alias("precision"))
-    end = c.select("class").distinct().select(
-        "class", F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    end = totals.select("class", F.lit(None).cast("double").alias("threshold"),
+                        F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return pts.unionByName(end)
 
 

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension may have and still be broadcast. Dimensions here are class tables,
-# model lists and profile ranges: a few rows. Beyond the bound the join falls back to a
-# regular (shuffle) join chosen by Catalyst / AQE.
-BROADCAST_MAX_ROWS = 1_000_000
+# Rows a small side may have and still be broadcast. Small sides here are class tables,
+# (class x hash-bucket) counts, model lists and profile ranges. Beyond the bound the join
+# falls back to a regular (shuffle) join chosen by Catalyst / AQE.
+BROADCAST_MAX_ROWS = 200_000
 
 
 def bounded_count(df: DataFrame, bound: int) -> int:
@@ -21,12 +21,29 @@ def bounded_count(df: DataFrame, bound: int) -> int:
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join ``big`` with ``small``, broadcasting ``small`` only when it has at most
-    ``max_rows`` rows (checked with an early-stopping count)."""
-    if bounded_count(small, max_rows) <= max_rows:
-        small = F.broadcast(small)
+    ``max_rows`` rows.
+
+    The small side is computed ONCE: at most ``max_rows + 1`` rows are fetched; when
+    within the bound, that materialised copy is broadcast (so the join does not recompute
+    it, and its lineage is cut); otherwise the original frame joins by shuffle."""
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        spark = small.sparkSession
+        local = spark.createDataFrame(rows, small.schema) if rows else \
+            spark.createDataFrame([], small.schema)
+        return big.join(F.broadcast(local), on=on, how=how)
     return big.join(small, on=on, how=how)
 
 
+def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Compute a bounded small table once and return it as local data (raises when it
+    exceeds ``max_rows``)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def lookup_with_default(df: DataFrame, key: str, dim: DataFrame, dim_key: str,
                         value: str, out: str, default: str) -> DataFrame:
     """Code -> name, left outer, missing -> ``default``."""

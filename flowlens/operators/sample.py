@@ -16,15 +16,10 @@ from flowlens.operators.joins import join_small
 from flowlens.operators.windows import hash_rank
 
 
-def _with_class_counts(df: DataFrame, label: str) -> DataFrame:
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__class_n"))
-    return join_small(df, counts, on=label, how="inner")
-
-
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      out: str = "split") -> DataFrame:
     """Per class, the first round(fraction * class size) rows by hash order are 'test'."""
-    r = hash_rank(_with_class_counts(df, label), [label], key, rank="__r")
+    r = hash_rank(df, [label], key, rank="__r", total="__class_n")
     is_test = F.col("__r") <= F.round(F.col("__class_n") * test_fraction)
     return r.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(
         "__r", "__class_n", "__h")
@@ -83,6 +78,6 @@ def prefix_fraction(df: DataFrame, label: str, key: str, fraction: float,
                     ranked: Sequence[str] | None = None) -> DataFrame:
     """The first ``fraction`` of each class in hash order (nested: a smaller fraction
     is a subset of a larger one)."""
-    r = hash_rank(_with_class_counts(df, label), [label], key, rank="__r")
+    r = hash_rank(df, [label], key, rank="__r", total="__class_n")
     return r.where(F.col("__r") <= F.ceil(F.col("__class_n") * fraction)).drop(
         "__r", "__h", "__class_n")

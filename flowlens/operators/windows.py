@@ -101,12 +101,15 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence
 
 
 def hash_rank(df: DataFrame, groups: Sequence[str], key: str, rank: str = "rank",
-              hash_col: str = "__h", bucket_bits: int = 10) -> DataFrame:
+              hash_col: str = "__h", bucket_bits: int = 12,
+              total: str | None = None) -> DataFrame:
     """Exact rank 1.. within ``groups`` by (md5(key as text), key), distributed.
 
     The first hex digits of the md5 pick one of 2**bucket_bits buckets; since md5 is
     uniform, a class holding a third of all rows is still spread over all buckets.
-    rank = rows of the group in earlier buckets + row_number inside (group, bucket)."""
+    rank = rows of the group in earlier buckets + row_number inside (group, bucket).
+    ``total`` (optional) names a column with the group's row count, taken from the same
+    (group x bucket) count table (no extra pass)."""
     nb_hex = max(1, (bucket_bits + 3) // 4)
     h = F.md5(F.col(key).cast("string"))
     d = df.withColumns({hash_col: h,
@@ -115,7 +118,9 @@ def hash_rank(df: DataFrame, groups: Sequence[str], key: str, rank: str = "rank"
     inner = d.withColumn("__rn", F.row_number().over(w))
     counts = d.groupBy(*groups, "__hb").agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(*groups).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
-    off = counts.select(*groups, "__hb", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
+    extra = [F.sum("__n").over(Window.partitionBy(*groups)).alias(total)] if total else []
+    off = counts.select(*groups, "__hb", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"),
+                        *extra)
     j = join_small(inner, off, on=[*groups, "__hb"], how="inner")
     return j.withColumn(rank, (F.col("__off") + F.col("__rn")).cast("long")).drop(
         "__hb", "__rn", "__off")
