@@ -251,3 +251,18 @@ def pad_results(spark, sf):
     b = b.withColumns({**_scored(b, "XGBoost", 0.3), **_scored(b, "CatBoost", 0.7)}).drop("l_quantity")
     model_cols = [f"{m}_{s}" for m in ("GBM", "XGBoost", "CatBoost") for s in ("Prediction", "AttackProb")]
     return C.pad_results([a, b], ["flow_duration", "total_fwd_packets"], model_cols)
+
+
+_VALUE_COLS = ["flow_duration", "total_fwd_packets", "total_backward_packets",
+               "total_length_of_fwd_packets"]
+
+
+@register("feature_values", f"""
+SELECT {KEY}, feature, printf('%.2f', value) AS value_text FROM (
+  UNPIVOT ({S.LINE_FLOWS_SQL}) ON {', '.join(_VALUE_COLS)} INTO NAME feature VALUE value)
+""")
+def feature_values(spark, sf):
+    """P18 + F6: each flow as (feature, value) rows with the value as 2-decimal text."""
+    f = S.line_flows(spark, sf)
+    return C.unpivot_long(f, S.LINE_KEY, _VALUE_COLS).select(
+        *S.LINE_KEY, "feature", X.fmt2(F.col("value")).alias("value_text"))

@@ -263,3 +263,16 @@ def smote(spark, sf):
     """Every class oversampled to the majority size."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     return SM.smote(e, "vec_id", "label", "embedding")
+
+
+@register("background_sample", """
+SELECT vec_id, label FROM embeddings
+WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0
+ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 100
+""")
+def background_sample(spark, sf):
+    """Background rows for explanations: finite rows (P5), 100 by hash order."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    ok = e.where(F.forall(F.col("embedding").cast("array<double>"),
+                          lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))))
+    return R.fixed_sample(ok, "vec_id", 100).select("vec_id", "label")
