@@ -153,10 +153,13 @@ def curve_counts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     checkpoint folder instead of re-scanning the source for each of them."""
     g = cut_lineage(long.groupBy("class", "score").agg(F.sum("pos").alias("tp"),
                                                         F.sum("neg").alias("fp")))
-    cum = running_sum(g, ["class"], "score", ["tp", "fp"], desc=True)
-    totals = materialize_small(g.groupBy("class").agg(F.sum("tp").alias("P"),
-                                                      F.sum("fp").alias("N")), MAX_CLASSES)
-    return join_small(cum, totals, on="class", how="inner"), totals
+    # per class: score range (for the buckets) and totals, in one small aggregation
+    stats = materialize_small(g.groupBy("class").agg(
+        F.min("score").alias("__lo"), F.max("score").alias("__hi"),
+        F.sum("tp").alias("P"), F.sum("fp").alias("N")), MAX_CLASSES)
+    cum = running_sum(g, ["class"], "score", ["tp", "fp"], desc=True, ranges=stats)
+    totals = stats.select("class", "P", "N")
+    return cum.join(F.broadcast(totals), on="class", how="inner"), totals
 
 
 def roc_points(long: DataFrame, digits: int = 6) -> DataFrame:

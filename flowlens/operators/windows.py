@@ -23,7 +23,7 @@ def default_buckets(df: DataFrame) -> int:
 
 def add_range_bucket(df: DataFrame, order: str, groups: Sequence[str], n_buckets: int,
                      desc: bool = False, bucket: str = "__bucket",
-                     width: float | None = None) -> DataFrame:
+                     width: float | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """Equal-width range bucket of ``order`` within each group (0 = first in order).
 
     With ``width`` the buckets are fixed slices of the order axis shared by all groups
@@ -32,8 +32,11 @@ def add_range_bucket(df: DataFrame, order: str, groups: Sequence[str], n_buckets
         x = F.floor(F.col(order).cast("double") / float(width))
         return df.withColumn(bucket, (-x if desc else x).cast("long"))
     if groups:
-        ranges = df.groupBy(*groups).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-        j = join_small(df, ranges, on=list(groups), how="inner")
+        if ranges is None:
+            ranges = df.groupBy(*groups).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+            j = join_small(df, ranges, on=list(groups), how="inner")
+        else:  # already materialised by the caller (groups x 2 values)
+            j = df.join(F.broadcast(ranges.select(*groups, "__lo", "__hi")), on=list(groups))
     else:
         j = _attach_global(df, df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi")))
     lo, hi, x = F.col("__lo").cast("double"), F.col("__hi").cast("double"), F.col(order).cast("double")
@@ -77,14 +80,15 @@ def global_lag(df: DataFrame, order: str, cols: Sequence[str], n_buckets: int |
 
 def running_sum(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence[str],
                 desc: bool = True, n_buckets: int | None = None,
-                suffix: str = "_cum", width: float | None = None) -> DataFrame:
+                suffix: str = "_cum", width: float | None = None,
+                ranges: DataFrame | None = None) -> DataFrame:
     """Cumulative sums of ``cols`` within ``groups`` ordered by the unique-per-group
     ``order`` column (rows up to and including the current one).
 
     Distributed: running sum inside (group, range bucket), plus the total of all earlier
     buckets of the group from a (groups x buckets)-row summary."""
     n_buckets = n_buckets or default_buckets(df)
-    b = add_range_bucket(df, order, groups, n_buckets, desc=desc, width=width)
+    b = add_range_bucket(df, order, groups, n_buckets, desc=desc, width=width, ranges=ranges)
     o = F.col(order).desc() if desc else F.col(order).asc()
     w = Window.partitionBy(*groups, "__bucket").orderBy(o).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
