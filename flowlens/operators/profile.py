@@ -91,11 +91,21 @@ def name_flags(cols: Sequence[str]) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def abs_correlations(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """|Pearson| for every pair i < j (upper triangle), in ONE aggregation pass.
+WIDE_CORR_COLUMNS = 24
 
-    corr = covar_pop / (stddev_pop * stddev_pop); a constant column gives NULL instead of
-    an ANSI divide-by-zero error."""
+
+def abs_correlations(df: DataFrame, cols: Sequence[str], digits: int = 6,
+                     method: str = "auto") -> DataFrame:
+    """|Pearson| for every pair i < j (upper triangle), in ONE pass over the data.
+
+    Narrow inputs ("sql"): one aggregation with covar_pop / (stddev_pop * stddev_pop) per
+    pair; a constant column gives NULL instead of an ANSI divide-by-zero error.
+    Wide inputs ("gramian", auto above WIDE_CORR_COLUMNS columns, e.g. the 70 flow
+    features = 2415 pairs): Spark ML ``Correlation.corr`` builds the Gramian with a tree
+    aggregation and returns the k x k matrix (bounded by k^2) - rows with a NULL in any
+    column are skipped there, so clean first (P4)."""
+    if method == "gramian" or (method == "auto" and len(cols) > WIDE_CORR_COLUMNS):
+        return _gramian_correlations(df, cols, digits)
     aggs = [F.stddev_pop(c).alias(f"sd__{c}") for c in cols]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     aggs += [F.covar_pop(cols[i], cols[j]).alias(f"cov__{i}_{j}") for i, j in pairs]
@@ -109,6 +119,24 @@ def abs_correlations(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def _gramian_correlations(df: DataFrame, cols: Sequence[str], digits: int) -> DataFrame:
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=list(cols), outputCol="__v", handleInvalid="skip") \
+        .transform(df.select(*[F.col(c).cast("double") for c in cols])).select("__v")
+    m = Correlation.corr(vec, "__v").first()[0].toArray()
+    rows = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            v = float(m[i, j])
+            rows.append((cols[i], cols[j], i, j,
+                         None if math.isnan(v) else round(abs(v), digits)))
+    return df.sparkSession.createDataFrame(
+        rows, "feature_a string, feature_b string, pos_a int, pos_b int, abs_corr double")
+
+
 def correlated_pairs(df: DataFrame, cols: Sequence[str],
                      threshold: float = fixed.INTERACTION_CORR) -> DataFrame:
     """Pairs with |corr| > threshold."""

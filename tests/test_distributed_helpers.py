@@ -88,3 +88,29 @@ def test_correlated_drop_double_column(spark):
     assert corr[("a", "b")] == 1.0
     const = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "k double, x double")
     assert P.abs_correlations(const, ["k", "x"]).first()["abs_corr"] is None
+
+
+def test_gramian_correlation_equals_sql(spark):
+    rows = [(float(i), float((i * 37) % 11), float(i % 7) * 2.5, 3.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    cols = ["a", "b", "c", "k"]
+    sql = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in
+           P.abs_correlations(df, cols, method="sql").collect()}
+    gram = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in
+            P.abs_correlations(df, cols, method="gramian").collect()}
+    assert sql.keys() == gram.keys()
+    for k in sql:
+        if sql[k] is None:
+            assert gram[k] is None
+        else:
+            assert abs(sql[k] - gram[k]) <= 2e-6
+
+
+def test_name_flags_and_numeric_columns(spark):
+    from flowlens.operators.clean import numeric_columns
+    flags = {c: (t, i) for c, t, i in P.name_flags(["Flow Duration", "Timestamp", "Flow ID", "Idle Mean"])}
+    assert flags["Timestamp"] == (True, False)
+    assert flags["Flow ID"] == (False, True)
+    assert flags["Idle Mean"] == (False, True)  # 'id' inside 'Idle' (reference behaviour)
+    df = spark.createDataFrame([(1, 2.0, "x")], "a long, b double, c string")
+    assert numeric_columns(df, exclude=["a"]) == ["b"]
