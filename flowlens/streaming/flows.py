@@ -6,22 +6,21 @@ earliest packet. All flow features come from ONE aggregation per flow: the side
 packet is decided relative to the key's two endpoints, and the forward side is picked
 afterwards, so stream and batch share the same aggregate list.
 
-Batch sessionization is distributed: distinct (key, ts) rows get their previous ts via
-the bucketed lag (a key holding a third of all packets is split over time buckets), a
-session starts when the silence exceeds the gap, and the session number is a bucketed
-running count of starts. Streaming uses ``session_window`` + watermark.
+Batch sessionization is distributed: one window pass over (key, time bucket) plus a
+small per-bucket boundary table (a key holding a third of all packets is split over its
+time buckets). Streaming uses ``session_window`` + watermark.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalar import ieee_divide  # noqa: F401  (re-export for users)
 from flowlens.operators.clean import rate
-from flowlens.operators.windows import global_lag, running_sum
+from flowlens.operators.joins import join_small
 
 KEY = ["src_a", "dst_b", "protocol"]
 
@@ -107,18 +106,34 @@ def _flow_features(df: DataFrame, keep: list) -> DataFrame:
 
 
 def sessionize(packets: DataFrame, gap_seconds: float, bucket_seconds: float = 86400.0) -> DataFrame:
-    """Batch: session number per packet (1.. within its key), a new session when the
-    silence since the previous packet of the key exceeds ``gap_seconds``."""
+    """Batch: session number per packet (1.. within its key); a new session starts when
+    the silence since the key's previous packet exceeds ``gap_seconds``.
+
+    One window pass partitioned by (key, time bucket): lag and a running count of
+    starts inside the bucket. A small (key, bucket) summary (first / last time, starts)
+    then gives each bucket whether its first packet opens a session and how many sessions
+    began in earlier buckets. A key holding a third of all packets is split over its time
+    buckets; ``bucket_seconds`` sets how much one task sorts."""
     gap_us = int(gap_seconds * 1e6)
-    width = bucket_seconds * 1e6
-    times = packets.select(*KEY, "ts_us").distinct()
-    lagged = global_lag(times, "ts_us", ["ts_us"], groups=KEY, width=width)
-    starts = lagged.withColumn("__start", F.when(
-        F.col("ts_us_prev").isNull() | (F.col("ts_us") - F.col("ts_us_prev") > gap_us), 1)
-        .otherwise(0)).drop("ts_us_prev")
-    numbered = running_sum(starts, KEY, "ts_us", ["__start"], desc=False, width=width)
-    sessions = numbered.select(*KEY, "ts_us", F.col("__start_cum").cast("long").alias("session_no"))
-    return packets.join(sessions, on=[*KEY, "ts_us"], how="inner")
+    width = float(bucket_seconds * 1e6)
+    p = packets.withColumn("__bucket", F.floor(F.col("ts_us") / width).cast("long"))
+    w = Window.partitionBy(*KEY, "__bucket").orderBy("ts_us", "packet_id")
+    prev = F.lag("ts_us").over(w)
+    p = p.withColumn("__ls", (prev.isNotNull() & (F.col("ts_us") - prev > gap_us)).cast("int"))
+    p = p.withColumn("__lcum", F.sum("__ls").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summary = p.groupBy(*KEY, "__bucket").agg(
+        F.min("ts_us").alias("__first"), F.max("ts_us").alias("__last"),
+        F.sum("__ls").alias("__n_ls"))
+    wb = Window.partitionBy(*KEY).orderBy("__bucket")
+    prev_last = F.lag("__last").over(wb)
+    summary = summary.withColumn("__fs", (prev_last.isNull() | (F.col("__first") - prev_last > gap_us))
+                                 .cast("long"))
+    summary = summary.withColumn("__off", F.coalesce(F.sum(F.col("__fs") + F.col("__n_ls")).over(
+        wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = join_small(p, summary.select(*KEY, "__bucket", "__off", "__fs"), on=[*KEY, "__bucket"])
+    return j.withColumn("session_no", (F.col("__off") + F.col("__fs") + F.col("__lcum")).cast("long")) \
+        .drop("__bucket", "__ls", "__lcum", "__off", "__fs")
 
 
 def packets_to_flows(packets: DataFrame, gap_seconds: float = 6 * 3600.0) -> DataFrame:
