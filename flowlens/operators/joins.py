@@ -26,22 +26,36 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     The small side is computed ONCE: at most ``max_rows + 1`` rows are fetched; when
     within the bound, that materialised copy is broadcast (so the join does not recompute
     it, and its lineage is cut); otherwise the original frame joins by shuffle."""
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        spark = small.sparkSession
-        local = spark.createDataFrame(rows, small.schema) if rows else \
-            spark.createDataFrame([], small.schema)
+    local = _fetch_bounded(small, max_rows)
+    if local is not None:
         return big.join(F.broadcast(local), on=on, how=how)
     return big.join(small, on=on, how=how)
 
 
+def _fetch_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """At most ``max_rows`` rows of ``df`` as a local (driver-built) DataFrame, moved
+    through Arrow; None when ``df`` has more rows."""
+    spark = df.sparkSession
+    try:
+        pdf = df.limit(max_rows + 1).toPandas()
+        if len(pdf) > max_rows:
+            return None
+        return spark.createDataFrame(pdf, schema=df.schema) if len(pdf) else \
+            spark.createDataFrame([], df.schema)
+    except Exception:  # types Arrow cannot carry: plain rows
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            return None
+        return spark.createDataFrame(rows, df.schema)
+
+
 def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Compute a bounded small table once and return it as local data (raises when it
     exceeds ``max_rows``)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    local = _fetch_bounded(df, max_rows)
+    if local is None:
         raise ValueError(f"expected at most {max_rows} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return local
 
 
 def lookup_with_default(df: DataFrame, key: str, dim: DataFrame, dim_key: str,

@@ -185,18 +185,23 @@ def scale_summary(df: DataFrame, cols: Sequence[str], threshold: float = fixed.E
 def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10,
                        threshold: float = fixed.MI_MIN, digits: int = 6) -> DataFrame:
     """MI(feature; class) with ``bins`` equal-width bins from each feature's min/max,
-    natural log. Joint counts come from one group-by over the unpivoted table."""
-    long = unpivot_long(df, [label], cols).where(F.col("value").isNotNull())
-    rng = df.agg(*[F.min(c).alias(f"lo__{c}") for c in cols],
-                 *[F.max(c).alias(f"hi__{c}") for c in cols])
-    rng = _one_row_long(rng, {c: ["lo", "hi"] for c in cols}, cols).drop("position")
-    j = join_small(long, rng, on="feature", how="inner")
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width > 0, F.least(F.lit(bins - 1),
-                                  F.floor((F.col("value") - F.col("lo")) / width * bins)))\
-        .otherwise(F.lit(0)).cast("int")
-    joint = j.withColumn("bin", b).groupBy("feature", "bin", label).agg(
-        F.count(F.lit(1)).alias("n_xy"))
+    natural log. One small aggregation gives the ranges (one row, inlined as literals);
+    binning is then a projection, and the joint counts come from one group-by over the
+    unpivoted bins (map-side partial counts)."""
+    r = df.agg(*[F.min(c).alias(f"lo__{c}") for c in cols],
+               *[F.max(c).alias(f"hi__{c}") for c in cols]).first()
+    binned = {}
+    for c in cols:
+        lo, hi = r[f"lo__{c}"], r[f"hi__{c}"]
+        if lo is None or hi is None or hi - lo <= 0:
+            b = F.when(F.col(c).isNotNull(), F.lit(0))
+        else:
+            b = F.least(F.lit(bins - 1), F.floor((F.col(c) - F.lit(float(lo)))
+                                                 / F.lit(float(hi - lo)) * bins))
+        binned[c] = b.cast("int")
+    long = df.select(label, *[binned[c].alias(c) for c in cols]).unpivot(
+        [label], list(cols), "feature", "bin").where(F.col("bin").isNotNull())
+    joint = long.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n_xy"))
     n = F.sum("n_xy").over(Window.partitionBy("feature"))
     nx = F.sum("n_xy").over(Window.partitionBy("feature", "bin"))
     ny = F.sum("n_xy").over(Window.partitionBy("feature", label))
