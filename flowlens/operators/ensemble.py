@@ -84,6 +84,57 @@ def boosted(kind: str, label: str = "label", weight_col: str | None = None,
     return ovr
 
 
+def fit_boosted(df: DataFrame, kind: str, label: str = "label", weight_col: str | None = None,
+                validation_col: str | None = None, validation_tol: float = 0.01,
+                parallelism: int = 4, max_classes: int = 1000, **overrides) -> OneVsRestModel:
+    """M5/M6/M8 with early stopping on a separate validation set.
+
+    Spark's OneVsRest keeps only label / features / weight, so the validation indicator
+    would be lost; this fits the per-class binary GBTs itself (in ``parallelism``
+    threads, as OneVsRest does) on one persisted input, and wraps them in a
+    ``OneVsRestModel``. Labels must be 0 .. k-1."""
+    if validation_col is None:
+        return boosted(kind, label=label, weight_col=weight_col, parallelism=parallelism,
+                       **overrides).fit(df)
+    from concurrent.futures import ThreadPoolExecutor
+    params = {**BOOST_CONFIGS[kind], **overrides}
+    cols = [label, "features", validation_col] + ([weight_col] if weight_col else [])
+    data = df.select(*cols).persist()
+    try:
+        k = int(data.agg(F.max(label)).first()[0]) + 1
+        if k > max_classes:
+            raise ValueError("too many classes")
+
+        def fit_one(i: int):
+            gbt = GBTClassifier(featuresCol="features", labelCol="__bin", seed=SEED,
+                                validationIndicatorCol=validation_col,
+                                validationTol=validation_tol, **params)
+            if weight_col:
+                gbt.setWeightCol(weight_col)
+            return gbt.fit(data.withColumn("__bin", (F.col(label) == float(i)).cast("double")))
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            models = list(pool.map(fit_one, range(k)))
+    finally:
+        data.unpersist()
+    ovr = OneVsRestModel(models)
+    ovr._set(labelCol=label, featuresCol="features")
+    return ovr
+
+
+def best_iterations(model: OneVsRestModel, validation: DataFrame, label: str = "label"):
+    """M8 best round: per class, trees built and the iteration with the lowest
+    validation loss (``evaluateEachIteration``)."""
+    out = []
+    for i, m in enumerate(model.models):
+        v = validation.withColumn("__bin", (F.col(label) == float(i)).cast("double"))
+        losses = m.copy().setLabelCol("__bin").evaluateEachIteration(v) \
+            if hasattr(m, "setLabelCol") else m.evaluateEachIteration(v)
+        best = min(range(len(losses)), key=lambda j: losses[j])
+        out.append((i, m.getNumTrees, best + 1, float(losses[best])))
+    return out
+
+
 # ---- scoring ---------------------------------------------------------------------------
 def predict(model: Model, df: DataFrame, prob_col: str = "probability") -> DataFrame:
     """Prediction and class-probability array per row (OvR: per-class probability of

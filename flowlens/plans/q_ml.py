@@ -56,14 +56,25 @@ def trained_forest(spark, sf):
     return _cached(spark, ("forest", sf), fit)
 
 
+def train_validation(spark, sf):
+    """Training rows of the split with a 15 % stratified validation flag (D11: early
+    stopping never looks at the test rows)."""
+    s = split(spark, sf).withColumn("label", F.col("label") % 3)
+    train = s.where(F.col("split") == "train").drop("split")
+    v = R.stratified_split(train, "label", "vec_id", test_fraction=0.15, out="part")
+    return v.withColumn("is_validation", F.col("part") == "test").drop("part")
+
+
 def trained_boost(spark, sf, kind):
+    """gbm / lgbm / cat stop early on the validation rows; xgb has no early stop."""
     def fit():
-        s = split(spark, sf).withColumn("label", F.col("label") % 3)
-        train = s.where(F.col("split") == "train")
+        train = train_validation(spark, sf)
         if kind == "lgbm":
             train = M.with_balanced_weight(train, "label")
         t0 = time.perf_counter()
-        model = M.boosted(kind, weight_col="weight" if kind == "lgbm" else None, **BOOST).fit(train)
+        model = M.fit_boosted(train, kind, weight_col="weight" if kind == "lgbm" else None,
+                              validation_col=None if kind == "xgb" else "is_validation",
+                              **BOOST)
         return model, time.perf_counter() - t0
     return _cached(spark, (kind, sf), fit)
 
@@ -90,6 +101,17 @@ for _kind in ("gbm", "lgbm", "xgb", "cat"):
     register(f"boosted_score_{_kind}")(_boost_query(_kind))
 
 
+@register("early_stopping")
+def early_stopping(spark, sf):
+    """M5/M8: per class, trees built with early stopping (validation tolerance) and the
+    best iteration by validation log-loss."""
+    tv = train_validation(spark, sf)
+    model = M.fit_boosted(tv, "cat", validation_col="is_validation", maxIter=30, maxDepth=3,
+                          stepSize=0.3)
+    rows = M.best_iterations(model, tv.where("is_validation"))
+    return spark.createDataFrame(rows, "class int, trees int, best_iteration int, best_val_loss double")
+
+
 @register("model_metrics")
 def model_metrics(spark, sf):
     """S7 canonical metrics table: one row per model on the test split."""
