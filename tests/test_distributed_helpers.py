@@ -114,3 +114,11 @@ def test_name_flags_and_numeric_columns(spark):
     assert flags["Idle Mean"] == (False, True)  # 'id' inside 'Idle' (reference behaviour)
     df = spark.createDataFrame([(1, 2.0, "x")], "a long, b double, c string")
     assert numeric_columns(df, exclude=["a"]) == ["b"]
+
+
+def test_exact_quantiles_sketch_bracket_path(spark):
+    df = _data(spark)
+    vals = np.array([r["v"] for r in df.collect()])
+    # accuracy 100 -> n (6000) >= 2 * accuracy: the approximate sketch brackets the ranks
+    q = SC.exact_quantiles(df, ["v"], [0.1, 0.5, 0.9], bins=8, accuracy=100)
+    assert np.allclose(q["v"], np.percentile(vals, [10, 50, 90]), rtol=0, atol=1e-12)
