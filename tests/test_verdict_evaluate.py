@@ -101,3 +101,14 @@ def test_kde_integrates_to_about_one(spark):
     k = E.score_kde(df, "t", "s", points=201).collect()
     area = sum(r["density"] for r in k) * (1 / 200)
     assert area == pytest.approx(1.0, abs=0.05)
+
+
+def test_wide_votes_equal_union_votes(spark):
+    from flowlens.plans import q_verdict as QV
+    from tests.conftest import SF001
+    rows, scored = QV.doc_models(spark, SF001)
+    a = V.model_votes(rows, "doc_id", scored, QV.SELECTED)
+    b = QV.votes(spark, SF001)
+    cols = sorted(a.columns)
+    assert sorted((tuple(r) for r in a.select(*cols).collect()), key=repr) == \
+        sorted((tuple(r) for r in b.select(*cols).collect()), key=repr)
