@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from flowlens.operators import sample as R
 from flowlens.operators import scale as SC
 from flowlens.plans import q_labels as QL
