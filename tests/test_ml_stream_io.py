@@ -134,3 +134,23 @@ def test_sinks_roundtrip(spark, tmp_path):
     assert m.columns == [f.name for f in K.METRICS_SCHEMA]
     rows = {r["model"]: r for r in m.collect()}
     assert rows["X"]["f1_score"] == 0.8 and rows["Y"]["matthews_corrcoef"] == 0.1
+
+
+def test_train_and_classify_workflow(spark, tmp_path):
+    from flowlens import workflows as W
+    from flowlens.plans import standins as S
+    from flowlens.streaming.score import SCORE_FEATURES
+    flows = S.line_flows(spark, SF001).withColumn("flow_id", F.concat_ws("|", *S.LINE_KEY))
+    root = str(tmp_path / "models")
+    _, metrics = W.train_models(flows, "flow_id", "l_returnflag", SCORE_FEATURES, benign="N",
+                                substring_rules=[], mapping={}, excluded=[], save_root=root,
+                                small=True)
+    assert [r["model"] for r in metrics.collect()] == ["Random Forest", "GBM"]
+    models, reg = K.load_registry(spark, root, ["GBM", "Random Forest", "XGBoost"])
+    assert {r["model"]: r["status"] for r in reg.collect()}["XGBoost"] == "missing"
+    votes, cons = W.classify_flows(flows, "flow_id", SCORE_FEATURES, models,
+                                   ["Random Forest", "GBM", "XGBoost"])
+    n = flows.count()
+    assert cons.count() == n and votes.count() == 3 * n
+    assert votes.where("model = 'XGBoost'").select("prediction").distinct().first()[0] == "Missing"
+    assert cons.where("valid_count != 2").count() == 0
