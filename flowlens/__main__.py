@@ -36,6 +36,7 @@ def main(argv=None) -> int:
     t.add_argument("--label", default="label")
     t.add_argument("--benign", default="BENIGN")
     t.add_argument("--metrics")
+    t.add_argument("--small", action="store_true", help="few trees (tests, demos)")
     c = sub.add_parser("classify")
     c.add_argument("--csv", required=True)
     c.add_argument("--models", required=True)
@@ -49,7 +50,8 @@ def main(argv=None) -> int:
         for n in sorted(QUERIES):
             print(n, "(oracle)" if n in ORACLES else "(rows)")
         return 0
-    spark = get_spark()
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession() or get_spark()
     if args.cmd == "query":
         from flowlens.plans.registry import QUERIES, load_all
         load_all()
@@ -66,7 +68,7 @@ def main(argv=None) -> int:
     flows, feats = _flows(spark, args.csv)
     if args.cmd == "train":
         _, metrics = W.train_models(flows, "flow_id", args.label, feats, benign=args.benign,
-                                    save_root=args.models)
+                                    save_root=args.models, small=args.small)
         metrics.show(truncate=False)
         if args.metrics:
             write_results(metrics, args.metrics)
