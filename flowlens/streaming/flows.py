@@ -44,6 +44,23 @@ def packet_records(df: DataFrame) -> DataFrame:
                             "dst_b": F.greatest("source", "destination")})
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since the epoch, independent of the session time zone: a wall-clock
+    (timestamp_ntz) value counts from the wall-clock epoch; an instant (timestamp) uses
+    its own epoch micros."""
+    if df.schema[col].dataType.typeName() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(col))
+    return F.unix_micros(F.col(col).cast("timestamp"))
+
+
+def micros_to_ntz(c: Column) -> Column:
+    """Inverse of ``epoch_micros`` for wall-clock output (time-zone independent)."""
+    return F.timestamp_add("MICROSECOND", c, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
 def events_as_packets(events: DataFrame) -> DataFrame:
     """Stand-in packet feed from ``events``: user <-> 'server'; view/click/signup travel
     user -> server, purchase/error server -> user; protocol 6; length = value in
@@ -52,7 +69,7 @@ def events_as_packets(events: DataFrame) -> DataFrame:
     up = F.col("event_type").isin("view", "click", "signup")
     return events.select(
         F.col("event_id").alias("packet_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        epoch_micros(events, "ts").alias("ts_us"),
         F.when(up, user).otherwise(F.lit("server")).alias("source"),
         F.when(up, F.lit("server")).otherwise(user).alias("destination"),
         F.lit(6).alias("protocol"),
@@ -140,7 +157,7 @@ def packets_to_flows(packets: DataFrame, gap_seconds: float = 6 * 3600.0) -> Dat
     """ST2 (batch): one row per flow with the 11 flow features."""
     s = sessionize(packets, gap_seconds)
     g = s.groupBy(*KEY, "session_no").agg(*_flow_aggs())
-    g = g.withColumn("session_start", F.timestamp_micros("__t0").cast("timestamp_ntz"))
+    g = g.withColumn("session_start", micros_to_ntz(F.col("__t0")))
     return _flow_features(g, [*KEY, "session_start"])
 
 
@@ -152,7 +169,7 @@ def stream_flows(packets: DataFrame, gap: str = "6 hours", watermark: str = "1 d
     g = (p.withWatermark("__event_time", watermark)
          .groupBy(*KEY, F.session_window("__event_time", gap).alias("__session"))
          .agg(*_flow_aggs()))
-    g = g.withColumn("session_start", F.timestamp_micros("__t0").cast("timestamp_ntz"))
+    g = g.withColumn("session_start", micros_to_ntz(F.col("__t0")))
     return _flow_features(g, [*KEY, "session_start"])
 
 

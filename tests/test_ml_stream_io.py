@@ -181,3 +181,15 @@ def test_cli_train_and_classify(spark, tmp_path):
     cons = spark.read.parquet(out)
     assert cons.count() == 200
     assert set(r[0] for r in cons.select("majority_prediction").distinct().collect()) <= {"Attack", "Benign"}
+
+
+def test_packet_times_do_not_depend_on_session_time_zone(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = FL.packets_to_flows(FL.packet_records(FL.events_as_packets(ev))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    utc = FL.packets_to_flows(FL.packet_records(FL.events_as_packets(ev))).collect()
+    assert sorted(map(tuple, la), key=repr) == sorted(map(tuple, utc), key=repr)
