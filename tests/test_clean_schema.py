@@ -111,3 +111,9 @@ def test_pad_results_fill(spark):
     assert out.columns == ["f", "M1_Prediction", "M2_AttackProb", "other"]
     rows = sorted(tuple(r) for r in out.collect())
     assert rows == [("1.5", "Attack", "N/A", "N/A"), ("2.5", "N/A", "0.25", "x")]
+
+
+def test_unmatched_weight_codes_reported(spark):
+    df = spark.createDataFrame([(0,), (3,), (7,), (7,)], "code int")
+    out = {r["code"]: r["n_rows"] for r in L.unmatched_weight_codes(df, "code").collect()}
+    assert out == {7: 2}
