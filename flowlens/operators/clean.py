@@ -131,9 +131,10 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
 
 
 def pad_results(frames: Sequence[DataFrame], feature_cols: Sequence[str],
-                model_cols: Sequence[str], fill: str = "N/A") -> DataFrame:
+                model_cols: Sequence[str], fill: str | None = "N/A") -> DataFrame:
     """Union result records with different columns; order features, then sorted
-    model columns, then sorted others; values as text, missing -> ``fill``."""
+    model columns, then sorted others; values as text, missing -> ``fill``
+    (``fill=None``: the second form, which keeps missing values NULL and types as is)."""
     merged = frames[0]
     for f in frames[1:]:
         merged = merged.unionByName(f, allowMissingColumns=True)
@@ -142,5 +143,7 @@ def pad_results(frames: Sequence[DataFrame], feature_cols: Sequence[str],
     models = sorted({c for c in model_cols if c in present})
     others = sorted(present - set(feats) - set(models))
     order = feats + models + others
+    if fill is None:
+        return merged.select(*order)
     return merged.select(*[F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(c)
                            for c in order])

@@ -54,13 +54,20 @@ def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k
 
 
 def smote(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
-          bucket_length: float = 0.5, tables: int = 4) -> DataFrame:
-    """Oversample every class to the majority class size. Output: the original rows
-    (copy = -1) plus synthetic rows (origin key, copy number), with columns
-    (key, copy, label, array_col)."""
+          bucket_length: float = 0.5, tables: int = 4, plan: DataFrame | None = None,
+          target: str = "target") -> DataFrame:
+    """Oversample every class to the majority class size, or to ``plan``'s
+    per-class ``target`` (e.g. ``sample.rebalance_plan``: classes below n/k up to n/k).
+    Output: the original rows (copy = -1) plus synthetic rows (origin key, copy number),
+    with columns (key, copy, label, array_col)."""
     base = df.select(key, label, F.col(array_col).cast("array<double>").alias(array_col))
     counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__need", F.max("__n").over(Window.partitionBy()) - F.col("__n"))
+    if plan is None:
+        counts = counts.withColumn("__need", F.max("__n").over(Window.partitionBy()) - F.col("__n"))
+    else:
+        counts = join_small(counts, plan.select(label, F.col(target).alias("__t")), on=label)
+        counts = counts.withColumn("__need", F.greatest(F.lit(0), F.col("__t") - F.col("__n"))) \
+            .drop("__t")
     # exact rank within class by hash order, bucketed so a big class spans many tasks
     ranked = hash_rank(base, [label], key, rank="__r1").withColumn("__r", F.col("__r1") - 1)
     ranked = join_small(ranked.drop("__r1", "__h"), counts, on=label, how="inner")

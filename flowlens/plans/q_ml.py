@@ -222,6 +222,15 @@ def importance_topk(spark, sf):
     return top.withColumn("share_percent", F.round(share, 6))
 
 
+@register("importance_chart")
+def importance_chart(spark, sf):
+    """K3: per model the 10 largest |importance| features, non-finite values dropped first."""
+    from pyspark.sql import Window
+    imp = _importance(spark, sf).where(~F.isnan("importance") & (F.abs("importance") != float("inf")))
+    w = Window.partitionBy("model").orderBy(F.abs("importance").desc(), F.asc("feature"))
+    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10)
+
+
 @register("key_features")
 def key_features(spark, sf):
     """K3 + J4 + F6/F7: per model the top-3 |importance| features (non-finite dropped)
@@ -287,6 +296,13 @@ def smote(spark, sf):
     return SM.smote(e, "vec_id", "label", "embedding")
 
 
+@register("smote_to_plan")
+def smote_to_plan(spark, sf):
+    """R4 + R5: classes below n/k oversampled to int(n/k), others unchanged."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return SM.smote(e, "vec_id", "label", "embedding", plan=R.rebalance_plan(e, "label"))
+
+
 @register("background_sample", """
 SELECT vec_id, label FROM embeddings
 WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0

@@ -30,16 +30,17 @@ FLOW_FEATURES = ["flow_duration", "total_fwd_packets", "total_backward_packets",
                  "flow_packets_per_s", "init_win_bytes_forward", "init_win_bytes_backward"]
 
 
-def packet_records(df: DataFrame) -> DataFrame:
+def packet_records(df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
     """ST1: packet rows with fallbacks (source/destination '' and protocol/length 0 when
-    absent); a record without a timestamp is skipped. Adds the flow key."""
+    absent); a record without a timestamp is skipped. Adds the flow key; ``keep`` columns
+    are carried through."""
     src = F.coalesce(F.col("source"), F.lit(""))
     dst = F.coalesce(F.col("destination"), F.lit(""))
     out = df.where(F.col("ts_us").isNotNull()).select(
         "packet_id", "ts_us", src.alias("source"), dst.alias("destination"),
         F.coalesce(F.col("protocol"), F.lit(0)).alias("protocol"),
         F.coalesce(F.col("length"), F.lit(0)).cast("long").alias("length"),
-        F.col("window_size").cast("long").alias("window_size"))
+        F.col("window_size").cast("long").alias("window_size"), *keep)
     return out.withColumns({"src_a": F.least("source", "destination"),
                             "dst_b": F.greatest("source", "destination")})
 
@@ -222,3 +223,42 @@ def packet_stream(spark, sf_dir: str, max_files_per_trigger: int = 1) -> DataFra
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
     return packet_records(events_as_packets(ev))
+
+
+def packet_json_schema():
+    """Packet record: timestamp (epoch seconds), source, destination, protocol, length and
+    a nested ``features`` object with the 11 live-stream feature names."""
+    from pyspark.sql import types as T
+
+    from flowlens.functions.fixed import STREAM_FEATURES
+    return T.StructType([
+        T.StructField("timestamp", T.DoubleType()), T.StructField("source", T.StringType()),
+        T.StructField("destination", T.StringType()), T.StructField("protocol", T.IntegerType()),
+        T.StructField("length", T.LongType()), T.StructField("window_size", T.LongType()),
+        T.StructField("features", T.StructType(
+            [T.StructField(n, T.DoubleType()) for n in STREAM_FEATURES])),
+    ])
+
+
+def parse_packets(raw: DataFrame, value_col: str = "value", id_col: str | None = None) -> DataFrame:
+    """ST1 for JSON packet records (file lines or Kafka values): parsed with a fixed
+    schema; a record that does not parse or has no timestamp is skipped; absent fields
+    fall back to '' / 0. Returns ``packet_records`` rows plus the nested ``features``."""
+    parsed = raw.select(F.from_json(F.col(value_col).cast("string"), packet_json_schema(),
+                                    {"mode": "PERMISSIVE"}).alias("p"),
+                        *([F.col(id_col).alias("__id")] if id_col else []))
+    ok = parsed.where(F.col("p").isNotNull() & F.col("p.timestamp").isNotNull())
+    pid = F.col("__id") if id_col else F.xxhash64(F.to_json("p"))
+    base = ok.select(pid.cast("long").alias("packet_id"),
+                     (F.col("p.timestamp") * 1e6).cast("long").alias("ts_us"),
+                     "p.source", "p.destination", "p.protocol", "p.length", "p.window_size",
+                     "p.features")
+    return packet_records(base, keep=["features"])
+
+
+def kafka_packet_stream(spark, servers: str, topic: str, starting: str = "latest") -> DataFrame:
+    """S10 on a message bus: packet JSON records from a Kafka topic (needs the Kafka
+    connector on the cluster's classpath); offsets are tracked by the query checkpoint."""
+    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+           .option("subscribe", topic).option("startingOffsets", starting).load())
+    return parse_packets(raw, "value", id_col="offset")

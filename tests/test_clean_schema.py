@@ -117,3 +117,11 @@ def test_unmatched_weight_codes_reported(spark):
     df = spark.createDataFrame([(0,), (3,), (7,), (7,)], "code int")
     out = {r["code"]: r["n_rows"] for r in L.unmatched_weight_codes(df, "code").collect()}
     assert out == {7: 2}
+
+
+def test_pad_results_keep_nulls_form(spark):
+    a = spark.createDataFrame([(1.5, "Attack")], "f double, `M1_Prediction` string")
+    b = spark.createDataFrame([(2.5, 0.25)], "f double, `M2_AttackProb` double")
+    out = C.pad_results([a, b], ["f"], ["M1_Prediction", "M2_AttackProb"], fill=None)
+    rows = sorted(out.collect(), key=lambda r: r["f"])
+    assert rows[0]["M2_AttackProb"] is None and rows[1]["M2_AttackProb"] == 0.25

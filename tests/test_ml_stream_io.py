@@ -193,3 +193,34 @@ def test_packet_times_do_not_depend_on_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     utc = FL.packets_to_flows(FL.packet_records(FL.events_as_packets(ev))).collect()
     assert sorted(map(tuple, la), key=repr) == sorted(map(tuple, utc), key=repr)
+
+
+def test_json_packet_records_stream(spark, tmp_path):
+    """S10 + ST1: JSON packet lines as a stream; malformed records and records without a
+    timestamp are skipped; absent fields fall back; nested features are kept."""
+    d = tmp_path / "packets"
+    d.mkdir()
+    (d / "p1.json").write_text("\n".join([
+        '{"timestamp": 10.5, "source": "a", "destination": "b", "protocol": 6, "length": 60, '
+        '"features": {"flow_duration": 1.0, "tot_fwd_pkts": 2.0}}',
+        '{"timestamp": 11.0, "source": "b", "length": 40}',
+        'not json at all',
+        '{"source": "x", "destination": "y"}',
+    ]) + "\n")
+    raw = spark.readStream.format("text").load(str(d))
+    parsed = FL.parse_packets(raw, "value")
+    q = (parsed.writeStream.format("memory").queryName("json_packets")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    rows = sorted(spark.table("json_packets").collect(), key=lambda r: r["ts_us"])
+    assert [r["ts_us"] for r in rows] == [10_500_000, 11_000_000]
+    assert rows[1]["destination"] == "" and rows[1]["protocol"] == 0
+    assert rows[0]["features"]["tot_fwd_pkts"] == 2.0 and rows[0]["src_a"] == "a"
+
+
+def test_smote_to_rebalance_plan(spark):
+    from flowlens.operators import sample as R
+    base = _toy(spark, 40).where("label = 1 OR id < 10")  # 5 vs 20 rows: n/k = 12.5
+    out = SM.smote(base, "id", "label", "arr", bucket_length=4.0, plan=R.rebalance_plan(base, "label"))
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {0.0: 12, 1.0: 20}
