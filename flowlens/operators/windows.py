@@ -104,17 +104,25 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence
         "__bucket", *[f"__in_{c}" for c in cols], *[f"__off_{c}" for c in cols])
 
 
+RANK_HASH_DIGITS_CONF = "flowlens.rank.hashDigits"
+
+
 def hash_rank(df: DataFrame, groups: Sequence[str], key: str, rank: str = "rank",
-              hash_col: str = "__h", bucket_bits: int = 12,
+              hash_col: str = "__h", bucket_bits: int | None = None,
               total: str | None = None) -> DataFrame:
     """Exact rank 1.. within ``groups`` by (md5(key as text), key), distributed.
 
-    The first hex digits of the md5 pick one of 2**bucket_bits buckets; since md5 is
-    uniform, a class holding a third of all rows is still spread over all buckets.
+    The first hex digits of the md5 pick one of 16**digits buckets (session setting
+    ``flowlens.rank.hashDigits``, default 3 = 4096; raise it as data grows so one
+    (group, bucket) stays a task-sized sort); since md5 is uniform, a class holding a
+    third of all rows is still spread over all buckets.
     rank = rows of the group in earlier buckets + row_number inside (group, bucket).
     ``total`` (optional) names a column with the group's row count, taken from the same
     (group x bucket) count table (no extra pass)."""
-    nb_hex = max(1, (bucket_bits + 3) // 4)
+    if bucket_bits is None:  # session setting (hex digits of md5 -> 16**digits buckets)
+        nb_hex = int(df.sparkSession.conf.get(RANK_HASH_DIGITS_CONF, "3"))
+    else:
+        nb_hex = max(1, (bucket_bits + 3) // 4)
     h = F.md5(F.col(key).cast("string"))
     d = df.withColumns({hash_col: h,
                         "__hb": F.conv(F.substring(h, 1, nb_hex), 16, 10).cast("int")})

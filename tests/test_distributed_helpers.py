@@ -122,3 +122,15 @@ def test_exact_quantiles_sketch_bracket_path(spark):
     # accuracy 100 -> n (6000) >= 2 * accuracy: the approximate sketch brackets the ranks
     q = SC.exact_quantiles(df, ["v"], [0.1, 0.5, 0.9], bins=8, accuracy=100)
     assert np.allclose(q["v"], np.percentile(vals, [10, 50, 90]), rtol=0, atol=1e-12)
+
+
+def test_hash_rank_digits_setting(spark):
+    df = _data(spark)
+    spark.conf.set("flowlens.rank.hashDigits", "1")
+    try:
+        got = {r["id"]: r["rank"] for r in W.hash_rank(df, ["g"], "id").collect()}
+    finally:
+        spark.conf.unset("flowlens.rank.hashDigits")
+    w = Window.partitionBy("g").orderBy(F.md5(F.col("id").cast("string")), "id")
+    ref = {r["id"]: r["r"] for r in df.select("id", F.row_number().over(w).alias("r")).collect()}
+    assert got == ref
