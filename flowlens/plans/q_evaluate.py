@@ -159,3 +159,44 @@ SELECT d.true_class, g.grid,
 FROM d JOIN st USING (true_class) CROSS JOIN g GROUP BY d.true_class, g.grid""")
 def score_kde(spark, sf):
     return E.score_kde(scored(spark, sf), "truth", "score_a")
+
+
+# ---- binary case: truth = labels.quality (1 positive), score = a rule on documents ------
+def _binary_long(spark, sf):
+    from flowlens.sources.tables import table
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    # inner join on the label key: only labelled documents have a truth
+    j = docs.join(lab, "doc_id").select(
+        F.col("quality").cast("string").alias("truth"),
+        F.least(F.lit(1.0), F.col("n_chars") / 10000.0).alias("score_1"))
+    return E.one_vs_rest(j, "truth", {"1": "score_1"})
+
+
+_BIN = """
+WITH o AS (SELECT '1' AS class, least(1.0, d.n_chars / 10000.0) AS score,
+                  CAST(l.quality = 1 AS BIGINT) AS pos
+           FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT class, score, CAST(sum(pos) AS BIGINT) AS tp, CAST(sum(1 - pos) AS BIGINT) AS fp
+      FROM o GROUP BY class, score),
+c AS (SELECT *, sum(tp) OVER w AS tp_cum, sum(fp) OVER w AS fp_cum,
+        sum(tp) OVER (PARTITION BY class) AS P, sum(fp) OVER (PARTITION BY class) AS N
+      FROM g WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+"""
+
+
+@register("binary_roc", _BIN + """
+SELECT class, score AS threshold, round(CASE WHEN N > 0 THEN fp_cum / N END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN tp_cum / P END, 6) AS tpr FROM c
+UNION ALL SELECT DISTINCT class, CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE FROM g""")
+def binary_roc(spark, sf):
+    """A27 binary: ROC of the positive class (column 1) for document quality."""
+    return E.roc_points(_binary_long(spark, sf))
+
+
+@register("binary_auc", _BIN + """
+SELECT class, round(sum((CASE WHEN N > 0 THEN fp / N END) * (CASE WHEN P > 0 THEN (2 * tp_cum - tp) / (2 * P) END)), 6) AS auc
+FROM c GROUP BY class""")
+def binary_auc(spark, sf):
+    """A28 binary."""
+    return E.auc(_binary_long(spark, sf))
