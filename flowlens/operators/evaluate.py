@@ -81,12 +81,12 @@ def class_report(df: DataFrame, truth: str, pred: str, digits: int = 6) -> DataF
                         F.col("support").cast("long").alias("support"))
     n = F.sum("support")
     summary = pc.agg(
-        r(F.sum("tp") / n).alias("acc"),
+        r(F.try_divide(F.sum("tp"), n)).alias("acc"),
         r(F.avg("precision")).alias("mp"), r(F.avg("recall")).alias("mr"),
         r(F.avg("f1_score")).alias("mf"),
-        r(F.sum(F.col("precision") * F.col("support")) / n).alias("wp"),
-        r(F.sum(F.col("recall") * F.col("support")) / n).alias("wr"),
-        r(F.sum(F.col("f1_score") * F.col("support")) / n).alias("wf"),
+        r(F.try_divide(F.sum(F.col("precision") * F.col("support")), n)).alias("wp"),
+        r(F.try_divide(F.sum(F.col("recall") * F.col("support")), n)).alias("wr"),
+        r(F.try_divide(F.sum(F.col("f1_score") * F.col("support")), n)).alias("wf"),
         n.cast("long").alias("n"))
     rows = summary.select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
@@ -115,11 +115,13 @@ def summary_metrics(df: DataFrame, truth: str, pred: str, digits: int = 6) -> Da
     n, c = F.col("n"), F.col("c")
     den = F.sqrt((n * n - F.col("pp")) * (n * n - F.col("tt")))
     mcc = F.when(den > 0, (c * n - F.col("tp_sum")) / den).otherwise(0.0)
-    pe = F.col("tp_sum") / (n * n)
-    kappa = F.when(pe != 1, (c / n - pe) / (1 - pe))
+    pe = F.try_divide(F.col("tp_sum"), n * n)  # NULL on an empty input
+    kappa = F.when(pe != 1, (F.try_divide(c, n) - pe) / (1 - pe))
     r = lambda x: F.round(x, digits)
-    return agg.select(r(c / n).alias("accuracy"), r(F.col("wp") / n).alias("precision"),
-                      r(F.col("wr") / n).alias("recall"), r(F.col("wf") / n).alias("f1_score"),
+    return agg.select(r(F.try_divide(c, n)).alias("accuracy"),
+                      r(F.try_divide(F.col("wp"), n)).alias("precision"),
+                      r(F.try_divide(F.col("wr"), n)).alias("recall"),
+                      r(F.try_divide(F.col("wf"), n)).alias("f1_score"),
                       r(mcc).alias("matthews_corrcoef"), r(kappa).alias("cohen_kappa"))
 
 
@@ -217,10 +219,10 @@ def score_kde(df: DataFrame, truth: str, score: str, points: int = 51,
     j = join_small(distinct, stats, on="true_class", how="inner")
     g = j.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))) \
         .withColumn("grid", F.col("i") / float(points - 1))
-    z = (F.col("grid") - F.col("s")) / F.col("h")
+    z = F.try_divide(F.col("grid") - F.col("s"), F.col("h"))  # h = 0: one distinct score
     k = F.col("cnt") * F.exp(-0.5 * z * z)
     out = g.groupBy("true_class", "grid").agg(
-        (F.sum(k) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
+        F.try_divide(F.sum(k), F.first("n") * F.first("h") * math.sqrt(2 * math.pi)).alias("density"))
     return out.select("true_class", "grid", F.round("density", digits).alias("density"))
 
 

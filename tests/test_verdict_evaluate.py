@@ -112,3 +112,12 @@ def test_wide_votes_equal_union_votes(spark):
     cols = sorted(a.columns)
     assert sorted((tuple(r) for r in a.select(*cols).collect()), key=repr) == \
         sorted((tuple(r) for r in b.select(*cols).collect()), key=repr)
+
+
+def test_degenerate_inputs_do_not_raise(spark):
+    one = spark.createDataFrame([("a", 0.5), ("a", 0.5)], "t string, s double")
+    k = E.score_kde(one, "t", "s").collect()
+    assert len(k) == 51 and all(r["density"] is None for r in k)
+    empty = spark.createDataFrame([], "t string, p string")
+    m = E.summary_metrics(empty, "t", "p").first()
+    assert m is None or m["accuracy"] is None
