@@ -224,3 +224,13 @@ def test_smote_to_rebalance_plan(spark):
     out = SM.smote(base, "id", "label", "arr", bucket_length=4.0, plan=R.rebalance_plan(base, "label"))
     counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
     assert counts == {0.0: 12, 1.0: 20}
+
+
+def test_cli_list_and_query(spark, tmp_path, capsys):
+    from flowlens.__main__ import main
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out
+    assert "consensus (oracle)" in listed and "smote (rows)" in listed
+    out = str(tmp_path / "q")
+    assert main(["query", "class_distribution", "--sf", SF001, "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 3
