@@ -154,9 +154,12 @@ def sessionize(packets: DataFrame, gap_seconds: float, bucket_seconds: float = 8
         .drop("__bucket", "__ls", "__lcum", "__off", "__fs")
 
 
-def packets_to_flows(packets: DataFrame, gap_seconds: float = 6 * 3600.0) -> DataFrame:
-    """ST2 (batch): one row per flow with the 11 flow features."""
-    s = sessionize(packets, gap_seconds)
+def packets_to_flows(packets: DataFrame, gap_seconds: float = 6 * 3600.0,
+                     bucket_seconds: float = 86400.0) -> DataFrame:
+    """ST2 (batch): one row per flow with the 11 flow features. ``bucket_seconds`` is the
+    time slice one window task sorts per key (lower it when one key carries a large
+    share of the traffic)."""
+    s = sessionize(packets, gap_seconds, bucket_seconds)
     g = s.groupBy(*KEY, "session_no").agg(*_flow_aggs())
     g = g.withColumn("session_start", micros_to_ntz(F.col("__t0")))
     return _flow_features(g, [*KEY, "session_start"])

@@ -234,3 +234,10 @@ def test_cli_list_and_query(spark, tmp_path, capsys):
     out = str(tmp_path / "q")
     assert main(["query", "class_distribution", "--sf", SF001, "--out", out]) == 0
     assert spark.read.parquet(out).count() == 3
+
+
+def test_flows_do_not_depend_on_bucket_width(spark):
+    p = FL.packet_records(FL.events_as_packets(spark.read.parquet(f"{SF001}/events.parquet")))
+    day = FL.packets_to_flows(p, 6 * 3600, bucket_seconds=86400).collect()
+    hour = FL.packets_to_flows(p, 6 * 3600, bucket_seconds=3600).collect()
+    assert sorted(map(tuple, day), key=repr) == sorted(map(tuple, hour), key=repr)
