@@ -19,6 +19,7 @@ from flowlens.operators.windows import running_sum
 from flowlens.session import cut_lineage
 
 MAX_CLASSES = 10_000
+CURVE_BUCKETS = 64  # equal-depth buckets per class for the ROC / PR running sums
 
 
 def _classes(counts: DataFrame) -> list[str]:
@@ -155,11 +156,15 @@ def curve_counts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     checkpoint folder instead of re-scanning the source for each of them."""
     g = cut_lineage(long.groupBy("class", "score").agg(F.sum("pos").alias("tp"),
                                                         F.sum("neg").alias("fp")))
-    # per class: score range (for the buckets) and totals, in one small aggregation
+    # per class, in one small aggregation: totals and equal-depth bucket boundaries over
+    # the distinct scores (approximate quantiles), so running-sum tasks stay balanced
+    # however the scores are distributed
+    nb = CURVE_BUCKETS
+    fracs = [i / nb for i in range(1, nb)]
     stats = materialize_small(g.groupBy("class").agg(
-        F.min("score").alias("__lo"), F.max("score").alias("__hi"),
+        F.array_distinct(F.percentile_approx("score", fracs, 10000)).alias("__bounds"),
         F.sum("tp").alias("P"), F.sum("fp").alias("N")), MAX_CLASSES)
-    cum = running_sum(g, ["class"], "score", ["tp", "fp"], desc=True, ranges=stats)
+    cum = running_sum(g, ["class"], "score", ["tp", "fp"], desc=True, bounds=stats)
     totals = stats.select("class", "P", "N")
     return cum.join(F.broadcast(totals), on="class", how="inner"), totals
 

@@ -23,11 +23,21 @@ def default_buckets(df: DataFrame) -> int:
 
 def add_range_bucket(df: DataFrame, order: str, groups: Sequence[str], n_buckets: int,
                      desc: bool = False, bucket: str = "__bucket",
-                     width: float | None = None, ranges: DataFrame | None = None) -> DataFrame:
+                     width: float | None = None, ranges: DataFrame | None = None,
+                     bounds: DataFrame | None = None) -> DataFrame:
     """Equal-width range bucket of ``order`` within each group (0 = first in order).
 
     With ``width`` the buckets are fixed slices of the order axis shared by all groups
-    (use when there are many groups: a group only gets the buckets it has rows in)."""
+    (use when there are many groups: a group only gets the buckets it has rows in).
+    With ``bounds`` (groups + ``__bounds``: sorted inner boundaries, e.g. approximate
+    quantiles) the buckets are equal-depth: bucket = boundaries below the value, so a
+    crowded value range still spreads over many buckets."""
+    if bounds is not None:
+        j = df.join(F.broadcast(bounds.select(*groups, "__bounds")), on=list(groups)) if groups \
+            else df.withColumn("__bounds", F.lit(bounds.first()["__bounds"]))
+        below = F.size(F.filter("__bounds", lambda b: b < F.col(order)))
+        nb = F.size("__bounds")
+        return j.withColumn(bucket, (nb - below) if desc else below).drop("__bounds")
     if width:
         x = F.floor(F.col(order).cast("double") / float(width))
         return df.withColumn(bucket, (-x if desc else x).cast("long"))
@@ -81,14 +91,15 @@ def global_lag(df: DataFrame, order: str, cols: Sequence[str], n_buckets: int |
 def running_sum(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence[str],
                 desc: bool = True, n_buckets: int | None = None,
                 suffix: str = "_cum", width: float | None = None,
-                ranges: DataFrame | None = None) -> DataFrame:
+                ranges: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Cumulative sums of ``cols`` within ``groups`` ordered by the unique-per-group
     ``order`` column (rows up to and including the current one).
 
     Distributed: running sum inside (group, range bucket), plus the total of all earlier
     buckets of the group from a (groups x buckets)-row summary."""
     n_buckets = n_buckets or default_buckets(df)
-    b = add_range_bucket(df, order, groups, n_buckets, desc=desc, width=width, ranges=ranges)
+    b = add_range_bucket(df, order, groups, n_buckets, desc=desc, width=width, ranges=ranges,
+                         bounds=bounds)
     o = F.col(order).desc() if desc else F.col(order).asc()
     w = Window.partitionBy(*groups, "__bucket").orderBy(o).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -134,3 +134,17 @@ def test_hash_rank_digits_setting(spark):
     w = Window.partitionBy("g").orderBy(F.md5(F.col("id").cast("string")), "id")
     ref = {r["id"]: r["r"] for r in df.select("id", F.row_number().over(w).alias("r")).collect()}
     assert got == ref
+
+
+def test_running_sum_equal_depth_bounds(spark):
+    df = _data(spark).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    bounds = df.groupBy("g").agg(F.array_distinct(
+        F.percentile_approx("v", [i / 8 for i in range(1, 8)], 1000)).alias("__bounds"))
+    bounds = spark.createDataFrame(bounds.collect(), bounds.schema)
+    for desc in (True, False):
+        got = {(r["g"], r["v"]): r["c_cum"] for r in
+               W.running_sum(df, ["g"], "v", ["c"], desc=desc, bounds=bounds).collect()}
+        o = F.desc("v") if desc else F.asc("v")
+        w = Window.partitionBy("g").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+        ref = {(r["g"], r["v"]): r["x"] for r in df.select("g", "v", F.sum("c").over(w).alias("x")).collect()}
+        assert got == ref
