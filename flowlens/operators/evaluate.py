@@ -229,7 +229,3 @@ def score_kde(df: DataFrame, truth: str, score: str, points: int = 51,
     out = g.groupBy("true_class", "grid").agg(
         F.try_divide(F.sum(k), F.first("n") * F.first("h") * math.sqrt(2 * math.pi)).alias("density"))
     return out.select("true_class", "grid", F.round("density", digits).alias("density"))
-
-
-def ovr_scores(classes: Sequence[str], cols: Sequence[str]) -> dict[str, str]:
-    return dict(zip(classes, cols))
