@@ -14,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.joins import join_small, materialize_small
+from flowlens.operators.joins import fetch_bounded, join_small, materialize_small
 from flowlens.operators.windows import running_sum
 from flowlens.session import cut_lineage
 
 MAX_CLASSES = 10_000
+CELL_LIMIT = 200_000  # non-zero confusion cells kept as a local table
 CURVE_BUCKETS = 64  # equal-depth buckets per class for the ROC / PR running sums
 
 
@@ -39,8 +40,14 @@ def confusion_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Every (true, predicted) cell of the class set, absent cells 0."""
+    """Every (true, predicted) cell of the class set, absent cells 0.
+
+    The non-zero cells (at most classes^2 rows, bounded) are computed once and kept as a
+    local table; the class list and the grid join both read that copy."""
     counts = confusion_counts(df, truth, pred)
+    local = fetch_bounded(counts, CELL_LIMIT)
+    if local is not None:
+        counts = local
     classes = _classes(counts)
     grid = df.sparkSession.createDataFrame(
         [(t, p) for t in classes for p in classes], "true_class string, pred_class string")

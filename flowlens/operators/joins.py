@@ -26,13 +26,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     The small side is computed ONCE: at most ``max_rows + 1`` rows are fetched; when
     within the bound, that materialised copy is broadcast (so the join does not recompute
     it, and its lineage is cut); otherwise the original frame joins by shuffle."""
-    local = _fetch_bounded(small, max_rows)
+    local = fetch_bounded(small, max_rows)
     if local is not None:
         return big.join(F.broadcast(local), on=on, how=how)
     return big.join(small, on=on, how=how)
 
 
-def _fetch_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
+def fetch_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
     """At most ``max_rows`` rows of ``df`` as a local (driver-built) DataFrame, moved
     through Arrow; None when ``df`` has more rows."""
     spark = df.sparkSession
@@ -52,7 +52,7 @@ def _fetch_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
 def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Compute a bounded small table once and return it as local data (raises when it
     exceeds ``max_rows``)."""
-    local = _fetch_bounded(df, max_rows)
+    local = fetch_bounded(df, max_rows)
     if local is None:
         raise ValueError(f"expected at most {max_rows} rows")
     return local
