@@ -41,6 +41,7 @@ def main(argv=None) -> int:
     c.add_argument("--csv", required=True)
     c.add_argument("--models", required=True)
     c.add_argument("--out", required=True)
+    c.add_argument("--results-csv", help="also write the wide results table as CSV")
     args = ap.parse_args(argv)
 
     from flowlens.session import get_spark
@@ -78,6 +79,9 @@ def main(argv=None) -> int:
     votes, cons = W.classify_flows(flows, "flow_id", feats, models, MODEL_NAMES)
     write_results(cons, args.out, fmt="parquet")
     write_results(votes, args.out.rstrip("/") + "_votes", fmt="parquet")
+    if args.results_csv:
+        write_results(W.results_table(flows, "flow_id", feats, models, MODEL_NAMES),
+                      args.results_csv)
     return 0
 
 

@@ -177,9 +177,16 @@ def test_cli_train_and_classify(spark, tmp_path):
     models = str(tmp_path / "models")
     assert main(["train", "--csv", str(csv), "--models", models, "--small"]) == 0
     out = str(tmp_path / "verdicts")
-    assert main(["classify", "--csv", str(csv), "--models", models, "--out", out]) == 0
+    res = str(tmp_path / "results_csv")
+    assert main(["classify", "--csv", str(csv), "--models", models, "--out", out,
+                 "--results-csv", res]) == 0
     cons = spark.read.parquet(out)
     assert cons.count() == 200
+    table = spark.read.option("header", True).csv(res)
+    assert table.columns[:2] == ["destination_port", "flow_duration"]
+    assert table.columns[70:74] == ["GBM_AttackProb", "GBM_Prediction",
+                                    "Random Forest_AttackProb", "Random Forest_Prediction"]
+    assert table.columns[-1] == "flow_id" and table.count() == 200
     assert set(r[0] for r in cons.select("majority_prediction").distinct().collect()) <= {"Attack", "Benign"}
 
 
