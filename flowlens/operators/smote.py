@@ -1,61 +1,173 @@
-"""SMOTE oversampling (R5) on Spark.
+"""SMOTE oversampling (R5) on Spark, with exact same-class nearest neighbours.
 
-Neighbour candidates come from random-projection LSH (Spark ML
-``BucketedRandomProjectionLSH``): rows of the same class sharing a bucket in any hash
-table are candidate pairs, found by an equi-join on (class, table, bucket) — never a
-class-wide self join. Among candidates each row keeps its 5 nearest (exact distance).
-Synthetic point = a + u * (b - a) with u and the choice of b from ``xxhash64``.
+The k nearest other rows of the same class (Euclidean) are found without a class-wide self
+join and without emitting all pairs of any group:
+
+1. identical points of a class collapse to one distinct point with a multiplicity, so a
+   value repeated by a third of all rows is a single row from here on;
+2. candidates: on a few random unit directions each distinct point takes the ``window``
+   points before and after it in projection order, inside equal-depth buckets of the
+   projection (one task sorts one bucket): at most 2 x window x directions per point;
+3. exact completion: r = distance of the k-th nearest candidate row (multiplicities
+   counted, own copies at distance 0). A closer point lies within r of it on every
+   direction, so a band join on the first direction (equi-join on bins about the median r
+   wide, the point side expanded to the bins its band covers) finds every one of them; a
+   point with fewer than k candidate rows searches its class's whole projection range.
+   Only pairs within r on all directions reach the distance check.
+
+Synthetic row = a + u * (b - a), with b drawn from the k neighbour rows and u and the draw
+from ``xxhash64`` (deterministic). A class with a single row repeats it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import vector_to_array
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.ensemble import with_features
-from flowlens.operators.joins import join_small
-from flowlens.operators.windows import hash_rank
+from flowlens.operators.joins import join_small, materialize_small
+from flowlens.operators.windows import add_range_bucket, hash_rank
+from flowlens.session import cut_lineage
 
 SEED = 42
+ROWS_PER_BUCKET = 50_000  # distinct points per projection bucket (one sorted window task)
+MAX_BAND_BINS = 100_000  # the band bins of a class are at least range / this wide
+MAX_CLASSES = 10_000
 
 
 def _u(*parts) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
-                          bucket_length: float = 0.5, tables: int = 4) -> DataFrame:
-    """(key, label, nbrs: array<struct<dist, nkey, arr>>) with up to ``k`` nearest
-    same-class candidates per row."""
-    feats = with_features(df.select(key, label, array_col), array_col)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="__hashes",
-                                      bucketLength=bucket_length, numHashTables=tables,
-                                      seed=SEED).fit(feats)
-    hashed = lsh.transform(feats).select(
-        key, label, F.col(array_col).cast("array<double>").alias("__arr"),
-        F.posexplode(F.transform("__hashes", lambda v: vector_to_array(v)[0])).alias("__t", "__b"))
-    a = hashed.alias("a")
-    b = hashed.alias("b")
-    pairs = a.join(b, (F.col(f"a.{label}") == F.col(f"b.{label}")) & (F.col("a.__t") == F.col("b.__t"))
-                   & (F.col("a.__b") == F.col("b.__b")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
-    pairs = pairs.select(F.col(f"a.{key}").alias(key), F.col(f"a.{label}").alias(label),
-                         F.col("a.__arr").alias("__a"), F.col(f"b.{key}").alias("__nkey"),
-                         F.col("b.__arr").alias("__barr")).dropDuplicates([key, "__nkey"])
-    dist = F.sqrt(F.aggregate(F.zip_with("__a", "__barr", lambda x, y: (x - y) * (x - y)),
+def _dot(a, b) -> F.Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _dist(a, b) -> F.Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
                               F.lit(0.0), lambda s, v: s + v))
-    pairs = pairs.withColumn("__d", dist)
-    w = Window.partitionBy(key).orderBy("__d", "__nkey")
-    top = pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    return top.groupBy(key, label).agg(F.sort_array(F.collect_list(
-        F.struct(F.col("__d").alias("dist"), F.col("__nkey").alias("nkey"),
-                 F.col("__barr").alias("arr")))).alias("nbrs"))
+
+
+def distinct_points(df: DataFrame, key: str, label: str, array_col: str,
+                    directions: int = 4) -> DataFrame:
+    """(label, __arr, __pid = smallest key, __m = rows, __s = projections) per distinct
+    point of a class; the projections use ``directions`` fixed random unit vectors."""
+    base = df.select(key, label, F.col(array_col).cast("array<double>").alias("__arr"))
+    first = base.select(F.size("__arr").alias("d")).first()
+    dim = max(1, first["d"]) if first else 1
+    rng = np.random.default_rng(SEED)
+    dirs = rng.normal(size=(directions, dim))
+    dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
+    proj = [_dot(F.col("__arr"), F.array(*[F.lit(float(x)) for x in d])) for d in dirs]
+    return (base.groupBy(label, "__arr")
+            .agg(F.min(key).alias("__pid"), F.count(F.lit(1)).alias("__m"))
+            .withColumn("__s", F.array(*proj)))
+
+
+def _candidates(pts: DataFrame, label: str, window: int, classes: list) -> DataFrame:
+    """Stage 2: projection-order neighbours -> (p, q, d, q_m, q_arr)."""
+    nb_c = {r[label]: max(1, math.ceil(r["__nd"] / ROWS_PER_BUCKET)) for r in classes}
+    nb_max = max(nb_c.values(), default=1)
+    long = pts.select(label, "__pid", "__m", "__arr", F.posexplode("__s").alias("__t", "__v"))
+    if nb_max > 1:
+        probs = [i / nb_max for i in range(1, nb_max)]
+        step = F.element_at(F.map_from_arrays(
+            F.array(*[F.lit(c) for c in nb_c]),
+            F.array(*[F.lit(max(1, nb_max // n)) for n in nb_c.values()])), F.col(label))
+        bounds = long.groupBy(label, "__t").agg(
+            F.percentile_approx("__v", probs, 10000).alias("__all"))
+        bounds = bounds.select(label, "__t", F.array_distinct(F.filter(
+            "__all", lambda x, i: (i + 1) % step == 0)).alias("__bounds"))
+        long = add_range_bucket(long, "__v", [label, "__t"], nb_max,
+                                bounds=materialize_small(bounds))
+    else:
+        long = long.withColumn("__bucket", F.lit(0))
+    w = (Window.partitionBy(label, "__t", "__bucket").orderBy("__v", "__pid")
+         .rowsBetween(-window, window))
+    near = long.withColumn("__near", F.collect_list(F.struct(
+        F.col("__pid").alias("q"), F.col("__m").alias("q_m"), F.col("__arr").alias("q_arr"))).over(w))
+    pairs = near.select(label, F.col("__pid").alias("p"), F.col("__m").alias("p_m"),
+                        F.col("__arr").alias("__a"), F.inline("__near")).where(F.col("q") != F.col("p"))
+    return pairs.select(label, "p", "p_m", "q", "q_m", "q_arr",
+                        _dist(F.col("__a"), F.col("q_arr")).alias("d")).dropDuplicates(["p", "q"])
+
+
+def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
+                          directions: int = 4, window: int = 8) -> DataFrame:
+    """(label, __arr, __total, nbrs) per distinct point: ``nbrs`` = the k nearest other
+    rows of its class as array<struct<cum_end, d, q, arr>> (own copies first at distance 0,
+    then by (distance, point key); ``cum_end`` = rows up to and including the entry),
+    ``__total`` = min(k, other rows of the class)."""
+    pts = cut_lineage(distinct_points(df, key, label, array_col, directions))
+    classes = materialize_small(pts.groupBy(label).agg(
+        F.count(F.lit(1)).alias("__nd"), F.min(F.col("__s")[0]).alias("__lo0"),
+        F.max(F.col("__s")[0]).alias("__hi0")), MAX_CLASSES).collect()
+    cand = _candidates(pts, label, window, classes)
+
+    # radius: distance at which own copies + candidate rows reach k (null: never)
+    cw = Window.partitionBy("p").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, 0)
+    rad = cand.withColumn("__cum", F.sum("q_m").over(cw)).groupBy("p").agg(
+        F.min(F.when(F.col("p_m") - 1 + F.col("__cum") >= k, F.col("d"))).alias("__r"))
+    pr = pts.join(rad, pts["__pid"] == rad["p"], "left").drop("p").withColumn(
+        "__r", F.when(F.col("__m") - 1 >= k, F.lit(0.0)).otherwise(F.col("__r")))
+    pr = cut_lineage(pr)
+
+    # band width per class: median positive radius, at least range / MAX_BAND_BINS
+    med = {r[label]: r["w"] for r in materialize_small(
+        pr.where(F.col("__r") > 0).groupBy(label).agg(
+            F.percentile_approx("__r", 0.5, 10000).alias("w")), MAX_CLASSES).collect()}
+    cls = {}
+    for r in classes:
+        if r[label] is None:  # no band search for unlabelled rows (map keys are non-null)
+            continue
+        span = (r["__hi0"] - r["__lo0"]) if r["__hi0"] is not None else 0.0
+        w = max(med.get(r[label]) or 0.0, span / MAX_BAND_BINS)
+        cls[r[label]] = (w if w > 0 else 1.0, r["__lo0"], r["__hi0"])
+    keys = [F.lit(c) for c in cls]
+    ctab = F.map_from_arrays(F.array(*keys), F.array(*[F.struct(
+        F.lit(float(w)).alias("w"), F.lit(lo).cast("double").alias("lo"),
+        F.lit(hi).cast("double").alias("hi")) for w, lo, hi in cls.values()]))
+    c = F.element_at(ctab, F.col(label))
+    s0 = F.col("__s")[0]
+    lo = F.when(F.col("__r").isNull(), c["lo"]).otherwise(s0 - F.col("__r"))
+    hi = F.when(F.col("__r").isNull(), c["hi"]).otherwise(s0 + F.col("__r"))
+    probe = pr.where(F.col("__r").isNull() | (F.col("__r") > 0)).select(
+        label, F.col("__pid").alias("p"), F.col("__m").alias("p_m"), F.col("__arr").alias("__a"),
+        F.col("__s").alias("__ps"),
+        "__r", F.explode(F.sequence(F.floor(lo / c["w"]), F.floor(hi / c["w"]))).alias("__bin"))
+    ref = pts.select(label, F.col("__pid").alias("q"), F.col("__m").alias("q_m"),
+                     F.col("__arr").alias("q_arr"), F.col("__s").alias("__qs"),
+                     F.floor(s0 / c["w"]).alias("__bin"))
+    inside = F.col("__r").isNull() | F.forall(
+        F.zip_with("__ps", "__qs", lambda a, b: F.abs(a - b)), lambda x: x <= F.col("__r"))
+    band = probe.join(ref, [label, "__bin"]).where((F.col("q") != F.col("p")) & inside) \
+        .select(label, "p", "p_m", "q", "q_m", "q_arr", _dist(F.col("__a"), F.col("q_arr")).alias("d"), "__r") \
+        .where(F.col("__r").isNull() | (F.col("d") <= F.col("__r"))).drop("__r")
+
+    allp = cand.unionByName(band).dropDuplicates(["p", "q"])
+    fw = Window.partitionBy("p").orderBy("d", "q")
+    before = F.coalesce(F.sum("q_m").over(fw.rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0)) + F.col("p_m") - 1
+    top = allp.withColumn("__before", before).where(F.col("__before") < k).select(
+        "p", F.struct((F.col("__before") + F.least(F.col("q_m"), k - F.col("__before")))
+                      .alias("cum_end"), "d", "q", F.col("q_arr").alias("arr")).alias("e"))
+    lists = top.groupBy("p").agg(F.sort_array(F.collect_list("e")).alias("__others"))
+    own = F.least(F.col("__m") - 1, F.lit(k))
+    own_e = F.when(own > 0, F.array(F.struct(own.cast("long").alias("cum_end"), F.lit(0.0).alias("d"),
+                                             F.col("__pid").alias("q"), F.col("__arr").alias("arr"))))
+    nb = pts.join(lists, pts["__pid"] == lists["p"], "left").select(
+        label, "__arr", F.concat(F.coalesce(own_e, F.array().cast(
+            "array<struct<cum_end:bigint,d:double,q:bigint,arr:array<double>>>")),
+            F.coalesce("__others", F.array().cast(
+                "array<struct<cum_end:bigint,d:double,q:bigint,arr:array<double>>>"))).alias("nbrs"))
+    return nb.withColumn("__total", F.coalesce(F.try_element_at("nbrs", F.lit(-1))["cum_end"], F.lit(0)))
 
 
 def smote(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
-          bucket_length: float = 0.5, tables: int = 4, plan: DataFrame | None = None,
-          target: str = "target") -> DataFrame:
+          plan: DataFrame | None = None, target: str = "target", directions: int = 4,
+          window: int = 8) -> DataFrame:
     """Oversample every class to the majority class size, or to ``plan``'s
     per-class ``target`` (e.g. ``sample.rebalance_plan``: classes below n/k up to n/k).
     Output: the original rows (copy = -1) plus synthetic rows (origin key, copy number),
@@ -74,12 +186,12 @@ def smote(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
     copies = (F.floor(F.col("__need") / F.col("__n"))
               + F.when(F.col("__r") < F.col("__need") % F.col("__n"), 1).otherwise(0)).cast("int")
     need = ranked.withColumn("__m", copies).where(F.col("__m") > 0)
-    nb = same_class_neighbours(df, key, label, array_col, k, bucket_length, tables)
-    j = need.join(nb.select(key, "nbrs"), key, "left")
+    nb = same_class_neighbours(df, key, label, array_col, k, directions, window)
+    j = need.join(nb.withColumnRenamed("__arr", array_col), [label, array_col], "left")
     j = j.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
-    n_nb = F.coalesce(F.size("nbrs"), F.lit(0))
-    pick = F.when(n_nb > 0, F.element_at("nbrs", (F.pmod(F.xxhash64(F.lit(SEED), F.col(key),
-                                                                    F.col("copy")), n_nb) + 1).cast("int")))
+    total = F.coalesce(F.col("__total"), F.lit(0))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(key), F.col("copy")), total)
+    pick = F.when(total > 0, F.element_at(F.filter("nbrs", lambda e: e["cum_end"] > draw), 1))
     j = j.withColumn("__pick", pick).withColumn("__u", _u(F.col(key), F.col("copy"), F.lit(7)))
     point = F.when(F.col("__pick").isNull(), F.col(array_col)).otherwise(
         F.zip_with(array_col, "__pick.arr", lambda a, b: a + F.col("__u") * (b - a)))

@@ -48,7 +48,7 @@ def test_local_surrogate_shape(spark):
 
 def test_smote_points_between_same_class_rows(spark):
     base = _toy(spark, 40).where("label = 1 OR id < 10")  # class 0 is the minority
-    out = SM.smote(base, "id", "label", "arr", bucket_length=4.0)
+    out = SM.smote(base, "id", "label", "arr")
     counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
     assert counts[0.0] == counts[1.0]
     src = {r["id"]: np.array(r["arr"]) for r in base.collect()}
@@ -60,6 +60,46 @@ def test_smote_points_between_same_class_rows(spark):
         assert ok
 
 
+def test_smote_neighbours_exact_with_small_buckets(spark, monkeypatch):
+    """Equal-depth projection buckets (as on a large class) keep the neighbours exact."""
+    monkeypatch.setattr(SM, "ROWS_PER_BUCKET", 20)
+    test_smote_neighbours_exact_against_brute_force(spark)
+
+
+def test_smote_neighbours_exact_against_brute_force(spark):
+    """The k nearest other rows of the same class equal a numpy brute force, with exact
+    duplicates (own copies come first at distance 0) and a class smaller than k."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        lab = i % 3
+        v = (rng.normal(size=6) * (1 + lab)).round(3)
+        rows.append((i, lab, v.tolist()))
+    for i in range(300, 340):  # 40 copies of one point of class 0
+        rows.append((i, 0, rows[0][2]))
+    rows += [(400, 7, [0.0] * 6), (401, 7, [1.0] * 6), (402, 7, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, label int, arr array<double>")
+    nb = SM.same_class_neighbours(df, "id", "label", "arr", k=5, window=2).collect()
+    got = {(r["label"], tuple(r["__arr"])): r for r in nb}
+    by_class = {}
+    for i, lab, v in rows:
+        by_class.setdefault(lab, []).append((i, np.array(v)))
+    for (lab, arr), r in got.items():
+        a = np.array(arr)
+        members = by_class[lab]
+        own = [i for i, v in members if np.array_equal(v, a)]
+        others = sorted((float(np.linalg.norm(v - a)), i) for i, v in members
+                        if not np.array_equal(v, a))
+        expect = [0.0] * min(len(own) - 1, 5) + [d for d, _ in others][:max(0, 5 - (len(own) - 1))]
+        seen = []
+        prev = 0
+        for e in r["nbrs"]:
+            seen += [e["d"]] * (e["cum_end"] - prev)
+            prev = e["cum_end"]
+        assert r["__total"] == len(expect)
+        assert seen == pytest.approx(expect, abs=1e-9)
+
+
 def _between(p, a, b):
     d = b - a
     if np.allclose(d, 0):
@@ -71,7 +111,7 @@ def _between(p, a, b):
 def test_smote_single_row_class_is_repeated(spark):
     rows = [(0, 0.0, [0.0, 0.0]), (1, 1.0, [1.0, 1.0]), (2, 1.0, [1.1, 1.0]), (3, 1.0, [1.0, 1.2])]
     df = spark.createDataFrame(rows, "id long, label double, arr array<double>")
-    out = SM.smote(df, "id", "label", "arr", bucket_length=10.0)
+    out = SM.smote(df, "id", "label", "arr")
     synth = out.where("label = 0 AND copy >= 0").collect()
     assert len(synth) == 2 and all(r["arr"] == [0.0, 0.0] for r in synth)
 
@@ -228,7 +268,7 @@ def test_json_packet_records_stream(spark, tmp_path):
 def test_smote_to_rebalance_plan(spark):
     from flowlens.operators import sample as R
     base = _toy(spark, 40).where("label = 1 OR id < 10")  # 5 vs 20 rows: n/k = 12.5
-    out = SM.smote(base, "id", "label", "arr", bucket_length=4.0, plan=R.rebalance_plan(base, "label"))
+    out = SM.smote(base, "id", "label", "arr", plan=R.rebalance_plan(base, "label"))
     counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
     assert counts == {0.0: 12, 1.0: 20}
 
