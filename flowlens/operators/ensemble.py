@@ -56,6 +56,18 @@ def forest(num_trees: int = 100, max_depth: int = 30, min_leaf: int = 1,
     return rf
 
 
+def fit_persisted(estimator, df: DataFrame):
+    """Fit on a persisted copy of ``df``: tree learners scan their input several times
+    before the first level (metadata, split candidates, binning), and each scan would
+    otherwise recompute the input's lineage (joins, windows). Lost blocks are recomputed
+    from lineage, so executor loss stays safe."""
+    data = df.persist()
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
+
+
 BOOST_CONFIGS = {
     # M5 gradient boosting: 500 x .05, depth 6, subsample .8, leaf 20, sqrt features
     "gbm": dict(maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8,

@@ -51,7 +51,7 @@ def trained_forest(spark, sf):
         s = split(spark, sf)
         train = M.with_balanced_weight(s.where(F.col("split") == "train"), "label")
         t0 = time.perf_counter()
-        model = M.forest(weight_col="weight", **FOREST).fit(train)
+        model = M.fit_persisted(M.forest(weight_col="weight", **FOREST), train)
         return model, time.perf_counter() - t0
     return _cached(spark, ("forest", sf), fit)
 
