@@ -43,13 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...), and we use
-    it as is. Only when nothing is configured (local tests) do we make a scratch folder.
+    it as is. Only when nothing is configured on a local master (tests) do we make a
+    scratch folder; a cluster session without the setting fails fast.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not shared by executors and dies with the host
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)"
+                               " for this cluster session")
         conf_dir = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
