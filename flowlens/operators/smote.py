@@ -73,9 +73,11 @@ def _candidates(pts: DataFrame, label: str, window: int, classes: list) -> DataF
     long = pts.select(label, "__pid", "__m", "__arr", F.posexplode("__s").alias("__t", "__v"))
     if nb_max > 1:
         probs = [i / nb_max for i in range(1, nb_max)]
-        step = F.element_at(F.map_from_arrays(
-            F.array(*[F.lit(c) for c in nb_c]),
-            F.array(*[F.lit(max(1, nb_max // n)) for n in nb_c.values()])), F.col(label))
+        named = {c: n for c, n in nb_c.items() if c is not None}  # map keys are non-null
+        step = F.coalesce(F.element_at(F.map_from_arrays(
+            F.array(*[F.lit(c) for c in named]),
+            F.array(*[F.lit(max(1, nb_max // n)) for n in named.values()])), F.col(label)),
+            F.lit(1))
         bounds = long.groupBy(label, "__t").agg(
             F.percentile_approx("__v", probs, 10000).alias("__all"))
         bounds = bounds.select(label, "__t", F.array_distinct(F.filter(
