@@ -67,7 +67,7 @@ def distinct_points(df: DataFrame, key: str, label: str, array_col: str,
 
 
 def _candidates(pts: DataFrame, label: str, window: int, classes: list) -> DataFrame:
-    """Stage 2: projection-order neighbours -> (p, q, d, q_m, q_arr)."""
+    """Step 2: projection-order neighbours -> (label, p, p_m, q, q_m, q_arr, d)."""
     nb_c = {r[label]: max(1, math.ceil(r["__nd"] / ROWS_PER_BUCKET)) for r in classes}
     nb_max = max(nb_c.values(), default=1)
     long = pts.select(label, "__pid", "__m", "__arr", F.posexplode("__s").alias("__t", "__v"))
