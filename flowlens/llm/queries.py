@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from flowlens.llm import compression, urlfilter
+from flowlens.llm import bpe, compression, kmtree, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
+    "op4_kmeans_tree_search": kmtree.query,
+    "op5_bpe_trie": bpe.query,
     "op7_compression_bands": compression.query,
 }
-ORACLES = {"op1_url_filter": urlfilter.ORACLE_SQL}
+ORACLES = {
+    "op1_url_filter": urlfilter.ORACLE_SQL,
+}

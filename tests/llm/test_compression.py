@@ -45,15 +45,17 @@ def test_counts_equal_brute_force(spark):
 
 
 def test_bands(spark):
-    rng = random.Random(7)
-    vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
-    prose = [" ".join(rng.choices(vocab, k=rng.randrange(150, 1500))) for _ in range(80)]
-    half = prose[0] + " ".join(rng.choices(vocab, k=1500)) + " spam" * 2000
+    sf, rng = "/root/testdata/sf0.001", random.Random(7)
+    good = (spark.read.parquet(f"{sf}/documents.parquet")
+            .join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+            .orderBy("doc_id").toPandas().text)
+    prose = [t for t in good if len(t.split()) > 100]
+    half = prose[0] + " spam" * 2000
     noise = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(5000))
-    texts = [*prose, "again and " * 900, half, noise]
-    out = _measure(spark, [(i, t, None, None) for i, t in enumerate(texts)])
-    assert not out.repetitive[:80].any() and not out.incompressible[:80].any()
-    assert out.repetitive[80] and out.repetitive[81] and out.incompressible[82]
+    n = len(prose)
+    out = _measure(spark, [(i, t, None, None) for i, t in enumerate([*prose, "again and " * 900, half, noise])])
+    assert not out.repetitive[:n].any() and not out.incompressible[:n].any()
+    assert out.repetitive[n] and out.repetitive[n + 1] and out.incompressible[n + 2]
 
 
 def test_empty_table_and_repeated_rows(spark):
