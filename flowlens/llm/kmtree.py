@@ -39,6 +39,8 @@ from flowlens.llm import common as C
 SAMPLE, BRANCH, LEAF = 20_000, 16, 100
 CALIBRATION, RECALL = 64, 0.96
 BLOCK, QUERY_BLOCK = 4000, 2000
+#: Room for rounding of the matrix product when candidates are taken.
+SLACK = 1e-9
 VECTOR = T.ArrayType(T.DoubleType())
 
 
@@ -152,23 +154,25 @@ def fit_tree(rows: DataFrame, sample: int = SAMPLE, branch: int = BRANCH, leaf:
     return Tree.fit(unit(x) if len(x) else x, branch, leaf)
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """(row, column) of each row's ``k`` largest scores, ties to the smaller id; own id left out."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
+def nearest_rows(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int):
+    """(row of a, row of b, cosine) of each row's ``k`` nearest in b, ties to the smaller id;
+    rows of b with the row's own id are left out.
+
+    A matrix product finds the candidates; their cosines are then summed row by row, so that
+    equal vectors have equal scores wherever they stand.
+    """
+    ua, ub = unit(a), unit(b)
+    scores = np.where(ids[None, :] == own[:, None], -np.inf, ua @ ub.T)
     if scores.shape[1] > 4 * k:
         kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-        r, c = np.nonzero((scores >= kth) & (scores > -np.inf))
+        r, c = np.nonzero((scores >= kth - SLACK) & (scores > -np.inf))
     else:
         r, c = np.nonzero(scores > -np.inf)
-    order = np.lexsort((ids[c], -scores[r, c], r))
-    r, c = r[order], c[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[place < k], c[place < k]
-
-
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact cosines of two matrices' rows, in double precision."""
-    return unit(a) @ unit(b).T
+    score = (ua[r] * ub[c]).sum(axis=1)
+    order = np.lexsort((ids[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[first], c[first], score[first]
 
 
 def exact_neighbours(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
@@ -181,10 +185,9 @@ def exact_neighbours(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFram
             ids, leaf = batch["id"].to_numpy(), batch["leaf"].to_numpy()
             for at in range(0, len(ids), BLOCK):
                 part = slice(at, at + BLOCK)
-                s = cosines(q, matrix(batch["v"].slice(at, BLOCK)))
-                r, c = _top(s, ids[part], qid, k)
+                r, c, s = nearest_rows(q, qid, matrix(batch["v"].slice(at, BLOCK)), ids[part], k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[r]), pa.array(ids[part][c]), pa.array(leaf[part][c]), pa.array(s[r, c])],
+                    [pa.array(qid[r]), pa.array(ids[part][c]), pa.array(leaf[part][c]), pa.array(s)],
                     names=["query_id", "vec_id", "leaf", "score"])
 
     return rows.select("id", "v", "leaf").mapInArrow(
@@ -271,13 +274,11 @@ def search(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, k: int
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         qid, ids = left["id"].to_numpy(), right["id"].to_numpy()
-        r = c = np.zeros(0, np.int64)
-        s = np.zeros((0, 0))
+        r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(qid) and len(ids):
-            s = cosines(matrix(left["v"]), matrix(right["v"]))
-            r, c = _top(s, ids, qid, k)
+            r, c, s = nearest_rows(matrix(left["v"]), qid, matrix(right["v"]), ids, k)
         return pa.table({"query_id": pa.array(qid[r], pa.int64()), "vec_id": pa.array(ids[c], pa.int64()),
-                         "score": pa.array(s[r, c] if len(r) else [], pa.float64())})
+                         "score": pa.array(s, pa.float64())})
 
     keys = ["leaf", "block", "query_block"]
     found = ask.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(

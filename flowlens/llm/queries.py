@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from flowlens.llm import bpe, compression, kmtree, urlfilter
+from flowlens.llm import bpe, compression, kmtree, packing, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
     "op4_kmeans_tree_search": kmtree.query,
     "op5_bpe_trie": bpe.query,
     "op7_compression_bands": compression.query,
+    "op8_cutting_stock_packing": packing.query,
 }
 ORACLES = {
     "op1_url_filter": urlfilter.ORACLE_SQL,

@@ -9,7 +9,13 @@ from flowlens.llm import kmtree as K
 SCHEMA = "vec_id long, embedding array<float>, leaf string, v int"
 
 
+def _single(rows):
+    return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], *more)
+            for i, v, *more in rows]
+
+
 def _brute(rows, k, is_query):
+    rows = _single(rows)
     use = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and v and None not in v
            and np.isfinite(v).all() and any(v)]
     width = max(set(len(v) for _, v in use), key=[len(v) for _, v in use].count)
