@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flowlens.llm import bpe, compression, kmtree, packing, urlfilter
+from flowlens.llm import bpe, compression, kmtree, langid, packing, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
+    "op2_language_spans": langid.query,
     "op4_kmeans_tree_search": kmtree.query,
     "op5_bpe_trie": bpe.query,
     "op7_compression_bands": compression.query,
