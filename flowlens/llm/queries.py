@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowlens.llm import bpe, compression, kmtree, langid, packing, urlfilter
+from flowlens.llm import bpe, compression, kmtree, langid, packing, ruleensemble, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
     "op2_language_spans": langid.query,
+    "op3_rule_ensemble": ruleensemble.query,
     "op4_kmeans_tree_search": kmtree.query,
     "op5_bpe_trie": bpe.query,
     "op7_compression_bands": compression.query,
