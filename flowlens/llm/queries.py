@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import bpe, compression, kmtree, langid, packing, ruleensemble, urlfilter
+from flowlens.llm import bpe, compression, kmtree, langid, ngramjoin, packing, ruleensemble, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe_trie": bpe.query,
     "op7_compression_bands": compression.query,
     "op8_cutting_stock_packing": packing.query,
+    "op9_ngram_jaccard_join": ngramjoin.query,
 }
 ORACLES = {
     "op1_url_filter": urlfilter.ORACLE_SQL,
