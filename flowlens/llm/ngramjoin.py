@@ -255,11 +255,12 @@ def least_overlap(a, b, percent: int):
 
 
 def postings(records: DataFrame, percent: int) -> DataFrame:
-    """(code, class, n, pos, shared): the coded prefix shingles of every class; ``pos`` counts from
-    0 in the rare-first order of the whole set, ``shared`` is the mean rarity of the set."""
+    """(code, class, n, alone, pos, shared): the coded prefix shingles of every class; ``alone`` is its
+    number of shingles without a code, ``pos`` counts from 0 in the rare-first order of the whole
+    set, ``shared`` is the mean rarity of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for name, n, raw in zip(*(batch[c].to_pylist() for c in ("class", "n", "codes")), strict=True):
                 code = np.frombuffer(raw, "<u8")
                 alone = n - len(code)
@@ -269,13 +270,14 @@ def postings(records: DataFrame, percent: int) -> DataFrame:
                 take = min(take, len(code))
                 mean = (float((code >> np.uint64(KEY_BITS)).sum()) + alone) / n
                 for col, v in zip(out, (code[:take].view(np.int64), np.full(take, name), np.full(take, n),
-                                        np.arange(alone, alone + take), np.full(take, mean)), strict=True):
+                                        np.full(take, alone), np.arange(alone, alone + take), np.full(take, mean)), strict=True):
                     col.append(v)
             cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["code", "class", "n", "pos", "shared"])
+                cols, [pa.int64()] * 5 + [pa.float64()], strict=True)],
+                names=["code", "class", "n", "alone", "pos", "shared"])
 
-    return records.mapInArrow(run, "code long, class long, n long, pos long, shared double")
+    return records.mapInArrow(run, "code long, class long, n long, alone long, pos long, shared double")
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
@@ -310,11 +312,17 @@ def verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u > v, of two tables ``(code, class, n, pos, part)`` that share a code, lie in different
-    parts and pass the length and positional filters; each pair once."""
+    """(u, v), u > v, of two tables ``(code, class, n, alone, pos, part)`` that share a code, lie in
+    different parts and pass the length and positional filters; each pair once.
+
+    At any shared code the intersection is at most the coded shingles before it and all
+    behind it; at the pair's first shared code nothing before it is shared."""
     a, b = left.alias("a"), right.alias("b")
     joined = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.part") != F.col("b.part"))
-                    & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n")))
+                    & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
+                    & (F.least(F.expr("a.pos - a.alone"), F.expr("b.pos - b.alone"))
+                       + F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos"))
+                       >= least_overlap(F.col("a.n"), F.col("b.n"), percent)))
     swap = F.col("a.class") < F.col("b.class")
     u = F.struct(F.col("a.class").alias("c"), F.col("a.n").alias("n"), F.col("a.pos").alias("p"))
     v = F.struct(F.col("b.class").alias("c"), F.col("b.n").alias("n"), F.col("b.pos").alias("p"))
@@ -330,16 +338,16 @@ def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = C.staged(postings(records, percent), "postings")
     links, done, parts = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        named = lists.select("code", "class", "n", "pos", "shared")
+        named = lists.select("code", "class", "n", "alone", "pos", "shared")
         named = (named.withColumn("part", F.col("class")) if parts is None else
                  named.join(parts.withColumnRenamed("node", "class"), "class", "left")
-                 .select("code", "class", "n", "pos", "shared", F.coalesce("root", "class").alias("part")))
+                 .select("code", "class", "n", "alone", "pos", "shared", F.coalesce("root", "class").alias("part")))
         hubs = named.groupBy("code").agg(
-            F.max(F.struct("shared", "class", "n", "pos", "part")).alias("hub"),
+            F.max(F.struct("shared", "class")).alias("hub"),
             F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        hubs = hubs.select("code", "hub.*")
+        hubs = hubs.select("code", F.col("hub.class").alias("hub"))
         if turn < HUB_ROUNDS:
-            lists = C.staged(named.join(hubs.select("code", F.col("class").alias("hub")), "code"), "lists")
+            lists = C.staged(named.join(hubs, "code"), "lists")
             rest = lists.where(F.col("class") != F.col("hub"))
             own = lists.where(F.col("class") == F.col("hub"))
             pairs = _candidates(rest, own, percent)
