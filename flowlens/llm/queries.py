@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import bpe, compression, kmtree, langid, ngramjoin, packing, ruleensemble, urlfilter
+from flowlens.llm import bpe, compression, htmltext, kmtree, langid, ngramjoin, packing, ruleensemble, sharding, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_rule_ensemble": ruleensemble.query,
     "op4_kmeans_tree_search": kmtree.query,
     "op5_bpe_trie": bpe.query,
+    "op6_extendible_hashing": sharding.query,
     "op7_compression_bands": compression.query,
     "op8_cutting_stock_packing": packing.query,
     "op9_ngram_jaccard_join": ngramjoin.query,
+    "op10_wrapper_induction": htmltext.query,
 }
 ORACLES = {
     "op1_url_filter": urlfilter.ORACLE_SQL,
+    "op6_extendible_hashing": sharding.ORACLE_SQL,
 }
