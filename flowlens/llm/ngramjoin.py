@@ -43,8 +43,8 @@ from flowlens.llm.components import connected_components
 WORDS, PERCENT = 4, 85
 KEY_BITS, LOW_BITS = 52, 48
 HOT_SHARE = 1 << 17
-BUCKET_ROWS = 1 << 21
-GROUP_BYTES = 12 << 20
+BUCKET_ROWS = 1 << 20
+GROUP_BYTES = 6 << 20
 HUB_ROUNDS = 2
 SUFFIX_DEPTH = 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -127,7 +127,8 @@ def _blocks(place: np.ndarray, name: np.ndarray, total: np.ndarray, value: np.nd
     new[1:] = (place[1:] != place[:-1]) | (name[1:] != name[:-1])
     run = np.flatnonzero(new)
     sizes = np.diff(np.append(run, len(place))).astype("<u4")
-    spot, first = np.unique(place[run], return_index=True)
+    first = np.flatnonzero(np.append(True, place[run][1:] != place[run][:-1])) if len(run) else run
+    spot = place[run][first]
     first = np.append(first, len(run))
     at = np.append(run, len(place))
     raw = np.ascontiguousarray(value.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
@@ -323,14 +324,8 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
                     & (F.least(F.expr("a.pos - a.alone"), F.expr("b.pos - b.alone"))
                        + F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos"))
                        >= least_overlap(F.col("a.n"), F.col("b.n"), percent)))
-    swap = F.col("a.class") < F.col("b.class")
-    u = F.struct(F.col("a.class").alias("c"), F.col("a.n").alias("n"), F.col("a.pos").alias("p"))
-    v = F.struct(F.col("b.class").alias("c"), F.col("b.n").alias("n"), F.col("b.pos").alias("p"))
-    ordered = joined.select(F.when(swap, v).otherwise(u).alias("x"), F.when(swap, u).otherwise(v).alias("y"))
-    pairs = (ordered.groupBy(F.col("x.c").alias("u"), F.col("y.c").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
-             .agg(F.min(F.struct("x.p", F.col("y.p").alias("q"))).alias("first")))
-    room = F.least(F.col("nu") - F.col("first.p"), F.col("nv") - F.col("first.q"))
-    return pairs.where(room >= least_overlap(F.col("nu"), F.col("nv"), percent)).select("u", "v")
+    u, v = F.col("a.class"), F.col("b.class")
+    return joined.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
 
 def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
