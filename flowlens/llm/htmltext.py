@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from flowlens.llm import common as C
 from flowlens.llm.urlfilter import host_of
 
-DEPTH, TEXTS, LEAST_PAGES, CONSTANT = 200, 8, 5, 0.8
+DEPTH, TEXTS, LEAST_PAGES, CONSTANT = 200, 64, 5, 0.8
 #: Wrapper nodes kept per host (the most frequent); wrappers up to so many bytes are broadcast.
 NODES, BROADCAST_BYTES = 2000, 8 << 20
 HOSTS_AT_ONCE = 5000
@@ -207,9 +207,6 @@ def page_tree(html: str) -> tuple[Node, list[tuple[str, Node]], list, dict[int,
     tree, made = slots(root)
     for text, owner in found:
         made[id(owner)][2][text_key(text)] = 1
-    for node in made.values():
-        if len(node[2]) > TEXTS:       # a list of varying texts: only what recurs can stay
-            node[2] = dict(sorted(node[2].items())[:4 * TEXTS])
     return root, found, tree, made
 
 
@@ -252,9 +249,8 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
     texts = dict(a[2])
     for k, n in b[2].items():
         texts[k] = texts.get(k, 0) + n
-    if len(texts) > TEXTS:             # frequent-item counters: the smallest pays for all
-        cut = sorted(texts.values(), reverse=True)[TEXTS]
-        texts = {k: n - cut for k, n in texts.items() if n > cut}
+    if len(texts) > TEXTS:             # what both sides have has counted up and stays
+        texts = dict(sorted(texts.items(), key=lambda x: (-x[1], x[0]))[:TEXTS])
     children, i, j = [], 0, 0
     for p, q in [*pairs, (len(a[3]), len(b[3]))]:
         children += a[3][i:p] + b[3][j:q]
@@ -282,6 +278,12 @@ def pruned(wrapper: list) -> list:
     return keep(wrapper)
 
 
+def template(wrapper: list) -> list:
+    """The wrapper with the texts that are constant only."""
+    return [wrapper[0], wrapper[1], {k: n for k, n in wrapper[2].items() if n >= CONSTANT * wrapper[1]},
+            [template(c) for c in wrapper[3]]]
+
+
 def constants(tree: list, wrapper: list) -> dict[int, set[str]]:
     """Alignment node -> texts that are template, by aligning a page with its wrapper."""
     out: dict[int, set[str]] = {}
@@ -289,7 +291,7 @@ def constants(tree: list, wrapper: list) -> dict[int, set[str]]:
 
     def walk(a, w):
         if w[1] >= LEAST_PAGES:
-            out[id(a)] = {k for k, n in w[2].items() if n >= CONSTANT * w[1]}
+            out[id(a)] = set(w[2])
         for i, j in match(a, w, memo)[1]:
             walk(a[3][i], w[3][j])
 
@@ -365,16 +367,16 @@ def induce(pages: DataFrame) -> DataFrame:
                 yield from given()
         yield from given()
 
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
+    def merged(key: tuple, table: pa.Table, last: bool) -> pa.Table:
         trees = [json.loads(w) for w in table["wrapper"].to_pylist()]
         out = trees[0]
         for t in trees[1:]:
             out = pruned(merge(out, t))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(out)]})
+        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(template(out) if last else out)]})
 
     parts = pages.mapInArrow(partial, "host string, wrapper string").withColumn("part", F.xxhash64("wrapper") % 32)
-    some = parts.groupBy("host", "part").applyInArrow(lambda k, t: merged(k, t), "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(lambda k, t: merged(k, t), "host string, wrapper string")
+    some = parts.groupBy("host", "part").applyInArrow(lambda k, t: merged(k, t, False), "host string, wrapper string")
+    return some.groupBy("host").applyInArrow(lambda k, t: merged(k, t, True), "host string, wrapper string")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -84,6 +84,7 @@ def test_frequent_shingles_and_small_buckets_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT_SHARE", 100)
     monkeypatch.setattr(J, "BUCKET_ROWS", 50)
     monkeypatch.setattr(J, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(J, "BEFORE", 2)
     got = _run(spark, rows)
     assert _groups((i, v[1]) for i, v in got.items()) == _groups((i, v[1]) for i, v in want.items())
 
