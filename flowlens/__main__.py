@@ -14,11 +14,13 @@ import sys
 from pyspark.sql import functions as F
 
 
-def _flows(spark, path: str):
-    from flowlens.sources.schema import FLOW_COLUMNS, flow_schema, read_flow_csv
-    df = read_flow_csv(spark, path, schema=flow_schema())
+def _flows(spark, path: str, label: str = "label"):
+    from flowlens.sources.schema import FLOW_COLUMNS, align_names, check_contract, read_flow_csv
+    df = check_contract(read_flow_csv(spark, path, labels=(label, "Label")))
     # CSV rows have no key: a row id from the scan (stable for a given file and split)
-    return df.withColumn("flow_id", F.monotonically_increasing_id()), FLOW_COLUMNS
+    df = df.withColumn("flow_id", F.monotonically_increasing_id())
+    keys = ["flow_id", *(c for c in df.columns if c in (label, "label") and c not in FLOW_COLUMNS)]
+    return align_names(df, FLOW_COLUMNS, keys=keys), FLOW_COLUMNS
 
 
 def main(argv=None) -> int:
@@ -66,7 +68,7 @@ def main(argv=None) -> int:
     from flowlens import workflows as W
     from flowlens.functions.fixed import MODEL_NAMES
     from flowlens.sources.sinks import load_registry, write_results
-    flows, feats = _flows(spark, args.csv)
+    flows, feats = _flows(spark, args.csv, getattr(args, "label", "label"))
     if args.cmd == "train":
         _, metrics = W.train_models(flows, "flow_id", args.label, feats, benign=args.benign,
                                     save_root=args.models, small=args.small)

@@ -64,8 +64,18 @@ def fmt2(c: Column) -> Column:
 
 
 def prettify(c: Column) -> Column:
-    """'_' -> ' ' then title case (Spark ``initcap``: only word starts after spaces)."""
-    return F.initcap(F.regexp_replace(c, "_", " "))
+    """'_' -> ' ' then title case: a letter after a non-letter is upper, the rest lower."""
+    runs = F.regexp_extract_all(F.lower(F.regexp_replace(c, "_", " ")), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
+                                                             F.substring(r, 2, 1 << 30))), "")
+
+
+def usable(*probs: Column) -> Column:
+    """Whether all probabilities are there and finite."""
+    ok = F.lit(True)
+    for p in probs:
+        ok = ok & p.isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf"))
+    return F.coalesce(ok, F.lit(False))
 
 
 def interpretation(is_attack: Column, attack: Column, model: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.joins import join_small
+from flowlens.operators.joins import join_groups
 
 SEED = 42
 
@@ -40,7 +40,7 @@ def with_balanced_weight(df: DataFrame, label: str, out: str = "weight") -> Data
     w = Window.partitionBy()
     counts = counts.select(label, (F.sum("__c").over(w) / (F.count(F.lit(1)).over(w) * F.col("__c")))
                            .alias(out))
-    return join_small(df, counts, on=label, how="inner")
+    return join_groups(df, counts, on=label)
 
 
 # ---- estimators (reference settings as defaults; queries pass smaller ones) ----------

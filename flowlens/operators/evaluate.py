@@ -19,6 +19,7 @@ from flowlens.operators.windows import running_sum
 from flowlens.session import cut_lineage
 
 MAX_CLASSES = 10_000
+NO_CLASS = "(none)"
 CELL_LIMIT = 200_000  # non-zero confusion cells kept as a local table
 CURVE_BUCKETS = 64  # equal-depth buckets per class for the ROC / PR running sums
 
@@ -34,8 +35,12 @@ def _classes(counts: DataFrame) -> list[str]:
 
 
 def confusion_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Non-zero cells (true_class, pred_class, n): the only pass over the scored rows."""
-    return df.groupBy(F.col(truth).alias("true_class"), F.col(pred).alias("pred_class")).agg(
+    """Non-zero cells (true_class, pred_class, n): the only pass over the scored rows.
+
+    A row without truth or prediction is counted in a class of its own, ``NO_CLASS``: an
+    unscored row is a wrong one, never a missing one."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NO_CLASS))
+    return df.groupBy(named(truth).alias("true_class"), named(pred).alias("pred_class")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -71,7 +71,7 @@ def row_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def extreme_columns(df: DataFrame, cols: Sequence[str],
                     threshold: float = fixed.EXTREME_ABS) -> list[str]:
     """A11 selection: columns with |max| > threshold (one aggregation, one small row)."""
-    r = df.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
+    r = df.agg(*[F.abs(F.max(c)).alias(c) for c in cols]).first()
     return [c for c in cols if r[c] is not None and r[c] > threshold]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,15 @@ def bounded_count(df: DataFrame, bound: int) -> int:
     return df.limit(bound + 1).count()
 
 
+def join_groups(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
+                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``join_small`` on group columns where NULL is a group of its own (as in GROUP BY)."""
+    keys = [on] if isinstance(on, str) else list(on)
+    named = small.withColumnsRenamed({k: f"__group_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__group_{k}")) for k in keys))
+    return join_small(big, named, same, how, max_rows).drop(*(f"__group_{k}" for k in keys))
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join ``big`` with ``small``, broadcasting ``small`` only when it has at most
@@ -35,18 +45,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 def fetch_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
     """At most ``max_rows`` rows of ``df`` as a local (driver-built) DataFrame, moved
     through Arrow; None when ``df`` has more rows."""
-    spark = df.sparkSession
-    try:
-        pdf = df.limit(max_rows + 1).toPandas()
-        if len(pdf) > max_rows:
-            return None
-        return spark.createDataFrame(pdf, schema=df.schema) if len(pdf) else \
-            spark.createDataFrame([], df.schema)
-    except Exception:  # types Arrow cannot carry: plain rows
-        rows = df.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            return None
-        return spark.createDataFrame(rows, df.schema)
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
 def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -91,50 +91,46 @@ def name_flags(cols: Sequence[str]) -> list[tuple[str, bool, bool]]:
     return out
 
 
-WIDE_CORR_COLUMNS = 24
-
-
-def abs_correlations(df: DataFrame, cols: Sequence[str], digits: int = 6,
-                     method: str = "auto") -> DataFrame:
-    """|Pearson| for every pair i < j (upper triangle), in ONE pass over the data.
-
-    Narrow inputs ("sql"): one aggregation with covar_pop / (stddev_pop * stddev_pop) per
-    pair; a constant column gives NULL instead of an ANSI divide-by-zero error.
-    Wide inputs ("gramian", auto above WIDE_CORR_COLUMNS columns, e.g. the 70 flow
-    features = 2415 pairs): Spark ML ``Correlation.corr`` builds the Gramian with a tree
-    aggregation and returns the k x k matrix (bounded by k^2) - rows with a NULL in any
-    column are skipped there, so clean first (P4)."""
-    if method == "gramian" or (method == "auto" and len(cols) > WIDE_CORR_COLUMNS):
-        return _gramian_correlations(df, cols, digits)
-    aggs = [F.stddev_pop(c).alias(f"sd__{c}") for c in cols]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs += [F.covar_pop(cols[i], cols[j]).alias(f"cov__{i}_{j}") for i, j in pairs]
-    row = df.agg(*aggs)
-    structs = [F.struct(
-        F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-        F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-        F.round(F.abs(F.try_divide(F.col(f"cov__{i}_{j}"),
-                                   F.col(f"sd__{cols[i]}") * F.col(f"sd__{cols[j]}"))),
-                digits).alias("abs_corr")) for i, j in pairs]
-    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-
-
-def _gramian_correlations(df: DataFrame, cols: Sequence[str], digits: int) -> DataFrame:
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=list(cols), outputCol="__v", handleInvalid="skip") \
-        .transform(df.select(*[F.col(c).cast("double") for c in cols])).select("__v")
-    m = Correlation.corr(vec, "__v").first()[0].toArray()
-    rows = []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            v = float(m[i, j])
-            rows.append((cols[i], cols[j], i, j,
-                         None if math.isnan(v) else round(abs(v), digits)))
-    return df.sparkSession.createDataFrame(
-        rows, "feature_a string, feature_b string, pos_a int, pos_b int, abs_corr double")
+def abs_correlations(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+    """|Pearson| for every pair i < j (upper triangle) over the rows where both are there
+    (NULL and NaN are missing, pair by pair); NULL where one of them is constant there.
+
+    Two passes for any width: one aggregation gives each column's centre, then every task
+    adds up the moments of all pairs (one row per pair and task) and Spark sums them."""
+    cols = list(cols)
+    k = len(cols)
+    given = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
+                        for i, c in enumerate(cols)])
+    mid = given.agg(*[F.struct(F.avg(c).alias("m"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+                      for c in given.columns]).first()
+    centre = [0.0 if r.m is None else r.lo if r.lo == r.hi else r.m for r in mid]
+
+    def moments(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            x = np.where(there, x - centre, 0.0)
+            one = there.astype(float)
+            part = np.stack([one.T @ one, x.T @ one, one.T @ x, (x * x).T @ one, one.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(k, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(
+                pa.array(t[i, j]) for t in total)], names=["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    sums = (given.mapInArrow(moments, "i int, j int, n double, a double, b double, aa double, bb double, ab double")
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")]))
+    var_a, var_b = F.expr("aa - a * try_divide(a, n)"), F.expr("bb - b * try_divide(b, n)")
+    corr = F.try_divide(F.expr("ab - a * try_divide(b, n)"), F.sqrt(F.greatest(var_a, F.lit(0.0)) * F.greatest(var_b, F.lit(0.0))))
+    pairs = df.sparkSession.createDataFrame(
+        [(cols[i], cols[j], i, j) for i in range(k) for j in range(i + 1, k)],
+        "feature_a string, feature_b string, pos_a int, pos_b int")
+    j = pairs.join(sums, (F.col("pos_a") == F.col("i")) & (F.col("pos_b") == F.col("j")), "left")
+    return j.select("feature_a", "feature_b", "pos_a", "pos_b", F.round(F.abs(corr), digits).alias("abs_corr"))
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str],
@@ -166,12 +162,12 @@ def variance_keep(df: DataFrame, cols: Sequence[str], threshold: float = fixed.V
 
 def scale_summary(df: DataFrame, cols: Sequence[str], threshold: float = fixed.EXTREME_ABS,
                   digits: int = 6) -> DataFrame:
-    """describe()-style stats (sample std) per column in one agg; flag |max| > threshold."""
+    """describe()-style stats (sample std) per column in one agg; flag |max(x)| > threshold."""
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"count__{c}"), F.avg(c).alias(f"mean__{c}"),
                  F.stddev_samp(c).alias(f"std__{c}"), F.min(c).alias(f"min__{c}"),
-                 F.max(c).alias(f"max__{c}"), F.max(F.abs(c)).alias(f"maxabs__{c}")]
+                 F.max(c).alias(f"max__{c}"), F.abs(F.max(c)).alias(f"maxabs__{c}")]
     row = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "max", "maxabs"]
     long = _one_row_long(row, {c: stats for c in cols}, cols)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.joins import join_small
+from flowlens.operators.joins import join_groups
 from flowlens.operators.windows import hash_rank
 
 
@@ -51,7 +51,7 @@ def undersample(df: DataFrame, label: str, key: str, plan: DataFrame,
                 target: str = "target") -> DataFrame:
     """Keep the first ``target`` rows of each class in hash order."""
     r = hash_rank(df, [label], key, rank="__r")
-    j = join_small(r, plan.select(label, target), on=label, how="inner")
+    j = join_groups(r, plan.select(label, target), on=label)
     return j.where(F.col("__r") <= F.col(target)).drop("__r", "__h", target)
 
 

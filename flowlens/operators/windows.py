@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.joins import join_small
+from flowlens.operators.joins import join_groups
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -33,7 +33,7 @@ def add_range_bucket(df: DataFrame, order: str, groups: Sequence[str], n_buckets
     quantiles) the buckets are equal-depth: bucket = boundaries below the value, so a
     crowded value range still spreads over many buckets."""
     if bounds is not None:
-        j = df.join(F.broadcast(bounds.select(*groups, "__bounds")), on=list(groups)) if groups \
+        j = join_groups(df, bounds.select(*groups, "__bounds"), on=groups) if groups \
             else df.withColumn("__bounds", F.lit(bounds.first()["__bounds"]))
         below = F.size(F.filter("__bounds", lambda b: b < F.col(order)))
         nb = F.size("__bounds")
@@ -44,9 +44,9 @@ def add_range_bucket(df: DataFrame, order: str, groups: Sequence[str], n_buckets
     if groups:
         if ranges is None:
             ranges = df.groupBy(*groups).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-            j = join_small(df, ranges, on=list(groups), how="inner")
+            j = join_groups(df, ranges, on=groups)
         else:  # already materialised by the caller (groups x 2 values)
-            j = df.join(F.broadcast(ranges.select(*groups, "__lo", "__hi")), on=list(groups))
+            j = join_groups(df, ranges.select(*groups, "__lo", "__hi"), on=groups)
     else:
         j = _attach_global(df, df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi")))
     lo, hi, x = F.col("__lo").cast("double"), F.col("__hi").cast("double"), F.col(order).cast("double")
@@ -81,7 +81,7 @@ def global_lag(df: DataFrame, order: str, cols: Sequence[str], n_buckets: int |
     # one row per non-empty (group, bucket): small, so the ordered window is cheap
     last = last.withColumn("__prev_last", F.lag("__last").over(
         Window.partitionBy(*g).orderBy("__bucket"))).select(*g, "__bucket", "__prev_last")
-    j = join_small(inner, last, on=[*g, "__bucket"], how="inner")
+    j = join_groups(inner, last, on=[*g, "__bucket"])
     return j.withColumns({
         f"{c}{suffix}": F.when(F.col("__first"), F.col(f"__prev_last.{c}"))
         .otherwise(F.col(f"__lag_{c}")) for c in cols
@@ -109,7 +109,7 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence
         Window.unboundedPreceding, -1)
     off = tot.select(*groups, "__bucket", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0))
                                              .alias(f"__off_{c}") for c in cols])
-    j = join_small(inner, off, on=[*groups, "__bucket"], how="inner")
+    j = join_groups(inner, off, on=[*groups, "__bucket"])
     return j.withColumns({f"{c}{suffix}": F.col(f"__off_{c}") + F.col(f"__in_{c}")
                           for c in cols}).drop(
         "__bucket", *[f"__in_{c}" for c in cols], *[f"__off_{c}" for c in cols])
@@ -144,6 +144,6 @@ def hash_rank(df: DataFrame, groups: Sequence[str], key: str, rank: str = "rank"
     extra = [F.sum("__n").over(Window.partitionBy(*groups)).alias(total)] if total else []
     off = counts.select(*groups, "__hb", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"),
                         *extra)
-    j = join_small(inner, off, on=[*groups, "__hb"], how="inner")
+    j = join_groups(inner, off, on=[*groups, "__hb"])
     return j.withColumn(rank, (F.col("__off") + F.col("__rn")).cast("long")).drop(
         "__hb", "__rn", "__off")

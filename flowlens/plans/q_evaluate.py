@@ -98,6 +98,23 @@ def within_class(spark, sf):
     return E.within_class(scored(spark, sf), "truth", "pred")
 
 
+_CM_NULL = _CM.replace("CASE WHEN l_quantity < 17", "CASE WHEN l_linenumber = 2 THEN '(none)' WHEN l_quantity < 17").replace(
+    "l_returnflag AS t", "coalesce(nullif(l_returnflag, 'R'), '(none)') AS t")
+
+
+@register("metrics_unscored", _CM_NULL + """
+, a AS (SELECT CAST(sum(support) AS DOUBLE) AS n, CAST(sum(tp) AS DOUBLE) AS c FROM pc)
+SELECT true_class, pred_class, n, (SELECT round(c / n, 6) FROM a) AS accuracy FROM cm""")
+def metrics_unscored(spark, sf):
+    """Rows without truth (here flag R) or prediction (line 2) are counted, as a class of their own."""
+    q = F.col("l_quantity")
+    rows = S.lineitem(spark, sf).select(
+        F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("truth"),
+        F.when(F.col("l_linenumber") == 2, None).when(q < 17, "A").when(q < 34, "N").otherwise("R").alias("pred"))
+    accuracy = E.summary_metrics(rows, "truth", "pred").select("accuracy")
+    return E.confusion_matrix(rows, "truth", "pred").crossJoin(F.broadcast(accuracy))   # one row
+
+
 _OVR = """
 WITH o AS (
   SELECT 'A' AS class, l_quantity / 50.0 AS score, CAST(l_returnflag = 'A' AS BIGINT) AS pos FROM lineitem

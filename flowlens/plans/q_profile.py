@@ -117,6 +117,20 @@ def correlated_pairs(spark, sf):
     return P.correlated_pairs(measures(spark, sf), PROF_COLS)
 
 
+# 26 columns with gaps: correlations of each pair over the rows that have both
+WIDE_COLS = [f"c{i}" for i in range(26)]
+_WIDE = [f"CASE WHEN (l_orderkey + l_linenumber) % {i + 2} <> 0 THEN l_quantity * {i % 5 + 1} + l_discount * {100 * (i % 3)}"
+         f" + l_tax * {50 * (i % 4)} - l_extendedprice / 1000 * {i % 7 % 3} END" for i in range(26)]
+
+
+@register("correlation_wide", f"""
+WITH w AS MATERIALIZED (SELECT {', '.join(f'{e} AS {c}' for e, c in zip(_WIDE, WIDE_COLS, strict=True))} FROM lineitem)
+""" + _corr_sql(WIDE_COLS, "SELECT * FROM w"))
+def correlation_wide(spark, sf):
+    li = S.lineitem(spark, sf)
+    return P.abs_correlations(li.select(*[F.expr(e).alias(c) for e, c in zip(_WIDE, WIDE_COLS, strict=True)]), WIDE_COLS)
+
+
 _FEATS_SQL = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS position"
                                 for i, c in enumerate(PROF_COLS))
 
@@ -142,7 +156,7 @@ def variance_keep(spark, sf):
 @register("extreme_scale", " UNION ALL ".join(f"""
 SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean,
        round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
-       CAST(max({c}) AS DOUBLE) AS max, max(abs({c})) > {fixed.EXTREME_ABS} AS extreme_scale
+       CAST(max({c}) AS DOUBLE) AS max, abs(max({c})) > {fixed.EXTREME_ABS} AS extreme_scale
 FROM ({MEASURES_SQL})""" for c in SCALE_COLS))
 def extreme_scale(spark, sf):
     return P.scale_summary(measures(spark, sf), SCALE_COLS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from flowlens.operators import sample as R
 from flowlens.operators import scale as SC
 from flowlens.plans import q_labels as QL
@@ -87,3 +89,16 @@ WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM ({QL._KEPT_SQL}) GROU
 def undersample(spark, sf):
     k = _kept(spark, sf)
     return R.undersample(k, "label", "o_orderkey", R.smallest_class_plan(k, "label"))
+
+
+@register("split_null_labels", """
+WITH o AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS label FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rn,
+             count(*) OVER (PARTITION BY label) AS n FROM o)
+SELECT o_orderkey, label, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split,
+       CAST((rn - 1) % 5 AS INTEGER) AS fold FROM r""")
+def split_null_labels(spark, sf):
+    """Rows without a label are a class of their own: split and folded, not dropped."""
+    o = S.orders(spark, sf).select("o_orderkey", F.when(
+        F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("label"))
+    return R.stratified_folds(R.stratified_split(o, "label", "o_orderkey"), "label", "o_orderkey")

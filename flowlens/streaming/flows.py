@@ -264,4 +264,6 @@ def kafka_packet_stream(spark, servers: str, topic: str, starting: str = "latest
     connector on the cluster's classpath); offsets are tracked by the query checkpoint."""
     raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
            .option("subscribe", topic).option("startingOffsets", starting).load())
-    return parse_packets(raw, "value", id_col="offset")
+    # an offset is unique within its partition only
+    numbered = raw.withColumn("packet", F.col("partition").cast("long") * F.lit(1 << 44) + F.col("offset"))
+    return parse_packets(numbered, "value", id_col="packet")

@@ -25,14 +25,21 @@ def test_repeated_csv_header(spark, tmp_path):
     p = tmp_path / "flows.csv"
     p.write_text("Fwd Header Length,Flow Bytes/s,Fwd Header Length,Label\n"
                  "1,Infinity,2, BENIGN\n3,NaN,4,DDoS\n")
-    df = S.read_flow_csv(spark, str(p), header_names=["Fwd Header Length", "Flow Bytes/s",
-                                                      "Fwd Header Length", "Label"])
-    assert df.columns == ["fwd_header_length", "flow_bytes_per_s", "fwd_header_length_1", "label"]
+    df = S.read_flow_csv(spark, str(p))
     typed = df.select(*[F.col(c).cast("double") for c in df.columns[:3]])
     rows = typed.collect()
     assert rows[0][1] == INF and math.isnan(rows[1][1]) and rows[1][2] == 4.0
 
 
+def test_csv_columns_bind_by_name(spark, tmp_path):
+    p = tmp_path / "flows.csv"
+    p.write_text("Label,Extra,Total Fwd Packets,flow duration\nDDoS,7,2,1.5\n")
+    out = S.align_names(S.read_flow_csv(spark, str(p)), ["Flow Duration", "Total Fwd Packets"], keys=["label"])
+    assert out.first().asDict() == {"label": "DDoS", "flow_duration": 1.5, "total_fwd_packets": 2.0}
+    with pytest.raises(ValueError, match="missing"):
+        S.check_contract(S.read_flow_csv(spark, str(p)))
+
+
 def test_contract_missing_column(spark):
     df = spark.createDataFrame([(1.0,)], "flow_duration double")
     with pytest.raises(ValueError, match="missing"):

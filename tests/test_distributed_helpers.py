@@ -90,20 +90,43 @@ def test_correlated_drop_double_column(spark):
     assert P.abs_correlations(const, ["k", "x"]).first()["abs_corr"] is None
 
 
-def test_gramian_correlation_equals_sql(spark):
-    rows = [(float(i), float((i * 37) % 11), float(i % 7) * 2.5, 3.0) for i in range(200)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
-    cols = ["a", "b", "c", "k"]
-    sql = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in
-           P.abs_correlations(df, cols, method="sql").collect()}
-    gram = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in
-            P.abs_correlations(df, cols, method="gramian").collect()}
-    assert sql.keys() == gram.keys()
-    for k in sql:
-        if sql[k] is None:
-            assert gram[k] is None
-        else:
-            assert abs(sql[k] - gram[k]) <= 2e-6
+def test_correlations_are_pairwise_complete_at_any_width(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 30)) + rng.normal(size=(300, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3] = 7.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(30)])
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for i, v in enumerate(r)) for r in x],
+                               ", ".join(f"c{i} double" for i in range(30)))
+    want = pdf.corr().abs()
+    for width in (5, 30):
+        for r in P.abs_correlations(df, list(pdf.columns[:width])).collect():
+            exp = want.loc[r.feature_a, r.feature_b]
+            assert (r.abs_corr is None and np.isnan(exp)) or abs(r.abs_corr - exp) < 2e-6
+
+
+def test_null_labels_and_scores_are_kept(spark):
+    from flowlens.operators import evaluate as E
+    from flowlens.operators import sample as R
+    rows = [(i, None if i % 10 == 0 else "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, label string")
+    assert R.stratified_split(df, "label", "k").count() == R.stratified_folds(df, "label", "k").count() == 100
+    assert R.undersample(df, "label", "k", R.smallest_class_plan(df, "label")).count() == 30
+    scored = spark.createDataFrame([("a", "a"), ("b", "b"), ("a", None), (None, "b")], "t string, p string")
+    assert E.summary_metrics(scored, "t", "p").first().accuracy == 0.5
+    assert sum(r.n for r in E.confusion_matrix(scored, "t", "p").collect()) == 4
+
+
+def test_title_case_and_extremes(spark):
+    from flowlens.functions import fixed, scalar as X
+    from flowlens.operators import features as FE
+    names = [*fixed.FLOW_FEATURES, "flow_bytes/s", "down/up_ratio", "a1b c"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(X.prettify(F.col("n"))).collect()]
+    assert got == [n.replace("_", " ").title() for n in names]
+    df = spark.createDataFrame([(-5e6, 2e6), (3.0, 1.0)], "a double, b double")
+    assert FE.extreme_columns(df, ["a", "b"], threshold=1e6) == ["b"]
 
 
 def test_name_flags_and_numeric_columns(spark):
