@@ -12,8 +12,8 @@ similarity reaches ``PERCENT``; the result are the connected components of the l
    logarithmic from 2048 on) before its hash: codes sort rare-first, for all classes alike.
 2. *Prefix.* Two linked classes share a shingle among the rarest ``n - ceil(t n) + 1`` of each.
    Shingles of one class only come first in that order and need no code.
-3. *Candidates* meet on prefix shingles and pass the length filter and, at their first common
-   shingle, the positional filter. Verification takes the suffix filter, then counts the
+3. *Candidates* meet on prefix shingles and pass the length filter and, at the shared shingle,
+   the positional filter. Verification takes the suffix filter, then counts the
    intersection, once per pair.
 4. *Groups of copies.* In each of ``HUB_ROUNDS`` rounds every prefix shingle compares its
    classes with one hub only, the class whose shingles are most widely shared; components
@@ -47,6 +47,8 @@ BUCKET_ROWS = 1 << 20
 GROUP_BYTES = 6 << 20
 HUB_ROUNDS = 2
 SUFFIX_DEPTH = 2
+#: Codes kept with a prefix shingle to tell whether a pair met before.
+BEFORE = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _KEY = np.uint64((1 << KEY_BITS) - 1)
@@ -256,12 +258,14 @@ def least_overlap(a, b, percent: int):
 
 
 def postings(records: DataFrame, percent: int) -> DataFrame:
-    """(code, class, n, alone, pos, shared): the coded prefix shingles of every class; ``alone`` is its
-    number of shingles without a code, ``pos`` counts from 0 in the rare-first order of the whole
-    set, ``shared`` is the mean rarity of the set."""
+    """(code, class, n, alone, pos, shared, before): the coded prefix shingles of every class;
+    ``alone`` is its number of shingles without a code, ``pos`` counts from 0 in the rare-first
+    order of the whole set, ``shared`` is the mean rarity of the set and ``before`` holds the
+    codes before this one, the first ``BEFORE`` of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            before, sizes = [], [np.zeros(1, np.int64)]
             for name, n, raw in zip(*(batch[c].to_pylist() for c in ("class", "n", "codes")), strict=True):
                 code = np.frombuffer(raw, "<u8")
                 alone = n - len(code)
@@ -273,12 +277,18 @@ def postings(records: DataFrame, percent: int) -> DataFrame:
                 for col, v in zip(out, (code[:take].view(np.int64), np.full(take, name), np.full(take, n),
                                         np.full(take, alone), np.arange(alone, alone + take), np.full(take, mean)), strict=True):
                     col.append(v)
+                some = np.minimum(np.arange(take), BEFORE)
+                sizes.append(some)
+                at = np.repeat(np.arange(take), some)
+                before.append(code.view(np.int64)[np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)])
             cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, [pa.int64()] * 5 + [pa.float64()], strict=True)],
-                names=["code", "class", "n", "alone", "pos", "shared"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()),
+                                             pa.array(np.concatenate(before) if before else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(
+                cols, [pa.int64()] * 5 + [pa.float64()], strict=True)), lists],
+                names=["code", "class", "n", "alone", "pos", "shared", "before"])
 
-    return records.mapInArrow(run, "code long, class long, n long, alone long, pos long, shared double")
+    return records.mapInArrow(run, "code long, class long, n long, alone long, pos long, shared double, before array<bigint>")
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
@@ -313,17 +323,22 @@ def verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u > v, of two tables ``(code, class, n, alone, pos, part)`` that share a code, lie in
-    different parts and pass the length and positional filters; each pair once.
-
-    At any shared code the intersection is at most the coded shingles before it and all
-    behind it; at the pair's first shared code nothing before it is shared."""
+    """(u, v), u > v, of two tables of postings (and ``part``) that share a code, lie in different
+    parts and pass the length and positional filters; each pair once.
+
+    A pair is taken at its first shared code: there nothing before is shared, so the
+    intersection is at most what is left from it on. A pair that shares an earlier code
+    within both lists ``before`` is left to that code; where the lists do not reach back all
+    the way, all coded shingles before count as possibly shared.
+    """
     a, b = left.alias("a"), right.alias("b")
+    earlier = F.least(F.expr("a.pos - a.alone"), F.expr("b.pos - b.alone"))
+    unknown = F.when(F.expr(f"a.pos - a.alone <= {BEFORE} and b.pos - b.alone <= {BEFORE}"), 0).otherwise(earlier)
     joined = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.part") != F.col("b.part"))
                     & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-                    & (F.least(F.expr("a.pos - a.alone"), F.expr("b.pos - b.alone"))
-                       + F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos"))
-                       >= least_overlap(F.col("a.n"), F.col("b.n"), percent)))
+                    & (unknown + F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos"))
+                       >= least_overlap(F.col("a.n"), F.col("b.n"), percent))
+                    & ~F.arrays_overlap(F.col("a.before"), F.col("b.before")))
     u, v = F.col("a.class"), F.col("b.class")
     return joined.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
@@ -333,10 +348,10 @@ def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = C.staged(postings(records, percent), "postings")
     links, done, parts = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        named = lists.select("code", "class", "n", "alone", "pos", "shared")
+        named = lists.select("code", "class", "n", "alone", "pos", "shared", "before")
         named = (named.withColumn("part", F.col("class")) if parts is None else
                  named.join(parts.withColumnRenamed("node", "class"), "class", "left")
-                 .select("code", "class", "n", "alone", "pos", "shared", F.coalesce("root", "class").alias("part")))
+                 .select("code", "class", "n", "alone", "pos", "shared", "before", F.coalesce("root", "class").alias("part")))
         hubs = named.groupBy("code").agg(
             F.max(F.struct("shared", "class")).alias("hub"),
             F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
