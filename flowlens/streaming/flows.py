@@ -186,7 +186,8 @@ def latest_n_sink(state_dir: str, n: int = 50):
     """ST3: ``foreachBatch`` function keeping the newest ``n`` packets in a parquet table
     under ``state_dir`` (a shared folder: survives driver and executor restarts).
     Each epoch merges the previous table with the batch's own top ``n`` and writes a
-    new version; replays of an epoch overwrite the same version (idempotent)."""
+    new version; replays of an epoch overwrite the same version (idempotent). Versions
+    older than the one it read are removed, so two are kept."""
     def _fn(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         top = latest_n(batch, n)
@@ -194,9 +195,21 @@ def latest_n_sink(state_dir: str, n: int = 50):
         if prev_path is not None:
             top = top.unionByName(spark.read.parquet(prev_path))
         latest_n(top, n).write.mode("overwrite").parquet(f"{state_dir}/epoch={epoch_id:012d}")
+        if prev_path is not None:
+            _remove_before(spark, state_dir, os.path.basename(prev_path))
     return _fn
 
 
+def _remove_before(spark, state_dir: str, version: str) -> None:
+    """Delete the state versions that sort before ``version``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("epoch=") and name < version:
+            fs.delete(st.getPath(), True)
+
+
 def _latest_version(spark, state_dir: str, before: int) -> str | None:
     """Path of the newest state version written by an epoch before ``before``."""
     jvm = spark.sparkContext._jvm
