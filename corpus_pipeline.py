@@ -5,14 +5,13 @@ Stages, each an operator of ``flowlens.llm`` over all rows its predecessor kept:
 1. quality classifier: rows whose score is below 0.5 go;
 2. language ID: rows without a letter, or of which no language labels at least half, go;
 3. n-gram Jaccard join: one row of each group of near duplicates stays, the one of smallest
-   doc_id (five-word shingles, Jaccard 0.8 or more; equal ids: the first in the order of
-   the rows' hash);
+   doc_id (five-word shingles, Jaccard 0.8 or more; equal ids: the first in the table);
 4. packing: the pieces of all rows in sequences of 2048 tokens.
 
 Stages 1 to 3 return the columns of ``documents``. Every stage's result is written as Parquet
 and reread as the next one's input. Null texts count as empty, are scored like any text, and
 go in stage 2; an empty table stays empty; rows are judged one by one, so repeated ids and
-further columns are no trouble (a further column ``row`` neither).
+further columns are no trouble.
 """
 
 from __future__ import annotations
@@ -30,9 +29,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(row, text): the columns of every row as one value."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       F.col("text").cast("string").alias("t"))
+    """(row): the columns of every row as one value."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +43,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: keep rows of which one language labels at least ``LEAST_LANGUAGE_SHARE``."""
     teaches = ~langid.held_out() & F.col("doc_id").isNotNull()
     model = langid.learn(docs, teaches)
-    named = langid.identify(_rows(docs), model, spans=False, id_col="row", text_col="t")
+    named = langid.identify(_rows(docs), model, spans=False, id_col="row", text_col="row.text")
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: keep one row of each component; rows without a word stay."""
-    joined = C.staged(ngramjoin.components(_rows(docs), NEAR_WORDS, NEAR_PERCENT, "row", "t")
-                      .withColumn("order", F.struct(F.col("id.doc_id").isNull().alias("none"), F.col("id.doc_id"),
-                                                    F.xxhash64("id.text"), F.monotonically_increasing_id())), "joined")
-    first = (joined.where("root is not null").groupBy("root").agg(F.min("order").alias("first")))
-    kept = joined.join(first, "root", "left").where(F.col("root").isNull() | (F.col("order") == F.col("first")))
-    return kept.select("id.*")
+    """Operator 9: keep one row of each component; rows without a word stay.
+
+    Only the rows' places travel through the join; the places that go are then taken out
+    of the table."""
+    rows = C.with_row_id(docs, "__place")
+    keys = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__place").alias("place"))
+                       .alias("key"), "text")
+    joined = C.staged(ngramjoin.components(keys, NEAR_WORDS, NEAR_PERCENT, "key", "text")
+                      .where("root is not null").select("id", "root"), "joined")
+    first = joined.groupBy("root").agg(F.min("id").alias("first"))
+    gone = C.staged(joined.join(first, "root").where(F.col("id") != F.col("first")).select("id.place.*"), "gone")
+    same = (F.col("__place.file") == gone["file"]) & (F.col("__place.row") == gone["row"])
+    return rows.join(gone, same, "left_anti").drop("__place")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def _mapped(df, path, id_col, text_col, fields, make):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.text_slices(batch, "text", C.SLICE_BYTES // 2):
+            for part in C.text_slices(batch, "text", C.SLICE_BYTES):
                 texts = [t or "" for t in part["text"].to_pylist()]
                 rows = [make(*x) for x in codec(path).encoded(texts)]
                 yield pa.RecordBatch.from_arrays(

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.session import ensure_checkpoint_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POW = np.ones(1, np.uint64)
@@ -102,14 +103,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for usual slices are kept."""
     global _POW, _POW_INV
-    if len(_POW) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for name, base in (("_POW", _BASE), ("_POW_INV", _INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.multiply.accumulate(steps)
-    return _POW[:n], _POW_INV[:n]
+    if len(_POW) >= n:
+        return _POW[:n], _POW_INV[:n]
+    out = []
+    for base in (_BASE, _INV):
+        steps = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if n <= 2 * SLICE_BYTES:
+        _POW, _POW_INV = out
+    return out[0][:n], out[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,6 +149,30 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, size: int
     return out[first], first
 
 
-def column_or_null(df: DataFrame, name: str, dtype: str):
-    """The named column cast to ``dtype``."""
-    return F.col(f"`{name}`").cast(dtype)
+def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text); a text that is a field of a struct ``id`` stays there (see ``with_text``)."""
+    key = F.col(f"`{id_col}`").alias("id")
+    if text_col.startswith(f"{id_col}."):
+        return df.select(key)
+    return df.select(key, F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a column ``text``, taken out of the struct ``id`` where it lies there."""
+    for batch in batches:
+        if "text" not in batch.schema.names:
+            text = pc.struct_field(batch["id"], "text").cast(pa.string())
+            batch = pa.RecordBatch.from_arrays([batch["id"], text], names=["id", "text"])
+        yield batch
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Adds a struct that names each row's place in its file, which every later read of the
+    same files gives again; a table that is not read from files is written first."""
+    try:
+        place = df.metadataColumn("_metadata")
+        out = df.select("*", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias(name))
+        out.schema  # noqa: B018  resolves the columns
+        return out
+    except AnalysisException:
+        return with_row_id(staged(df, "rows"), name)

@@ -25,13 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.llm import common as C
 
 BUCKETS, MOST_LANGUAGES = 1 << 16, 1000
 SMOOTHING, SWITCH_PENALTY = 0.5, 8.0
 SCRIPT_SHARE = 0.005
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 # fixed values: first and last code points of scripts
 SCRIPTS = [("latin", 0x41, 0x24F), ("ipa", 0x250, 0x2AF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F),
            ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F),
@@ -102,7 +103,7 @@ def count_grams(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
             counts.clear()
 
         for batch in batches:
-            for part in C.text_slices(batch, "text", C.SLICE_BYTES // 2):
+            for part in C.text_slices(batch, "text", C.SLICE_BYTES):
                 langs = np.array(part["lang"].to_pylist())
                 w = words_of([t.lower() for t in part["text"].to_pylist()])
                 per_word = np.repeat(np.arange(len(langs)), np.diff(w["bounds"]))
@@ -188,7 +189,7 @@ def identify(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, spans) of every row; a span is (start, stop, lang) in code points of
     the lower-cased text, from the first letter of its first word to the last of its last."""
-    picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    picked = C.picked(df, id_col, text_col)
     names = np.array(model.langs, dtype=object)
     group = max(1 << 20, GROUP_BYTES * 4 // max(4, len(names)))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
@@ -199,7 +200,7 @@ def identify(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans
         pred, share, found = np.full(n, "und", object), np.zeros(n), [[] for _ in range(n)]
         scores, letters, bounds, starts, ends, at = [], [], [np.zeros(1, np.int64)], [], [], 0
         while at < n:                      # trigrams of a few MB at a time, words of the whole group
-            stop, room = at, C.SLICE_BYTES // 2
+            stop, room = at, C.SLICE_BYTES
             while stop < n and (stop == at or room > 0):
                 room -= len(texts[stop])
                 stop += 1
@@ -231,13 +232,15 @@ def identify(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans
                                           names=["id", "lang_pred", "score"] + ["spans"] * spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.with_text(batches):
             for part in C.text_slices(batch, "text", group):
                 yield judged(part)
 
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, lang_pred string, score double"
-                             + ", spans array<struct<start:bigint,stop:bigint,lang:string>>" * spans)
+    out = [T.StructField("id", picked.schema["id"].dataType), T.StructField("lang_pred", T.StringType()),
+           T.StructField("score", T.DoubleType())]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()),
+                         T.StructField("lang", T.StringType())])
+    return picked.mapInArrow(run, T.StructType(out + [T.StructField("spans", T.ArrayType(span))] * spans))
 
 
 def learn(df: DataFrame, teaches: Column) -> Model:

@@ -44,7 +44,7 @@ WORDS, PERCENT = 4, 85
 KEY_BITS, LOW_BITS = 52, 48
 HOT_SHARE = 1 << 17
 BUCKET_ROWS = 1 << 20
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 HUB_ROUNDS = 2
 SUFFIX_DEPTH = 2
 #: Codes kept with a prefix shingle to tell whether a pair met before.

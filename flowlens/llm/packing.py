@@ -118,7 +118,7 @@ def cut_documents(df: DataFrame, path: str, end_id: int | None = END_ID, size: i
         seen = np.zeros(size // step + 2, np.int64)
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
-            for part in C.text_slices(batch, "text", C.SLICE_BYTES // 2):
+            for part in C.text_slices(batch, "text", C.SLICE_BYTES):
                 made = []
                 for ids in token_ids(path).encoded([t or "" for t in part["text"].to_pylist()]):
                     ids = np.concatenate([ids, tail])
@@ -172,8 +172,8 @@ def solve_patterns(demand: dict[int, int], room: int) -> list[tuple[int, dict[in
         value, pattern = knapsack(inverse.sum(axis=0), sizes, room)   # duals: every pattern costs 1
         if value <= 1 + GAP:
             break
-        step = inverse @ pattern
-        level = inverse @ wanted
+        step = (inverse * pattern).sum(axis=1)
+        level = (inverse * wanted).sum(axis=1)
         ratio = np.where(step > TOLERANCE, level / np.where(step > TOLERANCE, step, 1), np.inf)
         out = int(ratio.argmin())
         columns[:, out] = pattern

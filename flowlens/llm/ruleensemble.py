@@ -107,10 +107,10 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x): the statistics of every row as an array."""
-    picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    picked = C.picked(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.with_text(batches):
             for part in C.text_slices(batch, "text"):
                 x = text_statistics(*C.text_bytes(part["text"]))
                 edges = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
@@ -205,11 +205,14 @@ def learn(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ense
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(row, score) of every document; ``row`` holds its columns."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("t"))
-    stats = C.staged(measure(rows, "row", "t"), "stats")
-    model = learn(stats.select(F.col("id.doc_id").alias("doc_id"), "x"), labels)
-    return stats.select(F.col("id").alias("row"), model.score(F.col("x")).alias("score"))
+    """(row, score) of every document; ``row`` holds its columns.
+
+    The statistics are counted twice, to learn and to score, so that no copy of the
+    documents is written."""
+    stats = C.staged(measure(docs), "stats").withColumnRenamed("id", "doc_id")
+    model = learn(stats, labels)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return measure(rows, "row", "row.text").select(F.col("id").alias("row"), model.score(F.col("x")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
