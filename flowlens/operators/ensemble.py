@@ -243,13 +243,15 @@ def sampled_grid(grid: dict[str, list], draws: int, seed: int = SEED) -> list[di
 def search(df: DataFrame, estimator, param_cells: list[dict], fold_col: str, num_folds: int,
            label: str = "label", parallelism: int = 2):
     """Cross-validated search over explicit parameter cells, scored by weighted
-    F1, with deterministic folds from ``fold_col``. Returns (cv model, [(cell, score)])."""
+    F1, with deterministic folds from ``fold_col``. Cells of a one-vs-rest estimator name
+    parameters of its classifier. Returns (cv model, [(cell, score)])."""
+    owner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     builder = ParamGridBuilder()
     maps = []
     for cell in param_cells:
         pm = {}
         for name, value in cell.items():
-            pm[estimator.getParam(name)] = value
+            pm[owner.getParam(name)] = value
         maps.append(pm)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps or builder.build(),
                         evaluator=weighted_f1(label), foldCol=fold_col, numFolds=num_folds,
