@@ -9,8 +9,8 @@ are counted on, ``MORE_BITS`` bits at a time.
 
 The key holds the id and the md5 of the text, so equal ids do not share a place unless the
 rows are equal. Rows that no bit can part (equal rows, or one row above the limit) stay in
-one bucket, dealt over numbered pages of the limit's size by a second hash of a row number:
-a page may exceed the limit only by chance or by a single row.
+one bucket, dealt over numbered pages: rows of one size fill page after page by their running
+number, as many as fit. A page exceeds the limit only if it is a single row that does.
 
 Defined results: null text counts no bytes; null ids have a place like any other; an empty
 table gives no rows; only the id and the text are read.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import common as C
@@ -68,6 +68,31 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         # every bucket that is still open exceeds the limit, so its two halves are wanted
 
 
+def paged(over: DataFrame, limit: int) -> DataFrame:
+    """Adds ``page`` to the rows ``(shard, shard_rows, bytes, row, ...)`` of buckets above the limit.
+
+    Rows are numbered in about sqrt(rows) parts of their bucket behind the counts of the parts
+    before, so no task holds a bucket. Sizes of one bucket (one, but for hash collisions) have
+    pages of their own.
+    """
+    over = over.withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.sqrt("shard_rows"))))
+    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
+    size, part = ["shard", "bytes"], ["shard", "bytes", "part"]
+    counts = over.groupBy(*part).agg(F.count("*").alias("n"))
+    pages = counts.groupBy(*size).agg(F.sum("n").alias("n")).select(*size, F.ceil(F.col("n") / fit).alias("pages"))
+
+    def before(col: str, keys: list[str], order: str) -> Column:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(col).over(w), F.lit(0))
+
+    starts = (counts.select(*part, before("n", size, "part").alias("rank_from"))
+              .join(pages.select(*size, before("pages", ["shard"], "bytes").alias("page_from")), size))
+    rank = F.col("rank_from") + F.row_number().over(Window.partitionBy(*part).orderBy("row")) - 1
+    return (over.join(starts, part)
+            .withColumn("page", (F.col("page_from") + F.floor(rank / fit)).cast("int"))
+            .drop("part", "rank_from", "page_from"))
+
+
 def shards(df: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, shard, depth, page, shard_bytes, shard_rows) of every row."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -78,10 +103,12 @@ def shards(df: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text
     prefixes = F.array(*(F.expr(f"left(bits, {d})") for d in depths)) if depths else F.array(F.lit(""))
     placed = (rows.select("id", "row", "bytes", "bits", F.explode(prefixes).alias("shard"))
               .join(buckets, "shard"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / F.lit(limit))).cast("int")
-    page = F.when(F.col("shard_bytes") > limit, F.pmod(F.xxhash64("row"), pages)).otherwise(0)
-    return placed.select("id", F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"),
-                         page.cast("int").alias("page"), "shard_bytes", "shard_rows")
+    above = F.col("shard_bytes") > limit
+    out = placed.withColumn("page", F.lit(0))
+    if not buckets.where(above).isEmpty():
+        out = out.where(~above).unionByName(paged(placed.where(above), limit))
+    return out.select("id", F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"),
+                      "page", "shard_bytes", "shard_rows")
 
 
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT_BYTES, id_col: str = "doc_id",
@@ -91,19 +118,20 @@ def write_shards(df: DataFrame, path: str, limit: int = LIMIT_BYTES, id_col: str
     Rows meet their shard by place bits, and one task writes one shard and page.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    buckets = shards(df, limit, id_col, text_col).select("shard", "depth", "shard_bytes").distinct()
+    buckets = shards(df, limit, id_col, text_col).select("shard", "depth", "shard_bytes", "shard_rows").distinct()
     depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())
     bits = place_bits(F.col(f"`{id_col}`"), text)
     prefixes = F.array(*(F.substring(bits, 1, d) for d in depths)) if depths else F.array(F.lit(""))
-    names = buckets.select(F.col("shard").alias("shard_bits"), F.col("shard_bytes").alias("bucket_bytes"))
     kept = [F.col(f"`{c}`") for c in df.columns]
-    out = (df.select(F.struct(*kept).alias("row"), F.monotonically_increasing_id().alias("nr"), F.explode(prefixes).alias("shard_bits"))
-           .join(names, "shard_bits")
-           .withColumn("shard_page", F.when(F.col("bucket_bytes") > limit, F.pmod(
-               F.xxhash64("nr"),
-               F.ceil(F.col("bucket_bytes") / F.lit(limit)))).otherwise(0).cast("int")))
-    (out.repartition("shard_bits", "shard_page")
-     .select("row", F.concat(F.lit("b"), "shard_bits").alias("shard"), F.col("shard_page").alias("page"))
+    placed = (df.select(F.struct(*kept).alias("whole"), F.monotonically_increasing_id().alias("row"),
+                        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.explode(prefixes).alias("shard"))
+              .join(buckets.drop("depth"), "shard"))
+    above = F.col("shard_bytes") > limit
+    out = placed.withColumn("page", F.lit(0))
+    if not buckets.where(above).isEmpty():
+        out = out.where(~above).unionByName(paged(C.staged(placed.where(above), "paged"), limit))
+    (out.repartition("shard", "page")
+     .select(F.col("whole").alias("row"), F.concat(F.lit("b"), "shard").alias("shard"), "page")
      .write.partitionBy("shard", "page").parquet(path))
 
 

@@ -65,3 +65,28 @@ def test_sql_agrees_where_buckets_split(spark, monkeypatch):
     exp = con.execute(S.ORACLE_SQL.replace(str(S.LIMIT_BYTES), "400")).fetchall()
     out = S.shards(spark.createDataFrame(ROWS, SCHEMA), 400).drop("page").collect()
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, exp))
+
+
+@pytest.mark.parametrize("limit", [4, 11, 12, 60])
+def test_pages_keep_the_limit(spark, tmp_path, limit):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    pages, buckets = {}, {}
+    for r in S.shards(df, limit).collect():
+        pages.setdefault((r.shard, r.page), []).append(r.n_bytes)
+        buckets[r.shard] = max(buckets.get(r.shard, 0), r.page + 1)
+    assert all(sum(b) <= limit or len(b) == 1 for b in pages.values())
+    assert sum(buckets.values()) == len(pages)           # numbered without gaps
+    same = max(pages, key=lambda k: k[1])[0]             # the 40 equal rows of 4 bytes
+    assert buckets[same] == -(-40 // (limit // 4))
+    path = os.path.join(tmp_path, "shards")
+    S.write_shards(df, path, limit)
+    back = spark.read.parquet(path)
+    sizes = back.selectExpr("shard", "page", "octet_length(row.text) AS b").groupBy("shard", "page").agg({"b": "sum", "*": "count"})
+    assert all((r["sum(b)"] or 0) <= limit or r["count(1)"] == 1 for r in sizes.collect())
+    assert back.count() == len(ROWS)
+
+
+def test_repeated_row_above_the_default_limit(spark):
+    df = spark.range(3000).selectExpr("1L AS doc_id", "repeat('x', 4096) AS text")
+    got = S.shards(df).groupBy("shard", "page").agg({"n_bytes": "sum"}).collect()
+    assert len(got) == 3 and all(r["sum(n_bytes)"] <= S.LIMIT_BYTES for r in got)
