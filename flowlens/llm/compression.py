@@ -5,8 +5,11 @@ outside the band of its length is repetitive (too high) or incompressible (too l
 
 The band of a length class (log2 of the bytes) is centred on the class's median ratio over
 the whole corpus, blended with a prior curve that weighs as much as ``PRIOR_DOCS``
-documents; its half width is ``SPREADS`` robust standard deviations, at least
-``LEAST_HIGH`` / ``LEAST_LOW`` of the centre. Chunks of ``CHUNK_BYTES`` have one band.
+documents; its half width is ``SPREADS`` robust standard deviations, taken from the side of
+the median with less spread (a hot group widens its own side only), at least ``LEAST_HIGH`` /
+``LEAST_LOW`` and at most ``MOST_HIGH`` / ``MOST_LOW`` of the centre. Short texts scatter as
+1 / sqrt(bytes): ``SCATTER`` keeps their upper side open where copies make the spread small.
+Chunks of ``CHUNK_BYTES`` have one band.
 
 Defined results: null text counts as empty (no word, base fails, not kept); empty table
 gives no rows; repeated rows and doc_ids are judged row by row; columns other than the id
@@ -29,6 +32,8 @@ LEVEL = 3
 CHUNK_BYTES = 4096
 SPREADS = 5.0
 LEAST_HIGH, LEAST_LOW = 0.12, 0.30
+MOST_HIGH, MOST_LOW = 0.30, 0.35
+SCATTER = 3.4
 CHUNK_HIGH, CHUNK_LOW = 1.6, 0.5
 PRIOR_DOCS, PRIOR_SPREAD = 50, 0.05
 # prior centre of zstandard's ratio for prose, by log2 of the bytes
@@ -133,20 +138,21 @@ def band_limits(stats: DataFrame) -> DataFrame:
     """
     log = F.floor(F.log2("n_bytes")).cast("int")
     docs = stats.where("n_bytes > 0").select(log.alias("band"), F.log("ratio").alias("x"))
-    centre = docs.groupBy("band").agg(F.percentile_approx("x", 0.5, 10000).alias("m"),
-                                      F.percentile_approx("x", [0.25, 0.75], 10000).alias("q"),
+    centre = docs.groupBy("band").agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("q"),
                                       F.count("*").alias("n"))
     prior = F.element_at(F.map_from_arrays(*(F.array(*[F.lit(v) for v in col])
                                              for col in zip(*PRIOR, strict=True))),
                          F.greatest(F.lit(PRIOR[0][0]), F.least(F.lit(PRIOR[-1][0]),
                                                                F.col("band"))))
     weight = F.col("n") / (F.col("n") + PRIOR_DOCS)
-    mid = F.exp(weight * F.col("m") + (1 - weight) * F.log(prior))
-    spread = (weight * (F.col("q")[1] - F.col("q")[0]) / 1.349
-              + (1 - weight) * PRIOR_SPREAD) * SPREADS
+    low, mid, high = (F.col("q")[i] for i in range(3))
+    side = F.least(high - mid, mid - low) / 0.6745
+    centred = F.exp(weight * mid + (1 - weight) * F.log(prior))
+    spread = (weight * side + (1 - weight) * PRIOR_SPREAD) * SPREADS
+    least_high = F.greatest(F.lit(LEAST_HIGH), SCATTER / F.sqrt(F.pow(F.lit(2.0), "band")))
     whole = centre.select(
-        "band", (mid * (1 - F.greatest(F.lit(LEAST_LOW), F.least(spread, F.lit(0.6))))).alias("low"),
-        (mid * (1 + F.greatest(F.lit(LEAST_HIGH), F.least(spread, F.lit(1.0))))).alias("high"))
+        "band", (centred * (1 - F.greatest(F.lit(LEAST_LOW), F.least(spread, F.lit(MOST_LOW))))).alias("low"),
+        (centred * (1 + F.least(F.greatest(least_high, spread), F.lit(MOST_HIGH)))).alias("high"))
     chunk_mid = dict(PRIOR)[CHUNK_BYTES.bit_length() - 1]
     both = F.concat(*(F.array(c) for c in ("chunk_min", "chunk_max")))
     chunks = (stats.where("chunk_min is not null").select(F.explode(both).alias("r"))

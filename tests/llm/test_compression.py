@@ -1,3 +1,4 @@
+import base64
 import collections
 import os
 import random
@@ -80,3 +81,26 @@ def test_query(spark):
 def test_chunks_are_whole(spark, size):
     row = _measure(spark, [(1, "ab" * (size // 2) + "c" * (size % 2), None, None)]).iloc[0]
     assert (row.chunk_min == row.chunk_min) == (size >= K.CHUNK_BYTES)
+
+
+def _prose(spark):
+    return (spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+            .join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1"), "doc_id")
+            .where("octet_length(text) >= 2048").orderBy("doc_id").limit(600).toPandas().text.tolist())
+
+
+def _noise(size):
+    rng = random.Random(11)
+    return base64.b64encode(rng.randbytes(size)).decode()[:size], "".join(chr(rng.randrange(33, 127)) for _ in range(size))
+
+
+def test_hot_group_does_not_widen_its_band(spark):
+    prose = _prose(spark)
+    clean = [t for t in prose if len(t.encode()) < 4096][:200]
+    hot = [(t[:1700] + t[:850 + 3 * (i % 100)]) for i, t in enumerate(prose[:len(clean) // 2])]
+    texts = [*clean, *hot, *_noise(3000)]
+    out = _measure(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    n, m = len(clean), len(clean) + len(hot)
+    assert n >= 100 and out.ratio[n:m].between(2.7, 3.6).all()
+    assert not out.repetitive[:n].any() and not out.incompressible[:n].any()
+    assert out.repetitive[n:m].all() and out.incompressible[m:].all()
