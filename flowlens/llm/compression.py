@@ -34,7 +34,7 @@ SPREADS = 5.0
 LEAST_HIGH, LEAST_LOW = 0.12, 0.30
 MOST_HIGH, MOST_LOW = 0.30, 0.35
 SCATTER = 3.4
-CHUNK_HIGH, CHUNK_LOW = 1.6, 0.5
+CHUNK_HIGH, CHUNK_LOW = 1.6, 0.7
 PRIOR_DOCS, PRIOR_SPREAD = 50, 0.05
 # prior centre of zstandard's ratio for prose, by log2 of the bytes
 PRIOR = [(5, 0.75), (6, 0.85), (7, 1.05), (8, 1.4), (9, 1.55), (10, 1.75), (11, 1.95),
@@ -102,8 +102,10 @@ def _ratios(data: np.ndarray, offsets: np.ndarray, level: int, chunk: int) -> li
         if not text:
             continue
         ratio[i] = len(text) / len(pack(text))
-        whole = [chunk / len(pack(text[k:k + chunk]))
-                 for k in range(0, len(text) - chunk + 1, chunk)]
+        at = list(range(0, len(text) - chunk + 1, chunk))
+        if at and len(text) % chunk:        # the last bytes, in a whole chunk that overlaps
+            at.append(len(text) - chunk)
+        whole = [chunk / len(pack(text[k:k + chunk])) for k in at]
         if whole:
             low[i], high[i] = min(whole), max(whole)
     return [ratio, low, high]

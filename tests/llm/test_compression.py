@@ -104,3 +104,12 @@ def test_hot_group_does_not_widen_its_band(spark):
     assert n >= 100 and out.ratio[n:m].between(2.7, 3.6).all()
     assert not out.repetitive[:n].any() and not out.incompressible[:n].any()
     assert out.repetitive[n:m].all() and out.incompressible[m:].all()
+
+
+def test_chunks_at_the_end_and_of_text_noise(spark):
+    prose = " ".join(_prose(spark)).encode()[:61440].decode(errors="ignore")
+    encoded, printable = _noise(9000)
+    texts = [prose, prose + "spam " * 800, prose + encoded, prose[:30000] + printable + prose[30000:], prose + encoded[:4000]]
+    out = _measure(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    assert out.repetitive.tolist() == [False, True, False, False, False]
+    assert out.incompressible.tolist() == [False, False, True, True, True]
