@@ -12,7 +12,8 @@
    its wrapper (hosts that hold copies of one page).
 4. Slots in parts that HTML marks as something else (menus, headers, footers, asides, forms,
    scripts, adverts, notices, comments by tag, role, class or id) are left out; of the rest
-   the article element, else main, else the densest part of the body is the text.
+   the article element with its sibling articles, else main, else the densest part of the body
+   is the text. A class or id never takes the article away (see ``settle``).
 
 Defined results: null or empty html gives empty text; a null url, or one without a host, has
 no wrapper; elements nested deeper than ``DEPTH`` hang on the last open one of that depth;
@@ -64,12 +65,19 @@ OTHER_WORDS = set("ad ads advert adverts advertisement advertising adsense adslo
                   "alert popup overlay modal newsletter subscribe subscription signup share sharing social related recommended "
                   "recommendations comment comments commentlist disqus respond reply replies widget widgets toolbar pagination pager "
                   "copyright legal disclaimer login search skip hidden".split())
+# words of states and sizes: "has-sidebar" or "comments-open" tell of the page, not of the element
+STATE_WORDS = set("has no not with without is open closed enabled disabled on off active inactive sm md lg xs xl".split())
+# words that never name the part that holds the article
+SURE_WORDS = set("ad ads advert adverts advertisement advertising adsense adslot cookie cookies consent gdpr newsletter signup "
+                 "comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager "
+                 "recommended recommendations related".split())
 
 
 class Node:
-    """An element; ``parts`` holds child elements and texts in order."""
+    """An element; ``parts`` holds child elements and texts in order. ``hits`` is 2 if a whole class name or
+    the id is one of ``OTHER_WORDS``, 1 if only a part of one is; ``sure`` if one of ``SURE_WORDS`` is among them."""
 
-    __slots__ = ("tag", "key", "other", "parts")
+    __slots__ = ("tag", "key", "other", "parts", "hits", "sure")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.parts = tag, []
@@ -79,10 +87,66 @@ class Node:
                 found.setdefault(name.lower(), unescape(value.strip("\"'")) if value else "")
         names = f"{found.get('id', '')} {found.get('class', '')}"
         self.key = f"{tag}.{re.sub('[0-9]+', '', names).strip().lower()}" if names.strip() else tag
-        words = set(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower().replace("_", " ").replace("-", " ").split())
+        whole = set(names.lower().split()) & OTHER_WORDS
+        hit = set(whole)
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().replace("_", "-").split():
+            words = set(name.split("-"))
+            if not words & STATE_WORDS:
+                hit |= words & OTHER_WORDS
+        self.hits = 0 if tag in ("html", "body", "main") or not hit else 2 if whole else 1
+        self.sure = bool(hit & SURE_WORDS)
         self.other = (tag in OTHER_TAGS or found.get("role", "").lower() in OTHER_ROLES or "hidden" in found
-                      or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                      or tag not in ("html", "body", "main") and bool(words & OTHER_WORDS))
+                      or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower())
+
+
+def settle(root: Node) -> None:
+    """Mark what classes and ids name as something else, but not the article.
+
+    Kept are an article that only parts of names hit, what holds the article or main element if
+    no other is free, and what holds most of the page's text: by parts of names, or by whole
+    names if nothing else is left (never by ``SURE_WORDS``).
+    """
+    sizes: dict[int, int] = {}
+    holds: set[int] = set()
+    free = False
+
+    def walk(node: Node, marked: bool) -> None:
+        nonlocal free
+        marked = marked or node.hits == 2 or (node.hits == 1 and node.tag != "article")
+        size, held = 0, node.tag in ("article", "main") and (node.hits < 2 or not node.sure)
+        for p in node.parts:
+            if isinstance(p, str):
+                size += len("".join(p.split()))
+            elif not p.other:
+                walk(p, marked)
+                size += sizes[id(p)]
+                held = held or id(p) in holds
+        sizes[id(node)] = size
+        if held and size:
+            holds.add(id(node))
+            free = free or (node.tag in ("article", "main") and not marked)
+
+    def mark(node: Node, last: bool) -> int:
+        left = 0
+        for p in node.parts:
+            if isinstance(p, str):
+                left += len("".join(p.split()))
+            elif not p.other:
+                most = 2 * sizes[id(p)] > sizes[id(root)] and not p.sure
+                if (not p.hits or (p.hits == 1 and (p.tag == "article" or most))
+                        or (not free and id(p) in holds) or (last and most)):
+                    left += mark(p, last)
+                else:
+                    held_back.append(p)
+                    p.other = True
+        return left
+
+    held_back: list[Node] = []
+    walk(root, False)
+    if not mark(root, False) and sizes[id(root)]:
+        for p in held_back:
+            p.other = False
+        mark(root, True)
 
 
 def parse(html: str) -> Node:
@@ -120,6 +184,7 @@ def parse(html: str) -> Node:
                     break
         elif raw is None and not m[0].startswith(("<!", "<?", "</")):
             stack[min(len(stack), DEPTH) - 1].parts.append(unescape(m[0]))
+    settle(root)
     return root
 
 
@@ -310,36 +375,35 @@ def _links(node: Node) -> int:
     return sum(_size(blocks(p)) if p.tag == "a" else _links(p) for p in node.parts if isinstance(p, Node) and not p.other)
 
 
-def _named(node: Node, tag: str) -> list[Node]:
-    """Outermost elements of a tag outside the parts marked as something else."""
-    out: list[Node] = []
-    for p in node.parts:
-        if isinstance(p, Node) and not p.other:
-            out += [p] if p.tag == tag else _named(p, tag)
-    return out
+def _named(node: Node, tag: str) -> list[list[Node]]:
+    """Outermost elements of a tag outside the parts marked as something else; those of one parent together."""
+    below = [p for p in node.parts if isinstance(p, Node) and not p.other]
+    same = [p for p in below if p.tag == tag]
+    return [same] * bool(same) + [g for p in below if p.tag != tag for g in _named(p, tag)]
 
 
-def main_part(root: Node) -> Node:
-    """The article, else main, else the densest part of the page."""
+def main_parts(root: Node) -> list[Node]:
+    """The article and its siblings, else main, else the densest part of the page."""
     for tag in ("article", "main"):
-        sizes = [(_size(blocks(n, True)), n) for n in _named(root, tag)]
-        if any(size for size, _ in sizes):
-            return max(sizes, key=lambda x: x[0])[1]
+        sized = [(max(_size(blocks(n, True)) for n in group), group) for group in _named(root, tag)]
+        if any(size for size, _ in sized):
+            return max(sized, key=lambda x: x[0])[1]
     node = root
     while True:
         whole = _size(blocks(node))
         below = [p for p in _block_children(node) if 10 * (_size(blocks(p)) - _links(p)) >= 8 * whole > 0]
         if not below or below[0].tag in ("p", "pre", "blockquote", "ul", "ol", "table", "li", "td"):
-            return node
+            return [node]
         node = below[0]
 
 
 def main_text(html: str, wrapper: list | None = None) -> str:
     """Main text of a page; its blocks joined by a line feed."""
     root, _, tree, made = page_tree(html)
-    part = main_part(root)
-    found = blocks(part, part.tag in ("article", "main"))
-    if part.tag not in ("article", "main"):     # rows of links in an unmarked page are menus
+    parts = main_parts(root)
+    marked = parts[0].tag in ("article", "main")
+    found = [block for part in parts for block in blocks(part, marked)]
+    if not marked:     # rows of links in an unmarked page are menus
         found = [(t, o) for t, o in found if 2 * _links(o) <= len(t) or o.tag in ("p", "h1", "h2", "h3")]
     if wrapper is not None:
         fixed = constants(tree, wrapper)

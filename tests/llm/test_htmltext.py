@@ -93,3 +93,21 @@ def test_query(spark):
         inner = re.search(r"<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?p>|</?h1>", inner)]
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><div class='content has-sidebar'><p>whole story</p></div></body>", "whole story"),
+    ("<article class='post comments-open'><p>a story</p><div class='share-buttons'>no</div></article>", "a story"),
+    ("<div id='content' class='no-sidebar'><h1>T</h1><p>text</p></div><div class=sidebar>no</div>", "T\ntext"),
+    ("<div class='sidebar-layout'><article><p>story</p></article></div><p>out</p>", "story"),
+    ("<div class='widget'><article class='sponsored'><p>story</p></article></div><p>out</p>", "story"),
+    ("<div class='header-grid'><p>the long story of the day</p></div><p>end</p>", "the long story of the day"),
+    ("<div class='widget'><p>only text</p><div class='comments'>no</div></div>", "only text"),
+    ("<main><article><p>part one</p></article><p>x</p><article><p>and two, longer</p></article></main>", "part one\nand two, longer"),
+    ("<article><p>one</p></article><article><p>two</p></article><section id=comments><article><p>a longer reply</p></article>"
+     "<article><p>b</p></article></section><div class='related-posts'><article><p>teaser of another story</p></article></div>", "one\ntwo"),
+    ("<div class='page'><p>text</p></div><ol class='comment-list'><li>longer than the whole text</li></ol>", "text"),
+    ("<div class='page'><p>text</p></div><div class='cookie-banner'><p>we use cookies, as all the others do</p></div>", "text"),
+])
+def test_names_do_not_take_the_article(page, want):
+    assert H.main_text(page) == want
