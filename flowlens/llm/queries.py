@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from flowlens.llm import bpe, compression, htmltext, kmtree, langid, ngramjoin, packing, ruleensemble, sharding, urlfilter
+from flowlens.llm import (bpe, compression, htmltext, kmtree, langid, ngramjoin, packing, periodic, ruleensemble,
+                          sharding, urlfilter)
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_cutting_stock_packing": packing.query,
     "op9_ngram_jaccard_join": ngramjoin.query,
     "op10_wrapper_induction": htmltext.query,
+    "op13_periodic_runs": periodic.query,
 }
 ORACLES = {
     "op1_url_filter": urlfilter.ORACLE_SQL,
