@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from flowlens.llm import (bpe, compression, htmltext, kmtree, langid, ngramjoin, packing, periodic, ruleensemble,
-                          sharding, urlfilter, whitening)
+from flowlens.llm import (bpe, compression, htmltext, interpolation, kmtree, langid, ngramjoin, packing, periodic,
+                          ruleensemble, sharding, urlfilter, whitening)
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_cutting_stock_packing": packing.query,
     "op9_ngram_jaccard_join": ngramjoin.query,
     "op10_wrapper_induction": htmltext.query,
+    "op11_deleted_interpolation": interpolation.query,
     "op12_embedding_whitening": whitening.query,
     "op13_periodic_runs": periodic.query,
 }
