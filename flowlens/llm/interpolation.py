@@ -36,7 +36,7 @@ from flowlens.llm import common as C
 
 ORDER = 2
 FOLDS, FOLD = 16, 3
-SLICE_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 CHUNK_ROWS = 1 << 14
 ROUNDS, CLOSE, PRIOR = 20, 1e-3, 1.0
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,19 +54,23 @@ class Grams:
     """
 
     def __init__(self, texts: pa.Array, order: int):
-        data, offsets = C.text_bytes(texts)
-        data = LOWER[data]
-        starts, ends, bounds = C.word_spans(data, offsets)
-        n = len(offsets) - 1
-        self.first = bounds[:-1] + 2 * np.arange(n)           # START's position in each text
-        self.last = bounds[1:] + 2 * np.arange(n) + 1         # END's
-        size = len(starts) + 2 * n
+        n, parts, sizes = len(texts), [], [np.zeros(0, np.int64)]
+        for part in C.text_slices(pa.record_batch([texts], ["text"]), "text"):   # hashing needs wide arrays: a little at a time
+            data, offsets = C.text_bytes(part["text"])
+            data = LOWER[data]
+            starts, ends, bounds = C.word_spans(data, offsets)
+            parts.append(C.span_hashes(data, starts, ends))
+            sizes.append(np.diff(bounds))
+        words = np.concatenate(sizes)
+        self.last = np.cumsum(words + 2) - 1                  # END's position in each text
+        self.first = self.last - words - 1                    # START's
+        size = int(words.sum()) + 2 * n
         token = np.zeros(size, np.uint64)
         word = np.ones(size, bool)
         word[self.first] = word[self.last] = False
-        token[word] = C.span_hashes(data, starts, ends)
+        token[word] = np.concatenate([np.zeros(0, np.uint64), *parts])
         token[self.first], token[self.last] = START, END
-        self.owner = np.repeat(np.arange(n), np.diff(bounds) + 2)
+        self.owner = np.repeat(np.arange(n), words + 2)
         place = np.arange(size) - self.first[self.owner] if n else np.zeros(0, np.int64)
         self.scored = place > 0
         self.keys, rolled = [], np.zeros(size, np.uint64)
