@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -84,6 +85,84 @@ def test_deep_and_long_pages():
     assert H.main_text("<" * 5000 + "a" + "\"'" * 2000) != ""
 
 
+MALFORMED = {"quotes": "<a " + "\"'" * 50, "one tag": " b='c' d=\"e\"', "quote marks": "'\"", "values": "<a a=\"v\" b='w' ", "scripts": "<script ", "divs": "<div>", "ends": "</p ",
+             "open": "<", "comments": "<!-", "values without end": "<a x=\"", "paragraphs": "<p>a", "items": "<ul><li>",
+             "cells": "<table><tr><td>", "texts": "a <b>b</b> &amp; ", "inline ends": "<b><i></b>", "classes": "<p class='a b'>x</p>",
+             "links": "<div><a href=x>y</a>z</div>", "kinds": "<p>x</p><ul><li>y</ul>"}
+
+
+@pytest.mark.parametrize("kind", MALFORMED)
+def test_time_is_linear(kind):
+    """Four times the page takes about four times as long: the limit of 8 leaves room for noise."""
+    def took(size):
+        page = MALFORMED[kind] * (size // len(MALFORMED[kind]))
+        page = "<a " + page.replace("<", "") if kind in ("one tag", "quote marks") else page
+        start = time.process_time()
+        H.page_slots(page, None)
+        return time.process_time() - start
+
+    small = min(took(100_000) for _ in range(3))
+    assert took(400_000) < 8 * small + 0.2
+
+
+def test_ten_megabytes():
+    page = "<article><p>word</p>" + "<a x=\"" * 700_000 + "<p>tail" + "<div><b>t</b>" * 400_000
+    start = time.process_time()
+    assert H.main_text(page).startswith("word") and time.process_time() - start < 60
+
+
+def test_repeated_notice_goes_and_near_copies_stay(spark):
+    """A longer unmarked notice on all pages of a host is template; what near copies share is not."""
+    notice = "please read this long notice of ours " * 30
+    rows = [(i, f"http://notice.org/{i}", f"<article><h1>title {i}</h1><p>short story {i}</p><p>{notice}</p></article>") for i in range(20)]
+    copy = "<article><p>first part</p><p>second part</p><p>third part</p><p>{}</p></article>"
+    rows += [(100 + i, f"http://copies.org/{i}", copy.format(f"changed {i} " * 60)) for i in range(20)]
+    rows += [(200 + i, f"http://mixed.org/{i}", copy.format(f"changed {i} " * 60)) for i in range(20)]
+    rows += [(300 + i, f"http://mixed.org/x{i}", f"<article><p>other {i}</p><p>story {i * 3}</p></article>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.id: r.text for r in H.extract(df).collect()}
+    plain = {i: H.main_text(h) for i, _, h in rows}
+    for i in range(20):
+        assert got[i] == f"title {i}\nshort story {i}" != plain[i]
+        assert got[100 + i] == plain[100 + i] and got[200 + i] == plain[200 + i]
+    assert got[302] == "other 2\nstory 6"
+
+
+def test_constants_are_counted_beyond_the_wrapper_nodes(spark, monkeypatch):
+    """A host with more nodes than its wrapper keeps: slots by path find the repeated notice too."""
+    monkeypatch.setattr(H, "NODES", 3)
+    rows = [(i, f"http://h.org/{i}", f"<article><div class='s{i % 3}x'><p>story {i}</p><p>and {i * 3}</p></div>"
+             f"<div class='end'><p>the same words</p></div></article>") for i in range(24)]
+    got = {r.id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i}\nand {i * 3}" for i in range(24)}
+
+
+def test_fixed_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for _ in range(150):
+        host = rng.choice("abc")
+        blocks = [{"slot": s, "key": rng.choice([7, 7, 7, 7, 7, 7, 7, rng.randrange(9)]) if s < 3 else rng.randrange(10 ** 6), "text": "t"}
+                  for s in range(rng.randrange(1, 8))]
+        pages += [(host, blocks)] * rng.choice([1, 1, 3])
+
+    def counted(weighted):
+        n, of = {}, {}
+        for host, pairs, near in weighted:
+            for table, keys in ((n, pairs), (of, {s for s, _ in pairs})):
+                for k in keys:
+                    table.setdefault((host, k), []).append(near)
+        weigh = lambda v: v.count(False) + any(v)
+        return {(h, p) for (h, p), v in n.items() if weigh(v) >= H.LEAST_PAGES and weigh(v) >= H.CONSTANT * weigh(of[h, p[0]])}
+
+    once = {(h, tuple((b["slot"], b["key"]) for b in x)) for h, x in pages}
+    first = counted([(h, set(x), False) for h, x in once])
+    second = counted([(h, set(x), 2 * sum((h, p) in first for p in set(x)) > len(set(x))) for h, x in once])
+    df = spark.createDataFrame(pages, "host string, blocks array<struct<slot: long, key: long, text: string>>")
+    got = {(r.host, (f.slot, f.key)) for r in H.fixed_texts(df).collect() for f in r.fixed}
+    assert first and got == {x for x in second if x[0] in {h for h, _ in first}}
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     pages = {r.page_id: r for r in C.table(spark, sf, "pages").collect()}
