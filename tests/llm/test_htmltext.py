@@ -85,7 +85,7 @@ def test_deep_and_long_pages():
     assert H.main_text("<" * 5000 + "a" + "\"'" * 2000) != ""
 
 
-MALFORMED = {"quotes": "<a " + "\"'" * 50, "one tag": " b='c' d=\"e\"', "quote marks": "'\"", "values": "<a a=\"v\" b='w' ", "scripts": "<script ", "divs": "<div>", "ends": "</p ",
+MALFORMED = {"quotes": "<a " + "\"'" * 50, "one tag": " b='c' d=\"e\"", "quote marks": "'\"", "values": "<a a=\"v\" b='w' ", "scripts": "<script ", "divs": "<div>", "ends": "</p ",
              "open": "<", "comments": "<!-", "values without end": "<a x=\"", "paragraphs": "<p>a", "items": "<ul><li>",
              "cells": "<table><tr><td>", "texts": "a <b>b</b> &amp; ", "inline ends": "<b><i></b>", "classes": "<p class='a b'>x</p>",
              "links": "<div><a href=x>y</a>z</div>", "kinds": "<p>x</p><ul><li>y</ul>"}
