@@ -51,7 +51,17 @@ def staged(df: DataFrame, tag: str, mode_options: dict | None = None) -> DataFra
     for key, value in (mode_options or {}).items():
         writer = writer.option(key, value)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later job reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks_of(spark: SparkSession) -> int:

@@ -19,7 +19,12 @@ similarity reaches ``PERCENT``; the result are the connected components of the l
    classes with one hub only, the class whose shingles are most widely shared; components
    are formed, and shingles whose classes all lie in one component are done. All pairs that
    are left, between different components, are then compared. No link between components
-   can be missed; links inside a component are not all counted.
+   can be missed; links inside a component are not all counted. Shingles of very many classes
+   (at most ``HOT_CODES`` of them) get their hub by a broadcast, and their last pairs are dealt
+   in slices of the classes.
+
+Classes are named by 63 bits of a hash of the set; a second hash tells whether two different
+sets ever got one name, and then all names are made anew with another salt.
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing (their
 component is their own id); fewer words than n make one shingle; repeated rows are copies;
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +52,8 @@ BUCKET_ROWS = 1 << 20
 GROUP_BYTES = 4 << 20
 HUB_ROUNDS = 2
 SUFFIX_DEPTH = 2
-#: Codes kept with a prefix shingle to tell whether a pair met before.
-BEFORE = 32
+#: Codes with more rows than one in HOT_CODES of all (SLICE_ROWS at least) are not shuffled to one task.
+HOT_CODES, SLICE_ROWS = 1 << 14, 1000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _KEY = np.uint64((1 << KEY_BITS) - 1)
@@ -57,8 +62,10 @@ _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 # ---------------------------------------------------------------- sets of shingles
 
-def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys sorted within each text, edges per text, class per text); class 0 for empty sets."""
+def shingle_sets(part: pa.RecordBatch, size: int, salt: int = 0
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys sorted within each text, edges per text, class per text, second hash of the set);
+    class 0 for empty sets."""
     data, offsets = C.text_bytes(part["text"])
     data = _LOWER[data]
     starts, ends, bounds = C.word_spans(data, offsets)
@@ -78,11 +85,13 @@ def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
     new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
     key, who = key[new], who[new]
     edges = np.searchsorted(who, np.arange(len(count) + 1))
-    one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(key ^ np.uint64(salt)))])
-                for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
+    one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(key ^ np.uint64(seed)))])
+                for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
     one, two = one[edges[1:]] - one[edges[:-1]], two[edges[1:]] - two[edges[:-1]]
-    name = C.mix(one ^ C.mix(two + np.diff(edges).astype(np.uint64)))
-    return key, edges, np.where(np.diff(edges) > 0, name | np.uint64(1), np.uint64(0)).view(np.int64)
+    n = np.diff(edges).astype(np.uint64)
+    name = C.mix(one ^ C.mix(two + n) ^ np.uint64(salt))
+    check = C.mix(two ^ C.mix(one + n) + np.uint64(0x2545F4914F6CDD1D))
+    return key, edges, np.where(n > 0, name | np.uint64(1), np.uint64(0)).view(np.int64), check.view(np.int64)
 
 
 def _sequence(words: np.ndarray) -> int:
@@ -92,14 +101,15 @@ def _sequence(words: np.ndarray) -> int:
     return int(out[0])
 
 
-def classes_of(df: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, class) of every row, and (key, times) rows of shingles that are frequent in a slice."""
+def classes_of(df: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text", salt: int = 0
+               ) -> DataFrame:
+    """(id, n, class, check) of every row, and (key, times) rows of shingles that are frequent in a slice."""
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.text_slices(batch, "text"):
-                key, edges, name = shingle_sets(part, size)
+                key, edges, name, check = shingle_sets(part, size, salt)
                 n = part.num_rows
                 found, times = np.unique(key, return_counts=True)
                 hot = times >= max(8, len(key) // HOT_SHARE)
@@ -109,11 +119,25 @@ def classes_of(df: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_co
                      pa.array(np.concatenate([np.diff(edges), np.full(m, -1)])),
                      pa.array(np.concatenate([name, np.zeros(m, np.int64)])),
                      pa.array(np.concatenate([np.zeros(n, np.int64), found[hot].astype(np.int64)])),
-                     pa.array(np.concatenate([np.zeros(n, np.int64), times[hot]]))],
-                    names=["id", "n", "class", "key", "times"])
+                     pa.array(np.concatenate([np.zeros(n, np.int64), times[hot]])),
+                     pa.array(np.concatenate([check, np.zeros(m, np.int64)]))],
+                    names=["id", "n", "class", "key", "times", "check"])
 
     return picked.mapInArrow(run, T.StructType([T.StructField("id", picked.schema["id"].dataType), *(
-        T.StructField(c, T.LongType()) for c in ("n", "class", "key", "times"))]))
+        T.StructField(c, T.LongType()) for c in ("n", "class", "key", "times", "check"))]))
+
+
+def named_classes(df: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``classes_of`` under the first salt that gives different sets different names, and that salt."""
+    salt = 0
+    while True:
+        first = C.staged(classes_of(df, size, id_col, text_col, salt), "classes")
+        clash = (first.where("n > 0").groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+                 .where("low <> high"))
+        if clash.isEmpty():
+            return first, salt
+        C.discard(first)
+        salt = salt * 0x5851F42D4C957F2D + 0x14057B7EF767814F & (1 << 64) - 1
 
 
 # ---------------------------------------------------------------- packed blocks
@@ -161,7 +185,7 @@ def _code(key: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def shared_codes(df: DataFrame, hot: dict[str, np.ndarray], buckets: int, size: int = WORDS,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", salt: int = 0) -> DataFrame:
     """(class, n, codes): every class's codes of shingles that other classes have too, ascending
     (8 bytes each); classes without any may be missing."""
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -174,7 +198,7 @@ def shared_codes(df: DataFrame, hot: dict[str, np.ndarray], buckets: int, size:
             for part in C.text_slices(batch, "text", GROUP_BYTES):
                 keys, names, totals = [], [], []
                 for piece in C.text_slices(part, "text"):
-                    key, edges, name = shingle_sets(piece, size)
+                    key, edges, name, _ = shingle_sets(piece, size, salt)
                     fresh = np.zeros(len(name), bool)
                     for i in np.flatnonzero(name):        # a class once per task
                         if int(name[i]) not in seen:
@@ -258,14 +282,12 @@ def least_overlap(a, b, percent: int):
 
 
 def postings(records: DataFrame, percent: int) -> DataFrame:
-    """(code, class, n, alone, pos, shared, before): the coded prefix shingles of every class;
+    """(code, class, n, alone, pos, shared): the coded prefix shingles of every class;
     ``alone`` is its number of shingles without a code, ``pos`` counts from 0 in the rare-first
-    order of the whole set, ``shared`` is the mean rarity of the set and ``before`` holds the
-    codes before this one, the first ``BEFORE`` of them."""
+    order of the whole set and ``shared`` is the mean rarity of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            before, sizes = [], [np.zeros(1, np.int64)]
             for name, n, raw in zip(*(batch[c].to_pylist() for c in ("class", "n", "codes")), strict=True):
                 code = np.frombuffer(raw, "<u8")
                 alone = n - len(code)
@@ -277,18 +299,12 @@ def postings(records: DataFrame, percent: int) -> DataFrame:
                 for col, v in zip(out, (code[:take].view(np.int64), np.full(take, name), np.full(take, n),
                                         np.full(take, alone), np.arange(alone, alone + take), np.full(take, mean)), strict=True):
                     col.append(v)
-                some = np.minimum(np.arange(take), BEFORE)
-                sizes.append(some)
-                at = np.repeat(np.arange(take), some)
-                before.append(code.view(np.int64)[np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)])
             cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()),
-                                             pa.array(np.concatenate(before) if before else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(
-                cols, [pa.int64()] * 5 + [pa.float64()], strict=True)), lists],
-                names=["code", "class", "n", "alone", "pos", "shared", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                cols, [pa.int64()] * 5 + [pa.float64()], strict=True)],
+                names=["code", "class", "n", "alone", "pos", "shared"])
 
-    return records.mapInArrow(run, "code long, class long, n long, alone long, pos long, shared double, before array<bigint>")
+    return records.mapInArrow(run, "code long, class long, n long, alone long, pos long, shared double")
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
@@ -322,49 +338,48 @@ def verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u > v, of two tables of postings (and ``part``) that share a code, lie in different
-    parts and pass the length and positional filters; each pair once.
-
-    A pair is taken at its first shared code: there nothing before is shared, so the
-    intersection is at most what is left from it on. A pair that shares an earlier code
-    within both lists ``before`` is left to that code; where the lists do not reach back all
-    the way, all coded shingles before count as possibly shared.
-    """
-    a, b = left.alias("a"), right.alias("b")
-    earlier = F.least(F.expr("a.pos - a.alone"), F.expr("b.pos - b.alone"))
-    unknown = F.when(F.expr(f"a.pos - a.alone <= {BEFORE} and b.pos - b.alone <= {BEFORE}"), 0).otherwise(earlier)
-    joined = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.part") != F.col("b.part"))
-                    & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-                    & (unknown + F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos"))
-                       >= least_overlap(F.col("a.n"), F.col("b.n"), percent))
-                    & ~F.arrays_overlap(F.col("a.before"), F.col("b.before")))
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Length filter, and positional filter at the shared code: what is left from it on in the
+    shorter rest, and the coded shingles before it in both, bound the intersection. A linked
+    pair passes at its first shared code, whatever the others say."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    before = F.least(*(F.col(f"{x}.pos") - F.col(f"{x}.alone") for x in (a, b)))
+    return ((F.col(f"{a}.part") != F.col(f"{b}.part")) & (100 * n >= percent * m) & (100 * m >= percent * n)
+            & (before + left >= least_overlap(n, m, percent)))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     u, v = F.col("a.class"), F.col("b.class")
-    return joined.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+    return rows.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
 
 def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all classes that link with another one."""
+    entry = ["class", "n", "alone", "pos", "shared"]
     lists = C.staged(postings(records, percent), "postings")
+    limit = max(SLICE_ROWS, lists.count() // HOT_CODES)
     links, done, parts = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        named = lists.select("code", "class", "n", "alone", "pos", "shared", "before")
-        named = (named.withColumn("part", F.col("class")) if parts is None else
-                 named.join(parts.withColumnRenamed("node", "class"), "class", "left")
-                 .select("code", "class", "n", "alone", "pos", "shared", "before", F.coalesce("root", "class").alias("part")))
+        named = (lists.withColumn("part", F.col("class")) if parts is None else
+                 lists.join(parts.withColumnRenamed("node", "class"), "class", "left")
+                 .withColumn("part", F.coalesce("root", "class")).drop("root"))
+        named = C.staged(named.select("code", F.struct(*entry, "part").alias("a")), "lists")
         hubs = named.groupBy("code").agg(
-            F.max(F.struct("shared", "class")).alias("hub"),
-            F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        hubs = hubs.select("code", F.col("hub.class").alias("hub"))
+            F.max(F.struct("a.shared", "a.class", "a.n", "a.alone", "a.pos", "a.part")).alias("b"),
+            F.min("a.part").alias("low"), F.max("a.part").alias("high"), F.count("*").alias("rows")).where("low <> high")
+        hubs = C.staged(hubs.select("code", "b", "rows"), "hubs")
+        hot = F.broadcast(hubs.where(F.col("rows") > limit))          # HOT_CODES rows at most
+        cold = hubs.where(F.col("rows") <= limit)
+        met = named.join(hot, "code").unionByName(named.join(hot, "code", "left_anti").join(cold, "code"))
         if turn < HUB_ROUNDS:
-            lists = C.staged(named.join(hubs, "code"), "lists")
-            rest = lists.where(F.col("class") != F.col("hub"))
-            own = lists.where(F.col("class") == F.col("hub"))
-            pairs = _candidates(rest, own, percent)
-            lists = rest
+            met = C.staged(met.where("a.class <> b.class"), "met")
+            pairs = _pairs(met.where(_may_link("a", "b", percent)))
         else:
-            rest = named.join(hubs.select("code"), "code", "left_semi")
-            pairs = _candidates(rest, rest, percent)
+            slices = F.ceil(F.col("rows") / SLICE_ROWS).cast("int")
+            left = met.select("code", "a", F.pmod(F.xxhash64("a.class"), slices).cast("int").alias("slice"))
+            right = met.select("code", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+            pairs = _pairs(left.join(right, ["code", "slice"]).where("a.class > b.class").where(_may_link("a", "b", percent)))
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = C.staged(pairs, "pairs")
@@ -372,6 +387,10 @@ def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = found if links is None else links.unionAll(found)
         done = pairs if done is None else done.unionAll(pairs)
         parts = C.staged(connected_components(links), "parts")
+        C.discard(named, hubs, lists)
+        if turn < HUB_ROUNDS:
+            lists = C.staged(met.select("code", "a.*").drop("part"), "lists")
+            C.discard(met)
     return parts
 
 
@@ -379,14 +398,14 @@ def components(df: DataFrame, size: int = WORDS, percent: int = PERCENT,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, class, root) of every row: ``root`` names the component (null for empty sets)."""
     spark = df.sparkSession
-    first = C.staged(classes_of(df, size, id_col, text_col), "classes")
+    first, salt = named_classes(df, size, id_col, text_col)
     docs = first.where("n >= 0").select("id", "n", "class")
     total = docs.agg(F.sum("n")).first()[0] or 0
     hot = (first.where("n < 0").groupBy("key").agg(F.sum("times").alias("times"))
            .where(F.col("times") > total / HOT_SHARE).toPandas().sort_values("key"))   # HOT_SHARE keys at most
     hot = {"key": hot["key"].to_numpy(np.int64).astype(np.uint64), "times": hot["times"].to_numpy(np.int64)}
     buckets = max(1 << (KEY_BITS - LOW_BITS), C.tasks_of(spark), -(-total // BUCKET_ROWS))
-    records = C.staged(shared_codes(df, hot, buckets, size, id_col, text_col), "records")
+    records = C.staged(shared_codes(df, hot, buckets, size, id_col, text_col, salt), "records")
     parts = linked_components(records, percent)
     return (docs.join(parts.select(F.col("node").alias("class"), "root"), "class", "left")
             .select("id", F.col("n").alias("n_shingles"), "class",

@@ -84,11 +84,26 @@ def test_frequent_shingles_and_small_buckets_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT_SHARE", 100)
     monkeypatch.setattr(J, "BUCKET_ROWS", 50)
     monkeypatch.setattr(J, "HUB_ROUNDS", 0)
-    monkeypatch.setattr(J, "BEFORE", 2)
+    monkeypatch.setattr(J, "HOT_CODES", 50)
+    monkeypatch.setattr(J, "SLICE_ROWS", 3)
     got = _run(spark, rows)
     assert _groups((i, v[1]) for i, v in got.items()) == _groups((i, v[1]) for i, v in want.items())
 
 
+def test_clashing_names_are_made_anew(spark, monkeypatch):
+    """A salt under which different sets get one name is passed over."""
+    real = J.shingle_sets
+    bad = lambda part, size, salt=0: (lambda r: (*r[:2], np.where(r[2] != 0, r[2] * 0 + 5, 0) if not salt else r[2], r[3]))(
+        real(part, size, salt))
+    texts = _texts(4, 3, 5)
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    want = _run(spark, rows)
+    monkeypatch.setattr(J, "shingle_sets", bad)
+    _, salt = J.named_classes(spark.createDataFrame(rows, SCHEMA), 4, "doc_id", "text")
+    got = _run(spark, rows)
+    assert salt and _groups((i, v[1]) for i, v in got.items()) == _groups((i, v[1]) for i, v in want.items())
+
+
 def test_repeated_rows_null_ids_and_empty(spark):
     rows = [(1, "the same five words here", None, None)] * 3 + [(None, "the same five words here", None, None),
             (None, None, None, None), (7, "x", None, None), (7, "y", None, None)]
