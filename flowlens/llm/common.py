@@ -64,6 +64,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner",
+             hot_keys: int = 1 << 14, least: int = 1000) -> DataFrame:
+    """Join with a table of one row per key whose column ``rows`` says how many rows of ``left`` have it.
+
+    Keys of more than one in ``hot_keys`` of the ``total`` rows are joined by a broadcast (at most
+    ``hot_keys`` rows), so that no task of the shuffled rest gets a hot key. ``how`` is inner, or left
+    for keys that the table may lack."""
+    limit = max(least, total // hot_keys)
+    hot = F.broadcast(right.where(F.col("rows") > limit).drop("rows"))
+    cold = right.where(F.col("rows") <= limit).drop("rows")
+    some = left.join(hot, key)
+    rest = left.join(F.broadcast(right.where(F.col("rows") > limit).select(key)), key, "left_anti")
+    return some.unionByName(rest.join(cold, key, how))
+
+
 def tasks_of(spark: SparkSession) -> int:
     """Shuffle width the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -38,6 +38,8 @@ ORDER = 2
 FOLDS, FOLD = 16, 3
 SLICE_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 CHUNK_ROWS = 1 << 14
+#: Keys in one row: Spark hands Python workers so many thousand rows at once, whatever their size.
+ROW_KEYS = 256
 ROUNDS, CLOSE, PRIOR = 20, 1e-3, 1.0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -129,7 +131,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str, taught: Column, fold: Colum
 
 
 def count_slices(rows: DataFrame, order: int, bits: int) -> DataFrame:
-    """(bucket, piece, row, held, keys, n): sorted distinct keys of each slice, by bucket."""
+    """(bucket, piece, row, held, at, keys, n): sorted distinct keys of each slice, by bucket, at most
+    ``ROW_KEYS`` a row; ``at`` is the first one's place among the slice's keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.text_slices(batch, "text", SLICE_BYTES):
@@ -142,20 +145,22 @@ def count_slices(rows: DataFrame, order: int, bits: int) -> DataFrame:
         keys, number = grams.distinct()
         n = grams.counts(keys, number, part["taught"].to_numpy(zero_copy_only=False))
         bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        place = np.arange(len(keys))
+        start = np.maximum.accumulate(np.where(np.r_[True, bucket[1:] != bucket[:-1]], place, 0))
+        cut = np.flatnonzero((place - start) % ROW_KEYS == 0)
         ends = pa.array(np.r_[cut, len(keys)], pa.int32())
         first = [part[c][0].as_py() for c in ("piece", "row", "held")]
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cut]), *(pa.array([v] * len(cut)) for v in first),
+            [pa.array(bucket[cut]), *(pa.array([v] * len(cut)) for v in first), pa.array(cut),
              pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))),
              pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
-            names=["bucket", "piece", "row", "held", "keys", "n"])
+            names=["bucket", "piece", "row", "held", "at", "keys", "n"])
 
     return rows.select("text", "taught", "held", "piece", "row").mapInArrow(
-        run, "bucket long, piece long, row long, held boolean, keys array<long>, n array<int>")
+        run, "bucket long, piece long, row long, held boolean, at long, keys array<long>, n array<int>")
 
 
-ANSWER = ("bucket long, piece long, row long, held boolean, seen array<long>, kept array<long>, "
+ANSWER = ("piece long, row long, held boolean, at long, seen array<long>, kept array<long>, "
           "totals array<long>")
 
 
@@ -175,12 +180,12 @@ def add_up(slices: DataFrame) -> DataFrame:
         totals = [int(v) for c in (seen, kept) for v in (c[word].sum(), (c[word] > 0).sum())]
         ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
         kept_sizes = np.where(table["held"].to_numpy(zero_copy_only=False), sizes, 0)
-        rows = pa.table([table["bucket"], table["piece"], table["row"], table["held"],
+        rows = pa.table([table["piece"], table["row"], table["held"], table["at"],
                          pa.ListArray.from_arrays(ends, pa.array(seen[at])),
                          pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept_sizes)], pa.int32()),
                                                   pa.array(kept[at[held]])),
                          pa.nulls(len(table), pa.list_(pa.int64()))], names=names)
-        sums = pa.table([table["bucket"][:1], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()),
+        sums = pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()),
                          pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())),
                          pa.array([totals], pa.list_(pa.int64()))], names=names)
         return pa.concat_tables([rows, sums])
@@ -195,12 +200,12 @@ def meet(rows: DataFrame, answers: DataFrame, counts: str, judge, schema: str) -
     Rows and answers are dealt by piece and sorted, a slice's answers before its rows, so a
     task holds one slice at a time."""
     kind = rows.schema["id"].dataType
-    left = rows.select("piece", "row", F.lit(1).alias("side"), F.lit(0).cast("long").alias("bucket"), "id", "text",
+    left = rows.select("piece", "row", F.lit(1).alias("side"), F.lit(0).cast("long").alias("at"), "id", "text",
                        F.lit(None).cast("array<long>").alias("counts"))
     right = answers.where("piece is not null").select(
-        "piece", "row", F.lit(0).alias("side"), "bucket", F.lit(None).cast(kind).alias("id"),
+        "piece", "row", F.lit(0).alias("side"), "at", F.lit(None).cast(kind).alias("id"),
         F.lit(None).cast("string").alias("text"), F.col(counts).alias("counts"))
-    both = left.unionByName(right).repartition("piece").sortWithinPartitions("piece", "row", "side", "bucket")
+    both = left.unionByName(right).repartition("piece").sortWithinPartitions("piece", "row", "side", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, waiting = [], []

@@ -54,6 +54,8 @@ HUB_ROUNDS = 2
 SUFFIX_DEPTH = 2
 #: Codes with more rows than one in HOT_CODES of all (SLICE_ROWS at least) are not shuffled to one task.
 HOT_CODES, SLICE_ROWS = 1 << 14, 1000
+#: Codes kept with a prefix shingle, for the last pairs, to tell whether a pair met before.
+BEFORE = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _KEY = np.uint64((1 << KEY_BITS) - 1)
@@ -281,6 +283,24 @@ def least_overlap(a, b, percent: int):
     return F.ceil((a + b) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def earlier_codes(records: DataFrame, percent: int) -> DataFrame:
+    """(code, class, before): with every coded prefix shingle the codes before it, the first
+    ``BEFORE`` of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n, raw in zip(*(batch[c].to_pylist() for c in ("class", "n", "codes")), strict=True):
+                code = np.frombuffer(raw, "<u8").view(np.int64)
+                take = min(n - (n * percent + 99) // 100 + 1 - (n - len(code)), len(code))
+                if take > 0:
+                    some = np.minimum(np.arange(take), BEFORE)
+                    at = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some)], pa.int32()), pa.array(code[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(code[:take]), pa.array(np.full(take, name)), lists],
+                                                     names=["code", "class", "before"])
+
+    return records.mapInArrow(run, "code long, class long, before array<bigint>")
+
+
 def postings(records: DataFrame, percent: int) -> DataFrame:
     """(code, class, n, alone, pos, shared): the coded prefix shingles of every class;
     ``alone`` is its number of shingles without a code, ``pos`` counts from 0 in the rare-first
@@ -338,15 +358,22 @@ def verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
+def _may_link(a: str, b: str, percent: int, first: bool = False) -> Column:
     """Length filter, and positional filter at the shared code: what is left from it on in the
     shorter rest, and the coded shingles before it in both, bound the intersection. A linked
-    pair passes at its first shared code, whatever the others say."""
+    pair passes at its first shared code, whatever the others say.
+
+    With ``first``, rows have ``before``: a pair that shares an earlier code within both lists is
+    left to that code, and where the lists reach back all the way nothing before is shared."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    before = F.least(*(F.col(f"{x}.pos") - F.col(f"{x}.alone") for x in (a, b)))
-    return ((F.col(f"{a}.part") != F.col(f"{b}.part")) & (100 * n >= percent * m) & (100 * m >= percent * n)
+    coded = [F.col(f"{x}.pos") - F.col(f"{x}.alone") for x in (a, b)]
+    before = F.least(*coded)
+    if first:
+        before = F.when(F.greatest(*coded) <= BEFORE, 0).otherwise(before)
+    fits = ((F.col(f"{a}.part") != F.col(f"{b}.part")) & (100 * n >= percent * m) & (100 * m >= percent * n)
             & (before + left >= least_overlap(n, m, percent)))
+    return fits & ~F.arrays_overlap(F.col(f"{a}.before"), F.col(f"{b}.before")) if first else fits
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -358,7 +385,7 @@ def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all classes that link with another one."""
     entry = ["class", "n", "alone", "pos", "shared"]
     lists = C.staged(postings(records, percent), "postings")
-    limit = max(SLICE_ROWS, lists.count() // HOT_CODES)
+    total = lists.count()
     links, done, parts = None, None, None
     for turn in range(HUB_ROUNDS + 1):
         named = (lists.withColumn("part", F.col("class")) if parts is None else
@@ -369,17 +396,21 @@ def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.max(F.struct("a.shared", "a.class", "a.n", "a.alone", "a.pos", "a.part")).alias("b"),
             F.min("a.part").alias("low"), F.max("a.part").alias("high"), F.count("*").alias("rows")).where("low <> high")
         hubs = C.staged(hubs.select("code", "b", "rows"), "hubs")
-        hot = F.broadcast(hubs.where(F.col("rows") > limit))          # HOT_CODES rows at most
-        cold = hubs.where(F.col("rows") <= limit)
-        met = named.join(hot, "code").unionByName(named.join(hot, "code", "left_anti").join(cold, "code"))
+        sliced = hubs.withColumn("slices", F.ceil(F.col("rows") / SLICE_ROWS).cast("int"))
+        met = C.join_hot(named, sliced, "code", total, hot_keys=HOT_CODES, least=SLICE_ROWS)
         if turn < HUB_ROUNDS:
             met = C.staged(met.where("a.class <> b.class"), "met")
             pairs = _pairs(met.where(_may_link("a", "b", percent)))
         else:
-            slices = F.ceil(F.col("rows") / SLICE_ROWS).cast("int")
-            left = met.select("code", "a", F.pmod(F.xxhash64("a.class"), slices).cast("int").alias("slice"))
-            right = met.select("code", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-            pairs = _pairs(left.join(right, ["code", "slice"]).where("a.class > b.class").where(_may_link("a", "b", percent)))
+            met = met.select("code", "slices", "a", F.col("a.class").alias("class"))
+            back = earlier_codes(records.join(met.select("class").distinct(), "class", "left_semi"), percent)
+            met = C.staged(met.join(back, ["code", "class"]).select(
+                "code", "slices", F.struct("a.*", "before").alias("a")), "met")
+            left = met.select("code", "a", F.pmod(F.xxhash64("a.class"), "slices").cast("int").alias("slice"))
+            right = met.select("code", F.col("a").alias("b"),
+                               F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+            pairs = _pairs(left.join(right, ["code", "slice"]).where("a.class > b.class")
+                           .where(_may_link("a", "b", percent, first=True)))
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = C.staged(pairs, "pairs")
@@ -390,7 +421,7 @@ def linked_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
         C.discard(named, hubs, lists)
         if turn < HUB_ROUNDS:
             lists = C.staged(met.select("code", "a.*").drop("part"), "lists")
-            C.discard(met)
+        C.discard(met)
     return parts
 
 
@@ -415,7 +446,8 @@ def components(df: DataFrame, size: int = WORDS, percent: int = PERCENT,
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: set size and smallest reachable doc_id of every document."""
     rows = C.staged(components(C.table(spark, sf_dir, "documents")), "joined")
-    least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return rows.join(least, "root", "left").select(
+    least = C.staged(rows.where("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")),
+                     "least")
+    return C.join_hot(rows, least, "root", rows.count(), "left").select(
         F.col("id").alias("doc_id"), "n_shingles",
         F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
