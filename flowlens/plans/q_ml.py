@@ -1,18 +1,18 @@
 """Learning, scoring and explanation queries on ``embeddings`` (rows-only checks).
 
 Feature matrix: the 64-float embedding (features e0..e63), label 0..9. Split / folds come
-from the deterministic stratified operators. All ten classes and every labelled row of the
-training part are fitted with the reference's settings (the operators' defaults,
-``M.BOOST_CONFIGS``, ``RF_SPACE``, ``BOOST_GRID``); the README lists what that costs.
+from the deterministic stratified operators. All ten classes are fitted with the reference's
+settings (the operators' defaults, ``B.CONFIGS``, ``B.GRID``, ``RF_SPACE``); boosted models learn from
+at most ``B.FIT_ROWS`` labelled rows, searches from ``B.TUNE_ROWS``.
 """
 
 from __future__ import annotations
 
-import itertools
 import time
 
 from pyspark.sql import functions as F
 
+from flowlens.operators import boosting as B
 from flowlens.operators import ensemble as M
 from flowlens.operators import explain as X
 from flowlens.operators import profile as P
@@ -25,11 +25,6 @@ from flowlens.sources.tables import table
 NAMES = M.feature_names(64)
 _CACHE: dict = {}
 
-# Early stopping ends at the first round that does not lower the validation loss: Spark has
-# no patience, and a tolerance above 0 would end a slow learner (rate .01) in its first rounds.
-VALIDATION_TOL = 0.0
-
-
 def emb(spark, sf):
     e = table(spark, sf, "embeddings").select(
         "vec_id", F.col("label").cast("double").alias("label"), "embedding")
@@ -66,20 +61,33 @@ def train_validation(spark, sf):
     return v.withColumn("is_validation", F.col("part") == "test").drop("part")
 
 
+def tuned(spark, sf):
+    """(settings, scores): the grid's best cell by 2-fold weighted F1, and every cell's mean."""
+    def run():
+        scores = B.search(_folds(spark, sf, 2), B.CONFIGS["xgb"], B.GRID, "label", "vec_id", "embedding", "fold", 2)
+        return B.best_settings(scores, B.CONFIGS["xgb"], B.GRID)
+    return _cached(spark, ("grid", sf), run)
+
+
 def trained_boost(spark, sf, kind):
-    """gbm / lgbm / cat stop early on the validation rows; xgb has no early stop."""
+    """gbm / lgbm / cat stop early with patience on the validation rows; xgb is the grid's best
+    cell, fitted on all training rows without early stop."""
     def fit():
-        train = train_validation(spark, sf)
-        if kind == "lgbm":
-            train = M.with_balanced_weight(train, "label")
+        settings = tuned(spark, sf)[0] if kind == "xgb" else B.CONFIGS[kind]
         t0 = time.perf_counter()
-        model = M.fit_boosted(train, kind, weight_col="weight" if kind == "lgbm" else None,
-                              validation_col=None if kind == "xgb" else "is_validation",
-                              validation_tol=VALIDATION_TOL)
+        model = B.fit(train_validation(spark, sf), settings, "label", "vec_id", "embedding",
+                      validation_col=None if kind == "xgb" else "is_validation", class_weights=kind in ("lgbm", "cat"))
         return model, time.perf_counter() - t0
     return _cached(spark, (kind, sf), fit)
 
 
+def predict(model, df):
+    """Class probabilities and prediction by a model of either kind."""
+    if isinstance(model, B.BoostedModel):
+        return B.score(model, df.drop("features"), "embedding")
+    return M.predict(model, df)
+
+
 def _scored_out(scored):
     return scored.select("vec_id", "label", "split", F.col("prediction"),
                          F.array_max("probability").alias("confidence"))
@@ -94,7 +102,7 @@ def forest_score(spark, sf):
 def _boost_query(kind):
     def q(spark, sf):
         model, _ = trained_boost(spark, sf, kind)
-        return _scored_out(M.predict(model, split(spark, sf)))
+        return _scored_out(predict(model, split(spark, sf)))
     return q
 
 
@@ -104,13 +112,12 @@ for _kind in ("gbm", "lgbm", "xgb", "cat"):
 
 @register("early_stopping")
 def early_stopping(spark, sf):
-    """M5/M8: per class, trees built with early stopping (validation tolerance) and the
-    best iteration by validation log-loss."""
-    tv = train_validation(spark, sf)
-    model = M.fit_boosted(tv, "cat", validation_col="is_validation",
-                          validation_tol=VALIDATION_TOL)
-    rows = M.best_iterations(model, tv.where("is_validation"))
-    return spark.createDataFrame(rows, "class int, trees int, best_iteration int, best_val_loss double")
+    """M5/M8: rounds built, best round and its validation loss of the models that stop with patience."""
+    rows = []
+    for kind in ("gbm", "cat"):
+        info = trained_boost(spark, sf, kind)[0].info
+        rows.append((kind, info["settings"].patience, info["built"], info["best"], float(info["losses"][info["best"] - 1])))
+    return spark.createDataFrame(rows, "model string, patience int, rounds_built int, best_round int, best_val_loss double")
 
 
 @register("model_metrics")
@@ -122,7 +129,7 @@ def model_metrics(spark, sf):
     for name, fit in specs:
         model, secs = fit()
         test = split(spark, sf).where(F.col("split") == "test")
-        m = E.summary_metrics(M.predict(model, test), "label", "prediction")
+        m = E.summary_metrics(predict(model, test), "label", "prediction")
         rows.append(m.select(F.lit(name).alias("model"), F.lit(float(secs)).alias("training_time_seconds"),
                              "accuracy", "f1_score", "precision", "recall",
                              "matthews_corrcoef", "cohen_kappa"))
@@ -177,11 +184,6 @@ def learning_curve(spark, sf):
 RF_SPACE = {"numTrees": [100, 200, 300], "maxDepth": [30, 15, 20],
             "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt", "log2"]}
 RF_DRAWS = 10
-# M10 grid of the reference (depth, rate, trees, child weight, gamma: 32 cells).
-BOOST_GRID = {"maxDepth": [4, 6], "stepSize": [0.05, 0.1], "maxIter": [500, 1000],
-              "minInstancesPerNode": [1, 3], "minInfoGain": [0.1, 0.3]}
-
-
 @register("random_search")
 def random_search(spark, sf):
     folds = _folds(spark, sf, 3)
@@ -193,13 +195,9 @@ def random_search(spark, sf):
 
 @register("grid_search")
 def grid_search(spark, sf):
-    """One-vs-rest GBT on all classes, every cell of the grid, 2 folds."""
-    folds = _folds(spark, sf, 2)
-    gbt = M.boosted("xgb")
-    cells = [dict(zip(BOOST_GRID, c)) for c in itertools.product(*BOOST_GRID.values())]
-    _, scores = M.search(folds, gbt, cells, "fold", 2)
-    return spark.createDataFrame(
-        [(str(sorted(c.items())), float(s)) for c, s in scores], "params string, mean_f1 double")
+    """Softmax boosting, every cell of the grid, 2 folds; ``best`` marks the cell that
+    ``boosted_score_xgb`` is fitted with."""
+    return tuned(spark, sf)[1]
 
 
 def _importance(spark, sf):

@@ -1,9 +1,12 @@
 """The ML queries fit all ten classes with the reference's settings (fits are recorded, not run)."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens import workflows as W
+from flowlens.operators import boosting as B
 from flowlens.operators import ensemble as M
 from flowlens.operators import explain as X
 from flowlens.plans import q_ml as Q
@@ -15,20 +18,24 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("kind", sorted(M.BOOST_CONFIGS))
+@pytest.mark.parametrize("kind", sorted(B.CONFIGS))
 def test_boosting_sees_ten_classes_and_its_rounds(spark, monkeypatch, kind):
     seen = {}
 
-    def fit(df, name, **kw):
-        seen.update(kw, labels={r[0] for r in df.select("label").distinct().collect()})
+    def fit(df, settings, *a, **kw):
+        seen.update(kw, settings=settings, labels={r[0] for r in df.select("label").distinct().collect()})
         raise Stop
 
     monkeypatch.setattr(Q, "_CACHE", {})
-    monkeypatch.setattr(M, "fit_boosted", fit)
+    monkeypatch.setattr(Q, "tuned", lambda *a: (B.CONFIGS["xgb"], None))
+    monkeypatch.setattr(B, "fit", fit)
     with pytest.raises(Stop):
         Q.trained_boost(spark, SF001, kind)
-    assert seen["labels"] == set(map(float, range(10)))
-    assert not set(seen) & set(M.BOOST_CONFIGS[kind])
+    assert seen["labels"] == set(map(float, range(10))) and seen["settings"] == B.CONFIGS[kind]
+    assert (seen["validation_col"] is None) == (kind == "xgb") and "rows" not in seen
+    spark_settings = M.BOOST_CONFIGS[kind]
+    assert (seen["settings"].rounds, seen["settings"].rate, seen["settings"].depth) == tuple(
+        spark_settings[k] for k in ("maxIter", "stepSize", "maxDepth"))
 
 
 def test_searches_take_the_whole_space(spark, monkeypatch):
@@ -38,12 +45,19 @@ def test_searches_take_the_whole_space(spark, monkeypatch):
         seen.append((cells, k, df.select("label").distinct().count()))
         return None, [(c, 0.0) for c in cells]
 
+    def grid_search(df, base, grid, *a, **kw):
+        seen.append((grid, a[-1], df.select("label").distinct().count()))
+        raise Stop
+
+    monkeypatch.setattr(Q, "_CACHE", {})
     monkeypatch.setattr(M, "search", search)
+    monkeypatch.setattr(B, "search", grid_search)
     Q.random_search(spark, SF001)
-    Q.grid_search(spark, SF001)
-    (forest, k3, n3), (boost, k2, n2) = seen
-    assert (len(forest), k3, n3, len(boost), k2, n2) == (10, 3, 10, 32, 2, 10)
-    assert all(c["numTrees"] >= 100 for c in forest) and {c["maxIter"] for c in boost} == {500, 1000}
+    with pytest.raises(Stop):
+        Q.grid_search(spark, SF001)
+    (forest, k3, n3), (grid, k2, n2) = seen
+    assert (len(forest), k3, n3, k2, n2) == (10, 3, 10, 2, 10) and all(c["numTrees"] >= 100 for c in forest)
+    assert grid["rounds"] == [500, 1000] and len(list(itertools.product(*grid.values()))) == 32
 
 
 def test_search_reaches_the_classifier_of_one_vs_rest(spark):
