@@ -57,8 +57,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
                        .alias("key"), "text")
     joined = C.staged(ngramjoin.components(keys, NEAR_WORDS, NEAR_PERCENT, "key", "text")
                       .where("root is not null").select("id", "root"), "joined")
-    first = joined.groupBy("root").agg(F.min("id").alias("first"))
-    gone = C.staged(joined.join(first, "root").where(F.col("id") != F.col("first")).select("id.place.*"), "gone")
+    first = C.staged(joined.groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+                     .where("rows > 1"), "first")
+    gone = C.staged(C.join_hot(joined, first, "root", joined.count())
+                    .where(F.col("id") != F.col("first")).select("id.place.*"), "gone")
     same = (F.col("__place.file") == gone["file"]) & (F.col("__place.row") == gone["row"])
     return rows.join(gone, same, "left_anti").drop("__place")
 
