@@ -36,7 +36,7 @@ from flowlens.llm import common as C
 
 ORDER = 2
 FOLDS, FOLD = 16, 3
-SLICE_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 CHUNK_ROWS = 1 << 14
 #: Keys in one row: Spark hands Python workers so many thousand rows at once, whatever their size.
 ROW_KEYS = 256
