@@ -160,6 +160,23 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), counts
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, by whole-array steps: a few hundred rows need no threaded
+    solver, whose threads stall a driver that shares its cores."""
+    n = len(a)
+    both = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        if not both[p, k]:
+            raise np.linalg.LinAlgError("singular patterns")
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.outer(factor, both[k])
+    return both[:, n:]
+
+
 def solve_patterns(demand: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
     """(times, pieces per class) patterns that use up the demand exactly, by column generation."""
     sizes = np.array(sorted(k for k, n in demand.items() if n > 0), np.int64)
@@ -178,12 +195,12 @@ def solve_patterns(demand: dict[int, int], room: int) -> list[tuple[int, dict[in
         out = int(ratio.argmin())
         columns[:, out] = pattern
         if turn % 200 == 199:                     # fresh inverse against rounding
-            inverse = np.linalg.inv(columns)
+            inverse = _inverse(columns)
         else:
             pivot = inverse[out] / step[out]
             inverse = inverse - np.outer(step, pivot)
             inverse[out] = pivot
-    times = np.floor(np.maximum(np.linalg.solve(columns, wanted), 0) + 1e-6).astype(np.int64)
+    times = np.floor(np.maximum((_inverse(columns) * wanted).sum(axis=1), 0) + 1e-6).astype(np.int64)
     left = wanted.astype(np.int64) - columns @ times
     for p in np.flatnonzero((columns * (left < 0)[:, None]).any(axis=0)):   # rounding took too many
         while times[p] and (columns[:, p] * (left < 0)).any():
