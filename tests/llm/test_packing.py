@@ -94,5 +94,5 @@ def test_inverse_equals_solver():
     rng = np.random.default_rng(4)
     for n in (1, 2, 7, 40):
         a = rng.integers(-3, 4, (n, n)) + np.eye(n) * 9
-        assert np.allclose(P._inverse(a) @ a, np.eye(n), atol=1e-9)
-    assert np.allclose(P._inverse(np.array([[0, 2], [1, 0]])), [[0, 1], [0.5, 0]])
+        assert np.allclose(K._inverse(a) @ a, np.eye(n), atol=1e-9)
+    assert np.allclose(K._inverse(np.array([[0, 2], [1, 0]])), [[0, 1], [0.5, 0]])
