@@ -18,6 +18,7 @@ from flowlens.operators import explain as X
 from flowlens.operators import profile as P
 from flowlens.operators import sample as R
 from flowlens.operators import smote as SM
+from flowlens.operators import treeshap as T
 from flowlens.operators import evaluate as E
 from flowlens.plans.registry import register
 from flowlens.sources.tables import table
@@ -274,6 +275,29 @@ def shapley(spark, sf):
     return X.top_attributions(vals, "vec_id", 10)
 
 
+@register("tree_shapley")
+def tree_shapley(spark, sf):
+    """M14 + K4: exact path-dependent Shapley values of the forest for class 1, the 10 largest of
+    every row, without a background or drawn feature sets."""
+    model, _ = trained_forest(spark, sf)
+    vals = T.tree_shapley(emb(spark, sf), "embedding", model, class_index=1)
+    top = F.explode(T.largest(F.col("shap_values"), NAMES, 10)).alias("top")
+    return vals.select("vec_id", "base_value", top).select("vec_id", "base_value", "top.*")
+
+
+@register("tree_shapley_sums", """
+SELECT vec_id, len(embedding) AS n_features, true AS adds_up FROM embeddings
+""")
+def tree_shapley_sums(spark, sf):
+    """Whether every row's base value and Shapley values add up to the probability that the
+    forest itself gives."""
+    model, _ = trained_forest(spark, sf)
+    vals = M.predict(model, T.tree_shapley(emb(spark, sf), "embedding", model, class_index=1))
+    total = F.aggregate("shap_values", F.col("base_value"), lambda a, v: a + v)
+    return vals.select("vec_id", F.size("shap_values").cast("long").alias("n_features"),
+                       (F.abs(total - F.col("probability")[1]) < 1e-9).alias("adds_up"))
+
+
 @register("local_surrogate")
 def local_surrogate(spark, sf):
     """Weighted ridge around each row (5000 hashed perturbations, the library's
