@@ -32,6 +32,13 @@ def emb(spark, sf):
     return M.with_features(e, "embedding")
 
 
+def spread(spark, df):
+    """Rows over all cores: a small file is one partition, and explaining a row takes far longer
+    than moving it."""
+    return df.repartition(max(spark.sparkContext.defaultParallelism,
+                              int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
+
+
 def split(spark, sf):
     return R.stratified_split(emb(spark, sf), "label", "vec_id")
 
@@ -280,7 +287,7 @@ def tree_shapley(spark, sf):
     """M14 + K4: exact path-dependent Shapley values of the forest for class 1, the 10 largest of
     every row, without a background or drawn feature sets."""
     model, _ = trained_forest(spark, sf)
-    vals = T.tree_shapley(emb(spark, sf), "embedding", model, class_index=1)
+    vals = T.tree_shapley(spread(spark, emb(spark, sf)), "embedding", model, class_index=1)
     top = F.explode(T.largest(F.col("shap_values"), NAMES, 10)).alias("top")
     return vals.select("vec_id", "base_value", top).select("vec_id", "base_value", "top.*")
 
@@ -292,7 +299,7 @@ def tree_shapley_sums(spark, sf):
     """Whether every row's base value and Shapley values add up to the probability that the
     forest itself gives."""
     model, _ = trained_forest(spark, sf)
-    vals = M.predict(model, T.tree_shapley(emb(spark, sf), "embedding", model, class_index=1))
+    vals = M.predict(model, T.tree_shapley(spread(spark, emb(spark, sf)), "embedding", model, class_index=1))
     total = F.aggregate("shap_values", F.col("base_value"), lambda a, v: a + v)
     return vals.select("vec_id", F.size("shap_values").cast("long").alias("n_features"),
                        (F.abs(total - F.col("probability")[1]) < 1e-9).alias("adds_up"))
@@ -308,7 +315,7 @@ def local_surrogate(spark, sf):
     cols = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(n)
                                                    for i, n in enumerate(NAMES)])
     st = standard_stats(cols, NAMES)
-    return X.local_surrogate(e, "vec_id", "embedding", model, [st[n][0] for n in NAMES],
+    return X.local_surrogate(spread(spark, e), "vec_id", "embedding", model, [st[n][0] for n in NAMES],
                              [st[n][1] for n in NAMES], NAMES, samples=5000)
 
 
