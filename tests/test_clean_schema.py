@@ -132,3 +132,19 @@ def test_pad_results_keep_nulls_form(spark):
     out = C.pad_results([a, b], ["f"], ["M1_Prediction", "M2_AttackProb"], fill=None)
     rows = sorted(out.collect(), key=lambda r: r["f"])
     assert rows[0]["M2_AttackProb"] is None and rows[1]["M2_AttackProb"] == 0.25
+
+
+def test_csv_folder_with_several_headers(spark, tmp_path):
+    """Every file is read by its own header; blanks and signs in its path are no trouble."""
+    folder = tmp_path / "day 1+2%"
+    folder.mkdir()
+    (folder / "a b.csv").write_text("Total Fwd Packets,Label,Flow Bytes/s\n1,DDoS,10\n2,BENIGN,Infinity\n")
+    (folder / "b.csv").write_text("Label,Flow Bytes/s,Total Fwd Packets\nBot,30,3\n")
+    (folder / "c+d.csv").write_text("Label,Total Fwd Packets\nPortScan,4\n")
+    (folder / "e.csv").write_text("Total Fwd Packets,Label,Flow Bytes/s\n5,DDoS,50\n")
+    (folder / "f.csv").write_text("")
+    df = S.read_flow_csv(spark, str(folder))
+    assert df.columns == ["total_fwd_packets", "label", "flow_bytes_per_s"]
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == [(1.0, "DDoS", 10.0), (2.0, "BENIGN", INF), (3.0, "Bot", 30.0), (4.0, "PortScan", None),
+                   (5.0, "DDoS", 50.0)]
