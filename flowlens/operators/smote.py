@@ -1,175 +1,295 @@
 """SMOTE oversampling (R5) on Spark, with exact same-class nearest neighbours.
 
-The k nearest other rows of the same class (Euclidean) are found without a class-wide self
-join and without emitting all pairs of any group:
+The k nearest other rows of the same class (Euclidean) are found by pivot tiles, without a
+class-wide self join:
 
 1. identical points of a class collapse to one distinct point with a multiplicity, so a
    value repeated by a third of all rows is a single row from here on;
-2. candidates: on a few random unit directions each distinct point takes the ``window``
-   points before and after it in projection order, inside equal-depth buckets of the
-   projection (one task sorts one bucket): at most 2 x window x directions per point;
-3. exact completion: r = distance of the k-th nearest candidate row (multiplicities
-   counted, own copies at distance 0). A closer point lies within r of it on every
-   direction, so a band join on the first direction (equi-join on bins about the median r
-   wide, the point side expanded to the bins its band covers) finds every one of them; a
-   point with fewer than k candidate rows searches its class's whole projection range.
-   Only pairs within r on all directions reach the distance check.
+2. tiles: about sqrt(n) points of each class, drawn by hash, are its pivots (``PIVOT_BYTES``
+   bounds all of them); a point belongs to the tile of its nearest pivot. A tile of more
+   than ``TILE_ROWS`` points is cut into rings by the distance to the pivot, a ring whose
+   distances are all alike into blocks by a hash;
+3. own ring: each seed meets the points of its ring; their k-th distance, or a bound out of
+   the tiles' sizes and radii, is the seed's radius r;
+4. other rings: a tile or ring is visited only if the triangle inequality leaves room for a
+   point within r: no point nearer than |d(seed, pivot) - ring|, none across the plane half
+   way to another pivot. (class, tile, ring) is the join key; a pair of blocks is one task's
+   group of bounded size.
+
+Only rows of classes that need new rows are read, and only points that are copied are seeds.
+Rows without a label, and rows whose vector is null, of another length than most, or holds a
+null or non-finite component, take no part in the search (SMOTE keeps them as they are).
 
 Synthetic row = a + u * (b - a), with b drawn from the k neighbour rows and u and the draw
-from ``xxhash64`` (deterministic). A class with a single row repeats it.
+from ``xxhash64`` (deterministic). A row without neighbours repeats itself.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.joins import join_small, materialize_small
-from flowlens.operators.windows import add_range_bucket, hash_rank
+from flowlens.operators.windows import hash_rank
 from flowlens.session import cut_lineage
 
 SEED = 42
-ROWS_PER_BUCKET = 50_000  # distinct points per projection bucket (one sorted window task)
-MAX_BAND_BINS = 100_000  # the band bins of a class are at least range / this wide
+TILE_ROWS = 2000      # points of one block, seeds of one block
+PIVOT_BYTES = 32 << 20  # all pivots together (they are broadcast)
+BINS = 1024           # steps of a tile's distance histogram, cut into rings
 MAX_CLASSES = 10_000
+CELLS = 1 << 22       # entries of one distance matrix within a task
+RING = ["__c", "__tile", "__ring"]
+ENTRIES = "array<struct<cum_end:bigint,d:double,q:bigint,arr:array<double>>>"
 
 
 def _u(*parts) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def _dot(a, b) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def _dist(a, b) -> F.Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
-                              F.lit(0.0), lambda s, v: s + v))
-
-
-def distinct_points(df: DataFrame, key: str, label: str, array_col: str,
-                    directions: int = 4) -> DataFrame:
-    """(label, __arr, __pid = smallest key, __m = rows, __s = projections) per distinct
-    point of a class; the projections use ``directions`` fixed random unit vectors."""
-    base = df.select(key, label, F.col(array_col).cast("array<double>").alias("__arr"))
-    first = base.select(F.size("__arr").alias("d")).first()
-    dim = max(1, first["d"]) if first else 1
-    rng = np.random.default_rng(SEED)
-    dirs = rng.normal(size=(directions, dim))
-    dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
-    proj = [_dot(F.col("__arr"), F.array(*[F.lit(float(x)) for x in d])) for d in dirs]
-    return (base.groupBy(label, "__arr")
-            .agg(F.min(key).alias("__pid"), F.count(F.lit(1)).alias("__m"))
-            .withColumn("__s", F.array(*proj)))
-
-
-def _candidates(pts: DataFrame, label: str, window: int, classes: list) -> DataFrame:
-    """Step 2: projection-order neighbours -> (label, p, p_m, q, q_m, q_arr, d)."""
-    nb_c = {r[label]: max(1, math.ceil(r["__nd"] / ROWS_PER_BUCKET)) for r in classes}
-    nb_max = max(nb_c.values(), default=1)
-    long = pts.select(label, "__pid", "__m", "__arr", F.posexplode("__s").alias("__t", "__v"))
-    if nb_max > 1:
-        probs = [i / nb_max for i in range(1, nb_max)]
-        named = {c: n for c, n in nb_c.items() if c is not None}  # map keys are non-null
-        step = F.coalesce(F.element_at(F.map_from_arrays(
-            F.array(*[F.lit(c) for c in named]),
-            F.array(*[F.lit(max(1, nb_max // n)) for n in named.values()])), F.col(label)),
-            F.lit(1))
-        bounds = long.groupBy(label, "__t").agg(
-            F.percentile_approx("__v", probs, 10000).alias("__all"))
-        bounds = bounds.select(label, "__t", F.array_distinct(F.filter(
-            "__all", lambda x, i: (i + 1) % step == 0)).alias("__bounds"))
-        long = add_range_bucket(long, "__v", [label, "__t"], nb_max,
-                                bounds=materialize_small(bounds))
-    else:
-        long = long.withColumn("__bucket", F.lit(0))
-    w = (Window.partitionBy(label, "__t", "__bucket").orderBy("__v", "__pid")
-         .rowsBetween(-window, window))
-    near = long.withColumn("__near", F.collect_list(F.struct(
-        F.col("__pid").alias("q"), F.col("__m").alias("q_m"), F.col("__arr").alias("q_arr"))).over(w))
-    pairs = near.select(label, F.col("__pid").alias("p"), F.col("__m").alias("p_m"),
-                        F.col("__arr").alias("__a"), F.inline("__near")).where(F.col("q") != F.col("p"))
-    return pairs.select(label, "p", "p_m", "q", "q_m", "q_arr",
-                        _dist(F.col("__a"), F.col("q_arr")).alias("d")).dropDuplicates(["p", "q"])
+def distinct_points(df: DataFrame, key: str, label: str, array_col: str) -> DataFrame:
+    """(label, __arr, __pid = smallest key, __m = rows) per distinct point of a class that
+    can take part."""
+    base = df.select(key, label, F.col(array_col).cast("array<double>").alias("__arr")).where(
+        F.col(label).isNotNull() & F.col("__arr").isNotNull())
+    base = base.where(F.forall("__arr", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
+    width = base.groupBy(F.size("__arr").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    return (base.where(F.size("__arr") == (width.w if width else 0)).groupBy(label, "__arr")
+            .agg(F.min(key).alias("__pid"), F.count(F.lit(1)).alias("__m")))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long Arrow lists as one matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x and y, up to ``_room``."""
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1), 0))
+
+
+def _room(x: np.ndarray, y: np.ndarray) -> float:
+    """More than the rounding error of ``_distances``."""
+    return 1e-6 * float(np.sqrt((x * x).sum(axis=1).max()) + np.sqrt((y * y).sum(axis=1).max()) + 1e-300)
+
+
+def choose_pivots(pts: DataFrame, sizes: dict[int, int], dim: int) -> dict[int, np.ndarray]:
+    """About sqrt(n) points of each class by hash, at most ``PIVOT_BYTES`` in all."""
+    want = {c: math.ceil(math.sqrt(n)) for c, n in sizes.items()}
+    most = max(1, PIVOT_BYTES // (8 * max(1, dim)))
+    if sum(want.values()) > most:
+        scale = most / sum(want.values())
+        want = {c: max(1, int(w * scale)) for c, w in want.items()}
+    spark = pts.sparkSession
+    shares = spark.createDataFrame([(c, min(1.0, (2 * want[c] + 32) / n)) for c, n in sizes.items()],
+                                   "__c int, share double")
+    drawn = pts.withColumn("h", _u(F.col("__pid"))).join(F.broadcast(shares), "__c").where("h < share")
+    found = drawn.select("__c", "h", "__pid", "__arr").toArrow().sort_by(
+        [("__c", "ascending"), ("h", "ascending"), ("__pid", "ascending")])
+    cls = found["__c"].to_numpy()
+    return {c: _matrix(found["__arr"].slice(int(np.searchsorted(cls, c)), min(n, int((cls == c).sum()))))
+            for c, n in want.items()}
+
+
+def tiles(pts: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Adds ``__tile`` (nearest pivot of the class) and ``__dp`` (the distance to it)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = batch["__c"].to_numpy()
+            tile, dp = np.zeros(len(cls), np.int32), np.zeros(len(cls))
+            x = _matrix(batch["__arr"]) if len(cls) else None
+            for c in np.unique(cls):
+                mine, p = np.flatnonzero(cls == c), pivots[int(c)]
+                for part in np.array_split(mine, 1 + len(mine) * len(p) // CELLS):
+                    d = _distances(x[part], p)
+                    tile[part] = d.argmin(axis=1)
+                    dp[part] = d[np.arange(len(part)), tile[part]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tile), pa.array(dp)],
+                                             names=[*batch.schema.names, "__tile", "__dp"])
+    cols = ["__c", "__pid", "__m", "__arr"]
+    return pts.select(*cols).mapInArrow(
+        run, "__c int, __pid long, __m long, __arr array<double>, __tile int, __dp double")
+
+
+def rings(index: DataFrame) -> DataFrame:
+    """Adds ``__ring``: tiles of more than ``TILE_ROWS`` points are cut by the distance to their
+    pivot, from a histogram of at most ``BINS`` steps a tile."""
+    span = index.groupBy("__c", "__tile").agg(F.count("*").alias("n"), F.min("__dp").alias("lo"),
+                                              F.max("__dp").alias("hi")).where(F.col("n") > TILE_ROWS)
+    step = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.floor(
+        (F.col("__dp") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))).otherwise(F.lit(0)).cast("int")
+    large = join_small(index, span.select("__c", "__tile", "lo", "hi"), ["__c", "__tile"], "left")
+    large = large.withColumn("__bin", F.when(F.col("hi").isNull(), 0).otherwise(step)).drop("lo", "hi")
+    counts = large.groupBy("__c", "__tile", "__bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__c", "__tile").orderBy("__bin").rowsBetween(
+        Window.unboundedPreceding, 0)) - F.col("n")
+    cut = counts.select("__c", "__tile", "__bin", F.floor(before / TILE_ROWS).cast("int").alias("__ring"))
+    return large.join(cut, ["__c", "__tile", "__bin"]).drop("__bin")
+
+
+def nearest_in_rings(ask: DataFrame, index: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(p, q, q_m, d): the ``k`` nearest other points of each seed in each (ring, block) it asks.
+
+    ``ask``: (__pid, __arr, ring key), ``sizes``: (ring key, blocks). Points are dealt over
+    their ring's blocks, seeds over blocks of ``TILE_ROWS``."""
+    asked = ask.groupBy(*RING).agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("seed_blocks"))
+    sizes = cut_lineage(sizes.select(*RING, "blocks").join(asked, RING))
+    slot = F.xxhash64(F.lit(SEED), "__pid")
+    names = [f"seed{c}" for c in RING]   # the seeds are rows of the index: names of their own
+    left = ask.join(sizes, RING).select(
+        F.col("__pid").alias("p"), F.col("__arr").alias("v"), *(F.col(c).alias(n) for c, n in zip(RING, names, strict=True)),
+        F.pmod(slot, "seed_blocks").cast("int").alias("seed_block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = index.join(sizes, RING).select(
+        "__pid", "__m", "__arr", *RING, F.pmod(slot, "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("seed_blocks") - 1)).alias("seed_block"))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        p, q = a["p"].to_numpy(), b["__pid"].to_numpy()
+        r = c = np.zeros(0, np.int64)
+        d = np.zeros(0)
+        if len(p) and len(q):
+            x, y = _matrix(a["v"]), _matrix(b["__arr"])
+            room, found = 2 * _room(x, y), []
+            for part in np.array_split(np.arange(len(p)), 1 + len(p) * len(q) // CELLS):
+                far = np.where(q[None, :] == p[part][:, None], np.inf, _distances(x[part], y))
+                kth = np.partition(far, k - 1, axis=1)[:, k - 1:k] if len(q) > k else np.inf
+                rr, cc = np.nonzero((far <= kth + room) & (far < np.inf))
+                found.append((part[rr], cc))
+            r, c = (np.concatenate(z) for z in zip(*found, strict=True))
+            d = np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
+            order = np.lexsort((q[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c, d = r[first], c[first], d[first]
+        return pa.table({"p": pa.array(p[r], pa.int64()), "q": pa.array(q[c], pa.int64()),
+                         "q_m": pa.array(b["__m"].to_numpy()[c], pa.int64()), "d": pa.array(d, pa.float64())})
+
+    pair = ["block", "seed_block"]
+    return left.groupBy(*names, *pair).cogroup(right.groupBy(*RING, *pair)).applyInArrow(
+        compare, "p long, q long, q_m long, d double")
+
+
+def open_tiles(seeds: DataFrame, pivots: dict[int, np.ndarray], spans: dict[int, tuple], k: int) -> DataFrame:
+    """(__c, __pid, __arr, own, r, __tile, dt) of every tile that may hold a point within the
+    seed's radius; ``spans``: class -> (smallest, largest distance, rows) of its tiles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, own = batch["__c"].to_numpy(), batch["__tile"].to_numpy()
+            m, dp = batch["__m"].to_numpy(), batch["__dp"].to_numpy()
+            known = batch["r"].to_numpy(zero_copy_only=False)
+            x = _matrix(batch["__arr"]) if len(cls) else None
+            for c in np.unique(cls):
+                mine, p = np.flatnonzero(cls == c), pivots[int(c)]
+                lo, hi, rows = spans[int(c)]
+                for part in np.array_split(mine, 1 + len(mine) * len(p) // CELLS):
+                    if not len(part):
+                        continue
+                    room, d = _room(x[part], p), _distances(x[part], p)
+                    reach = d + hi                       # every point of the tile is within
+                    order = reach.argsort(axis=1)
+                    held = np.broadcast_to(rows, d.shape).copy()
+                    held[np.arange(len(part)), own[part]] -= m[part]
+                    enough = np.take_along_axis(held, order, 1).cumsum(axis=1) >= (k + 1 - m[part])[:, None]
+                    at = enough.argmax(axis=1)
+                    bound = np.where(enough.any(axis=1), np.take_along_axis(
+                        reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], np.inf)
+                    r = np.fmin(known[part].astype(float), bound) + 4 * room
+                    gap = _distances(p[own[part]], p)    # the plane half way to the other pivot
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = np.where(gap > 4 * room, (d * d - (dp[part] ** 2)[:, None]) / (2 * gap), 0)
+                    slack = room * (1 + (d + dp[part][:, None]) / np.maximum(gap, 1e-300))
+                    keep = ((rows > 0) & (d - hi <= r[:, None]) & (lo - d <= r[:, None])
+                            & (plane - slack <= r[:, None]))
+                    s, t = np.nonzero(keep)
+                    rows_of = pa.array(part[s])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["__c"].take(rows_of), batch["__pid"].take(rows_of), batch["__arr"].take(rows_of),
+                         pa.array(own[part][s]), batch["__ring"].take(rows_of), pa.array(r[s]),
+                         pa.array(t.astype(np.int32)), pa.array(d[s, t])],
+                        names=["__c", "__pid", "__arr", "own", "own_ring", "r", "__tile", "dt"])
+    return seeds.select("__c", "__pid", "__m", "__arr", "__tile", "__ring", "__dp", "r").mapInArrow(
+        run, "__c int, __pid long, __arr array<double>, own int, own_ring int, r double, __tile int, dt double")
 
 
 def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
-                          directions: int = 4, window: int = 8) -> DataFrame:
+                          seeds: DataFrame | None = None) -> DataFrame:
     """(label, __arr, __total, nbrs) per distinct point: ``nbrs`` = the k nearest other
     rows of its class as array<struct<cum_end, d, q, arr>> (own copies first at distance 0,
     then by (distance, point key); ``cum_end`` = rows up to and including the entry),
-    ``__total`` = min(k, other rows of the class)."""
-    pts = cut_lineage(distinct_points(df, key, label, array_col, directions))
-    classes = materialize_small(pts.groupBy(label).agg(
-        F.count(F.lit(1)).alias("__nd"), F.min(F.col("__s")[0]).alias("__lo0"),
-        F.max(F.col("__s")[0]).alias("__hi0")), MAX_CLASSES).collect()
-    cand = _candidates(pts, label, window, classes)
-
-    # radius: distance at which own copies + candidate rows reach k (null: never)
-    cw = Window.partitionBy("p").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, 0)
-    rad = cand.withColumn("__cum", F.sum("q_m").over(cw)).groupBy("p").agg(
-        F.min(F.when(F.col("p_m") - 1 + F.col("__cum") >= k, F.col("d"))).alias("__r"))
-    pr = pts.join(rad, pts["__pid"] == rad["p"], "left").drop("p").withColumn(
-        "__r", F.when(F.col("__m") - 1 >= k, F.lit(0.0)).otherwise(F.col("__r")))
-    pr = cut_lineage(pr)
-
-    # band width per class: median positive radius, at least range / MAX_BAND_BINS
-    med = {r[label]: r["w"] for r in materialize_small(
-        pr.where(F.col("__r") > 0).groupBy(label).agg(
-            F.percentile_approx("__r", 0.5, 10000).alias("w")), MAX_CLASSES).collect()}
-    cls = {}
-    for r in classes:
-        if r[label] is None:  # no band search for unlabelled rows (map keys are non-null)
-            continue
-        span = (r["__hi0"] - r["__lo0"]) if r["__hi0"] is not None else 0.0
-        w = max(med.get(r[label]) or 0.0, span / MAX_BAND_BINS)
-        cls[r[label]] = (w if w > 0 else 1.0, r["__lo0"], r["__hi0"])
-    keys = [F.lit(c) for c in cls]
-    ctab = F.map_from_arrays(F.array(*keys), F.array(*[F.struct(
-        F.lit(float(w)).alias("w"), F.lit(lo).cast("double").alias("lo"),
-        F.lit(hi).cast("double").alias("hi")) for w, lo, hi in cls.values()]))
-    c = F.element_at(ctab, F.col(label))
-    s0 = F.col("__s")[0]
-    lo = F.when(F.col("__r").isNull(), c["lo"]).otherwise(s0 - F.col("__r"))
-    hi = F.when(F.col("__r").isNull(), c["hi"]).otherwise(s0 + F.col("__r"))
-    probe = pr.where(F.col("__r").isNull() | (F.col("__r") > 0)).select(
-        label, F.col("__pid").alias("p"), F.col("__m").alias("p_m"), F.col("__arr").alias("__a"),
-        F.col("__s").alias("__ps"),
-        "__r", F.explode(F.sequence(F.floor(lo / c["w"]), F.floor(hi / c["w"]))).alias("__bin"))
-    ref = pts.select(label, F.col("__pid").alias("q"), F.col("__m").alias("q_m"),
-                     F.col("__arr").alias("q_arr"), F.col("__s").alias("__qs"),
-                     F.floor(s0 / c["w"]).alias("__bin"))
-    inside = F.col("__r").isNull() | F.forall(
-        F.zip_with("__ps", "__qs", lambda a, b: F.abs(a - b)), lambda x: x <= F.col("__r"))
-    band = probe.join(ref, [label, "__bin"]).where((F.col("q") != F.col("p")) & inside) \
-        .select(label, "p", "p_m", "q", "q_m", "q_arr", _dist(F.col("__a"), F.col("q_arr")).alias("d"), "__r") \
-        .where(F.col("__r").isNull() | (F.col("d") <= F.col("__r"))).drop("__r")
-
-    allp = cand.unionByName(band).dropDuplicates(["p", "q"])
-    fw = Window.partitionBy("p").orderBy("d", "q")
-    before = F.coalesce(F.sum("q_m").over(fw.rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0)) + F.col("p_m") - 1
-    top = allp.withColumn("__before", before).where(F.col("__before") < k).select(
-        "p", F.struct((F.col("__before") + F.least(F.col("q_m"), k - F.col("__before")))
-                      .alias("cum_end"), "d", "q", F.col("q_arr").alias("arr")).alias("e"))
-    lists = top.groupBy("p").agg(F.sort_array(F.collect_list("e")).alias("__others"))
-    own = F.least(F.col("__m") - 1, F.lit(k))
-    own_e = F.when(own > 0, F.array(F.struct(own.cast("long").alias("cum_end"), F.lit(0.0).alias("d"),
-                                             F.col("__pid").alias("q"), F.col("__arr").alias("arr"))))
-    nb = pts.join(lists, pts["__pid"] == lists["p"], "left").select(
-        label, "__arr", F.concat(F.coalesce(own_e, F.array().cast(
-            "array<struct<cum_end:bigint,d:double,q:bigint,arr:array<double>>>")),
-            F.coalesce("__others", F.array().cast(
-                "array<struct<cum_end:bigint,d:double,q:bigint,arr:array<double>>>"))).alias("nbrs"))
+    ``__total`` = min(k, other rows of the class). ``seeds(label, array_col)``: only these
+    points are answered (all others are still neighbours)."""
+    pts = cut_lineage(distinct_points(df, key, label, array_col))
+    classes = materialize_small(pts.groupBy(label).agg(F.count("*").alias("__n"),
+                                                       F.first(F.size("__arr")).alias("__w")), MAX_CLASSES)
+    found = classes.toArrow().to_pylist()
+    numbered = df.sparkSession.createDataFrame(
+        [(r[label], i) for i, r in enumerate(found)], f"`{label}` {pts.schema[label].dataType.simpleString()}, __c int")
+    pts = pts.join(F.broadcast(numbered), label)     # at most MAX_CLASSES rows
+    if seeds is None:
+        wanted = pts
+    else:
+        points = seeds.select(label, F.col(array_col).cast("array<double>").alias("__arr")).distinct()
+        wanted = pts.join(points, [label, "__arr"], "left_semi")
+    if not found:
+        return wanted.select(label, "__arr", F.lit(0).cast("long").alias("__total"),
+                             F.array().cast(ENTRIES).alias("nbrs"))
+    pivots = choose_pivots(pts, {i: r["__n"] for i, r in enumerate(found)}, found[0]["__w"])
+    index = cut_lineage(rings(tiles(pts, pivots)))
+    spread = index.groupBy(*RING).agg(F.count("*").alias("n"), F.sum("__m").alias("rows"),
+                                      F.min("__dp").alias("lo"), F.max("__dp").alias("hi"))
+    spread = cut_lineage(spread.withColumn("blocks", F.ceil(F.col("n") / TILE_ROWS).cast("int")))
+    spans = {c: (np.full(len(p), np.inf), np.full(len(p), -np.inf), np.zeros(len(p), np.int64))
+             for c, p in pivots.items()}
+    for r in spread.groupBy("__c", "__tile").agg(      # one row per pivot
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows")).toArrow().to_pylist():
+        for part, value in zip(spans[r["__c"]], (r["lo"], r["hi"], r["rows"]), strict=True):
+            part[r["__tile"]] = value
+
+    searching = index.where(F.col("__m") <= k)
+    if seeds is not None:
+        searching = searching.join(wanted.select("__pid"), "__pid", "left_semi")
+    near = cut_lineage(nearest_in_rings(searching.select("__pid", "__arr", *RING), index, spread, k))
+    own = searching.select("__pid", "__m")
+    so_far = Window.partitionBy("p").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, 0)
+    radius = near.join(own, near["p"] == own["__pid"]).withColumn("rows", F.sum("q_m").over(so_far) + F.col("__m") - 1) \
+        .groupBy("p").agg(F.min(F.when(F.col("rows") >= k, F.col("d"))).alias("r"))
+    asking = searching.join(radius, searching["__pid"] == radius["p"], "left").drop("p")
+    ask = open_tiles(asking, pivots, spans, k).join(
+        spread.select(*RING, "lo", "hi"), ["__c", "__tile"]).where(
+        ~((F.col("__tile") == F.col("own")) & (F.col("__ring") == F.col("own_ring")))
+        & (F.col("dt") - F.col("r") <= F.col("hi")) & (F.col("dt") + F.col("r") >= F.col("lo")))
+    ask = cut_lineage(ask.select("__pid", "__arr", *RING))
+    allp = near.unionByName(nearest_in_rings(ask, index, spread, k))
+
+    fw = Window.partitionBy("p").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy("p").orderBy("d", "q")
+    top = allp.withColumn("i", F.row_number().over(first)).withColumn(
+        "others", F.coalesce(F.sum("q_m").over(fw), F.lit(0))).where(F.col("i") <= k)
+    top = top.join(own, top["p"] == own["__pid"]).withColumn("__before", F.col("others") + F.col("__m") - 1) \
+        .where(F.col("__before") < k).drop("__pid", "__m")
+    vectors = pts.select(F.col("__pid").alias("q"), F.col("__arr").alias("q_arr"))
+    lists = top.join(vectors, "q").groupBy("p").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("__before") + F.least(F.col("q_m"), k - F.col("__before"))).alias("cum_end"), "d", "q",
+        F.col("q_arr").alias("arr")))).alias("__others"))    # at most k
+    copies = F.least(F.col("__m") - 1, F.lit(k))
+    copy = F.when(copies > 0, F.array(F.struct(copies.cast("long").alias("cum_end"), F.lit(0.0).alias("d"),
+                                               F.col("__pid").alias("q"), F.col("__arr").alias("arr"))))
+    none = F.array().cast(ENTRIES)
+    nb = wanted.join(lists, wanted["__pid"] == lists["p"], "left").select(
+        label, "__arr", F.concat(F.coalesce(copy, none), F.coalesce("__others", none)).alias("nbrs"))
     return nb.withColumn("__total", F.coalesce(F.try_element_at("nbrs", F.lit(-1))["cum_end"], F.lit(0)))
 
 
 def smote(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
-          plan: DataFrame | None = None, target: str = "target", directions: int = 4,
-          window: int = 8) -> DataFrame:
+          plan: DataFrame | None = None, target: str = "target") -> DataFrame:
     """Oversample every class to the majority class size, or to ``plan``'s
     per-class ``target`` (e.g. ``sample.rebalance_plan``: classes below n/k up to n/k).
     Output: the original rows (copy = -1) plus synthetic rows (origin key, copy number),
@@ -188,7 +308,8 @@ def smote(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
     copies = (F.floor(F.col("__need") / F.col("__n"))
               + F.when(F.col("__r") < F.col("__need") % F.col("__n"), 1).otherwise(0)).cast("int")
     need = ranked.withColumn("__m", copies).where(F.col("__m") > 0)
-    nb = same_class_neighbours(df, key, label, array_col, k, directions, window)
+    needy = join_small(base, counts.where(F.col("__need") > 0).select(label), on=label, how="left_semi")
+    nb = same_class_neighbours(needy, key, label, array_col, k, need.select(label, array_col))
     j = need.join(nb.withColumnRenamed("__arr", array_col), [label, array_col], "left")
     j = j.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
     total = F.coalesce(F.col("__total"), F.lit(0))

@@ -326,6 +326,29 @@ def smote(spark, sf):
     return SM.smote(e, "vec_id", "label", "embedding")
 
 
+@register("smote_neighbours", """
+WITH p AS (SELECT min(vec_id) AS id, label, embedding::DOUBLE[] AS v, count(*) AS m FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+           GROUP BY label, embedding),
+near AS (SELECT a.label, a.id AS vec_id, b.id AS near_id, list_distance(a.v, b.v) AS distance, a.m AS own, b.m AS m
+         FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id),
+ranked AS (SELECT *, own - 1 + coalesce(sum(m) OVER (PARTITION BY vec_id ORDER BY distance, near_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM near)
+SELECT label, vec_id, near_id, distance, CAST(least(before + m, 5) AS BIGINT) AS rows_until FROM ranked WHERE before < 5
+UNION ALL SELECT label, id, id, 0.0, CAST(least(m - 1, 5) AS BIGINT) FROM p WHERE m > 1
+""")
+def smote_neighbours(spark, sf):
+    """The 5 nearest other rows of the same class, of every distinct point (named by its
+    smallest id; ``rows_until``: rows up to and with this point, own copies first)."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    ids = e.withColumn("embedding", F.col("embedding").cast("array<double>")).groupBy("label", "embedding").agg(
+        F.min("vec_id").alias("vec_id"))
+    near = SM.same_class_neighbours(e, "vec_id", "label", "embedding").withColumnRenamed("__arr", "embedding")
+    return near.join(ids, ["label", "embedding"]).select("label", "vec_id", F.inline("nbrs")).select(
+        "label", "vec_id", F.col("q").alias("near_id"), F.col("d").alias("distance"),
+        F.col("cum_end").alias("rows_until"))
+
+
 @register("smote_to_plan")
 def smote_to_plan(spark, sf):
     """R4 + R5: classes below n/k oversampled to int(n/k), others unchanged."""

@@ -61,8 +61,9 @@ def test_smote_points_between_same_class_rows(spark):
 
 
 def test_smote_neighbours_exact_with_small_buckets(spark, monkeypatch):
-    """Equal-depth projection buckets (as on a large class) keep the neighbours exact."""
-    monkeypatch.setattr(SM, "ROWS_PER_BUCKET", 20)
+    """Tiles cut into rings and blocks (as on a large class) keep the neighbours exact."""
+    monkeypatch.setattr(SM, "TILE_ROWS", 7)
+    monkeypatch.setattr(SM, "PIVOT_BYTES", 8 * 6 * 8)
     test_smote_neighbours_exact_against_brute_force(spark)
 
 
@@ -79,7 +80,7 @@ def test_smote_neighbours_exact_against_brute_force(spark):
         rows.append((i, 0, rows[0][2]))
     rows += [(400, 7, [0.0] * 6), (401, 7, [1.0] * 6), (402, 7, [0.0] * 6)]
     df = spark.createDataFrame(rows, "id long, label int, arr array<double>")
-    nb = SM.same_class_neighbours(df, "id", "label", "arr", k=5, window=2).collect()
+    nb = SM.same_class_neighbours(df, "id", "label", "arr", k=5).collect()
     got = {(r["label"], tuple(r["__arr"])): r for r in nb}
     by_class = {}
     for i, lab, v in rows:
