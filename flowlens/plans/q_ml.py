@@ -328,7 +328,7 @@ def smote(spark, sf):
 
 @register("smote_neighbours", """
 WITH p AS (SELECT min(vec_id) AS id, label, embedding::DOUBLE[] AS v, count(*) AS m FROM embeddings
-           WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
            GROUP BY label, embedding),
 near AS (SELECT a.label, a.id AS vec_id, b.id AS near_id, list_distance(a.v, b.v) AS distance, a.m AS own, b.m AS m
          FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id),

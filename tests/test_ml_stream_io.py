@@ -67,6 +67,31 @@ def test_smote_neighbours_exact_with_small_buckets(spark, monkeypatch):
     test_smote_neighbours_exact_against_brute_force(spark)
 
 
+def test_smote_neighbours_prune_clusters(spark, monkeypatch):
+    """On clustered points far fewer pairs than all pairs of the class are compared, and rows
+    that cannot take part (no label, null, non-finite or short vectors) are left out."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 100
+    rows = [(i, 1, (centres[i % 40] + rng.normal(size=8)).tolist()) for i in range(1600)]
+    bad = [(2000, None, [0.0] * 8), (2001, 1, None), (2002, 1, [float("nan")] * 8), (2003, 1, [1.0])]
+    df = spark.createDataFrame(rows + bad, "id long, label int, arr array<double>")
+    pairs, run = [], SM.nearest_in_rings
+
+    def counted(ask, index, sizes, k):
+        met = ask.groupBy(*SM.RING).count().join(sizes, SM.RING)
+        pairs.append(met.selectExpr("coalesce(sum(count * n), 0) s").first().s)
+        return run(ask, index, sizes, k)
+    monkeypatch.setattr(SM, "nearest_in_rings", counted)
+    got = SM.same_class_neighbours(df, "id", "label", "arr").collect()
+    assert len(got) == 1600 and sum(pairs) < 1600 * 1600 / 8
+    x = np.array([r[2] for r in rows])
+    at = {tuple(v): i for i, v in enumerate(x.tolist())}
+    for r in got[::40]:
+        d = np.sqrt(((x - np.array(r["__arr"])) ** 2).sum(axis=1))
+        d[at[tuple(r["__arr"])]] = np.inf
+        assert [e["q"] for e in r["nbrs"]] == np.argsort(d, kind="stable")[:5].tolist()
+
+
 def test_smote_neighbours_exact_against_brute_force(spark):
     """The k nearest other rows of the same class equal a numpy brute force, with exact
     duplicates (own copies come first at distance 0) and a class smaller than k."""
