@@ -11,8 +11,9 @@ distributed connected components gather the aliases, and
 3. else a block of any alias gives block,
 4. else the url is allowed.
 
-Targets that are not pages take part as aliases too. A url is compared without its
-fragment, with scheme and host in lower case.
+Targets that are not pages take part as aliases too. A url is compared as an alias without
+its fragment, with scheme and host in lower case, ``.`` and ``..`` segments of the path
+resolved, and an empty path as ``/`` (rules judge a page's own path as it stands).
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no
 rule, has no alias and is allowed; null html has no links; repeated rows and ids are
@@ -53,11 +54,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def resolved(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments; an empty one as ``/``."""
+    closed = F.regexp_replace(path, r"(/\.{1,2})$", "$1/")
+    parts = F.split(F.substring(closed, 2, 1 << 30), "/")
+    folded = F.aggregate(parts, F.lit(""), lambda done, part: F.when(part == ".", done).when(
+        part == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part)))
+    return (F.when(path == "", F.lit("/")).when(path.rlike(r"/\.{1,2}(/|$)"), folded).otherwise(path))
+
+
 def node_of(url: Column) -> Column:
-    """The url as an alias node: without fragment, scheme and host in lower case."""
+    """The url as an alias node: without fragment, scheme and host in lower case, path resolved."""
     scheme = F.translate(F.substring_index(url, "://", 1), UPPER, LOWER)
-    rest = F.regexp_extract(_after(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), rest))
+    asked = F.regexp_extract(_after(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(
+        scheme, F.lit("://"), host_of(url), resolved(path_of(url)), asked))
 
 
 def fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> Column:
@@ -192,8 +203,13 @@ def _sql() -> str:
     after = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
     host = f"translate(regexp_extract({after}, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
     path = f"regexp_extract({after}, '^[^/?#]*([^?#]*)', 1)"
+    parts = f"string_split(substr(regexp_replace({path}, '(/\\.{{{{1,2}}}})$', '\\1/'), 2), '/')"
+    step = ("lambda done, part: CASE part WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '')"
+            " ELSE done || '/' || part END")
+    clean_path = (f"CASE WHEN {path} = '' THEN '/' WHEN regexp_matches({path}, '/\\.{{{{1,2}}}}(/|$)')"
+                  f" THEN list_reduce(list_prepend('', {parts}), {step}) ELSE {path} END")
     node = (f"CASE WHEN instr({{0}}, '://') > 0 THEN translate(split_part({{0}}, '://', 1), '{UPPER}', '{LOWER}')"
-            f" || '://' || {host} || regexp_extract({after}, '^[^/?#]*([^#]*)', 1) END")
+            f" || '://' || {host} || {clean_path} || regexp_extract({after}, '^[^?#]*(\\?[^#]*)', 1) END")
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     best = ("(SELECT {what} FROM rules r WHERE ({t}.host = r.h OR ends_with({t}.host, '.' || r.h))"
             " AND starts_with({t}.path, r.p) ORDER BY length(r.h || r.p) DESC, length(r.h) DESC, r.v LIMIT 1)")

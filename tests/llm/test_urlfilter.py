@@ -54,6 +54,30 @@ def test_sql_agrees(spark):
     assert got == exp
 
 
+DOTS = [
+    (1, "http://f.com/x/q", '<link rel=canonical href="http://b.net/1">', None),
+    (2, "http://f.com/a/p", '<link rel=canonical href="./../x/q">', None),
+    (3, "http://f.com/x/p", '<link rel=canonical href="./q">', None),
+    (4, "http://f.com/x/r", '<link rel=canonical href="../../../x/./y/../q">', None),
+    (5, "http://f.com/", '<link rel=canonical href="http://c.net">', None),
+    (6, "http://g.com/u", '<link rel=canonical href="http://F.com">', None),
+    (7, "http://g.com/v", '<link rel=canonical href="http://f.com?z=1">', None),
+    (8, "http://g.com/w", '<link rel=canonical href="http://f.com/x//q">', None),
+    (9, "http://g.com/k/", '<link rel=canonical href="http://b.net/1">', None),
+    (10, "http://g.com/k/m", '<link rel=canonical href=".">', None),
+    (11, "http://g.com/k/m/n", '<link rel=canonical href="..">', None),
+    (12, "http://g.com/k/.hidden", '<link rel=canonical href="...">', None)]
+
+
+def test_dot_segments_and_empty_paths_name_the_same_page(spark):
+    got = {r.id: r.verdict for r in _judge(spark, DOTS)}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 9, 10, 11}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in DOTS])
+    assert {r[0]: r[4] for r in con.execute(U.ORACLE_SQL).fetchall()} == got
+
+
 def test_long_rule_list_joins_to_the_same(spark):
     rows = [(i % 7, f"http://s{i % 5}.h{i % 11}.net/p{i % 3}/q", "", None) for i in range(60)]
     rules = [(f"h{i}.net", f"/p{j}", "block" if (i + j) % 2 else "allow") for i in range(11) for j in range(2)]
