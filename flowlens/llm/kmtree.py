@@ -8,7 +8,8 @@
 * Leaf visits are widened until the recall is calibrated: ``CALIBRATION`` queries are
   compared exactly with every row, the visits each true neighbour needs are read off its
   leaf's rank in that query's visiting order, and every query visits as many leaves as
-  reach ``RECALL`` on them.
+  reach ``RECALL`` on them. A query whose leaves hold fewer candidates than asked for goes
+  on until they do.
 * Visited (query, leaf) pairs meet the leaf's vectors in blocks: a leaf with more than
   ``BLOCK`` rows is dealt over several blocks, so a leaf that holds a third of all rows is
   many small groups. Scores are exact cosines of the original vectors in double precision.
@@ -129,10 +130,11 @@ class Tree:
                     todo.append((child, mine))
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of one unit query in best-bin-first order."""
-        queue, order, out = [(0.0, 0, 0)], 1, []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves of one unit query in best-bin-first order, and more of them
+        until they hold ``need`` rows (``rows``: rows of each leaf)."""
+        queue, order, out, held = [(0.0, 0, 0)], 1, [], 0
+        while queue and (len(out) < most or held < need):
             _, _, at = heapq.heappop(queue)
             while at >= 0:
                 centres, children = self.nodes[at]
@@ -144,6 +146,7 @@ class Tree:
                         order += 1
                 at = children[best]
             out.append(-1 - at)
+            held += 0 if rows is None else int(rows[-1 - at])
         return out
 
 
@@ -243,20 +246,28 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
 
 def search(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
-    """Best ``k`` over the ``visits`` nearest leaves of each query.
+    """Best ``k`` over the ``visits`` nearest leaves of each query, or over more until they
+    hold ``k`` rows besides those of the query's own id.
 
     A leaf's rows are dealt over blocks of about ``BLOCK`` rows by a hash, its queries over
     blocks of about ``QUERY_BLOCK``; each (leaf, row block, query block) is one group.
     """
+    counts = index.groupBy("leaf").agg(F.count("*").alias("n")).toPandas()   # one row per leaf
+    held = np.zeros(tree.leaves, np.int64)
+    held[counts["leaf"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    copies = (index.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id")
+              .agg(F.count("*").alias("copies")))
+
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch["v"])
-            lists = [tree.visits(q, visits) for q in unit(x)] if len(x) else []
+            lists = [tree.visits(q, visits, held, k + own) for q, own in zip(
+                unit(x), batch["copies"].to_pylist(), strict=True)] if len(x) else []
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["v"], pa.array(lists, pa.list_(pa.int64()))],
                 names=["id", "v", "leaves"])
 
-    spread = queries.repartition(C.tasks_of(index.sparkSession))
+    spread = queries.join(copies, "id").repartition(C.tasks_of(index.sparkSession))
     plan = C.staged(spread.mapInArrow(visited, "id long, v array<double>, leaves array<bigint>"),
                     "visits")
     asked = plan.select("id", "v", F.explode("leaves").alias("leaf"))

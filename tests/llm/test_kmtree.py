@@ -74,6 +74,20 @@ def test_tree_visits_every_leaf_once():
     assert tree.route(x[:50]).tolist() == [tree.visits(q, 1)[0] for q in x[:50]]
 
 
+def test_visits_widen_until_there_are_enough_candidates(spark):
+    """One leaf a row and many copies of a query's own id: one visit holds too little."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist())] * 12
+    index = spark.createDataFrame(rows, "id long, v array<double>")
+    tree = K.Tree.fit(K.unit(x), 4, 1)
+    leaf = dict(enumerate(tree.route(K.unit(x)).tolist()))
+    index = index.withColumn("leaf", F.element_at(F.create_map(
+        *[F.lit(y) for i, n in leaf.items() for y in (i, n)]), F.col("id").cast("int")).cast("long"))
+    got = K.search(index, index.where("id % 50 = 0").select("id", "v").distinct(), tree, 1, 5).collect()
+    assert {q: sum(r.query_id == q for r in got) for q in (0, 50, 100, 150)} == dict.fromkeys((0, 50, 100, 150), 5)
+
+
 def test_recall_on_the_given_table(spark):
     sf = "/root/testdata/sf0.1"
     out = K.query(spark, sf).toPandas()
