@@ -136,11 +136,11 @@ def write_shards(df: DataFrame, path: str, limit: int = LIMIT_BYTES, id_col: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: shard of every document."""
-    return (shards(C.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
-            .drop("page"))
+    """op6: shard and page of every document."""
+    return shards(C.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+# Rows of a bucket above the limit are equal, so any numbering of them gives the same rows.
 ORACLE_SQL = f"""
 WITH p AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
                   md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS h FROM documents),
@@ -153,6 +153,9 @@ kept AS MATERIALIZED (
   SELECT s.shard, s.d, s.shard_bytes, s.shard_rows
   FROM s LEFT JOIN s a ON a.d = s.d - 1 AND a.shard = left(s.shard, s.d - 1)
   WHERE (s.shard_bytes <= {LIMIT_BYTES} OR s.d = {HASH_BITS}) AND (s.d = 0 OR a.shard_bytes > {LIMIT_BYTES}))
-SELECT b.doc_id, b.n_bytes, kept.shard, kept.d::INTEGER AS depth, kept.shard_bytes, kept.shard_rows
+SELECT b.doc_id, b.n_bytes, kept.shard, kept.d::INTEGER AS depth,
+       CASE WHEN kept.shard_bytes <= {LIMIT_BYTES} THEN 0 ELSE (row_number() OVER (PARTITION BY kept.shard) - 1)
+            // greatest(1, {LIMIT_BYTES} // greatest(b.n_bytes, 1)) END::INTEGER AS page,
+       kept.shard_bytes, kept.shard_rows
 FROM b JOIN kept ON starts_with(b.bits, kept.shard)
 """
