@@ -13,6 +13,7 @@ import time
 from pyspark.sql import functions as F
 
 from flowlens.operators import boosting as B
+from flowlens.operators import bootstrap as BS
 from flowlens.operators import ensemble as M
 from flowlens.operators import explain as X
 from flowlens.operators import profile as P
@@ -305,6 +306,22 @@ def tree_shapley_sums(spark, sf):
                        (F.abs(total - F.col("probability")[1]) < 1e-9).alias("adds_up"))
 
 
+_DRAWN_SQL = " + ".join(f"CAST(u >= {x!r}e0 AS INTEGER)" for x in BS.LIMITS)
+
+
+@register("bootstrap_weights", f"""
+WITH r AS (SELECT label, t.tree::INTEGER AS tree,
+             ('0x' || substr(md5(vec_id::VARCHAR || ':' || t.tree::VARCHAR), 1, 13))::UBIGINT::DOUBLE / 4503599627370496e0 AS u
+           FROM embeddings, range(100) t(tree) WHERE vec_id IS NOT NULL AND label IS NOT NULL),
+c AS (SELECT tree, label, CAST(sum({_DRAWN_SQL}) AS BIGINT) AS n_rows FROM r GROUP BY tree, label)
+SELECT tree, label, n_rows, sum(n_rows) OVER (PARTITION BY tree) / (count(*) OVER (PARTITION BY tree) * n_rows) AS weight
+FROM c WHERE n_rows > 0
+""")
+def bootstrap_weights(spark, sf):
+    """Class weights within each of the 100 bootstraps of a forest."""
+    return BS.class_weights(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label", 100)
+
+
 @register("local_surrogate")
 def local_surrogate(spark, sf):
     """Weighted ridge around each row (5000 hashed perturbations, the library's
