@@ -329,3 +329,13 @@ def test_stream_append_mode_emits_closed_flows_only(spark, tmp_path):
     a = [tuple(r) for r in got.select(*cols).collect()]
     assert a and set(a) <= b           # every emitted flow is final and equals its batch twin
     assert len(a) < len(b)             # flows still open at the end are held back
+
+
+def test_smote_of_empty_and_unlabelled_tables(spark):
+    """No rows give no rows; rows without a label or vector are kept and never copied from."""
+    schema = "id long, label double, arr array<double>"
+    assert SM.smote(spark.createDataFrame([], schema), "id", "label", "arr").count() == 0
+    rows = [(1, None, [0.0]), (2, 1.0, None), (3, 1.0, [1.0]), (4, 1.0, [2.0]), (5, 0.0, None)]
+    got = SM.smote(spark.createDataFrame(rows, schema), "id", "label", "arr").collect()
+    assert sorted(r.id for r in got if r.copy < 0) == [1, 2, 3, 4, 5]
+    assert [(r.id, r.arr) for r in got if r.copy >= 0] == [(5, None), (5, None)]
