@@ -63,6 +63,11 @@ def fmt2(c: Column) -> Column:
     return F.format_string("%.2f", c)
 
 
+def value_text(c: Column, type_name: str) -> Column:
+    """F6 by the column's type: floats as '%.2f', integers and other values as they are, null as null."""
+    return F.when(c.isNotNull(), fmt2(c) if type_name in ("float", "double") else c.cast("string"))
+
+
 def prettify(c: Column) -> Column:
     """'_' -> ' ' then title case: a letter after a non-letter is upper, the rest lower."""
     runs = F.regexp_extract_all(F.lower(F.regexp_replace(c, "_", " ")), F.lit(r"(\p{L}+|\P{L}+)"), 1)

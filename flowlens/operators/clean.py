@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions import fixed
+from flowlens.functions.scalar import value_text
 
 INF = float("inf")
 
@@ -130,6 +131,14 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
         list(ids), list(cols), name_col, value_col)
 
 
+def unpivot_text(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
+                 name_col: str = "feature", value_col: str = "value_text") -> DataFrame:
+    """P18 + F6: row -> (feature, text) rows, each value formatted by its own column's type."""
+    types = dict(df.dtypes)
+    return df.select(*ids, *[value_text(F.col(c), types[c]).alias(c) for c in cols]).unpivot(
+        list(ids), list(cols), name_col, value_col)
+
+
 def pad_results(frames: Sequence[DataFrame], feature_cols: Sequence[str],
                 model_cols: Sequence[str], fill: str | None = "N/A") -> DataFrame:
     """Union result records with different columns; order features, then sorted

@@ -266,3 +266,15 @@ def feature_values(spark, sf):
     f = S.line_flows(spark, sf)
     return C.unpivot_long(f, S.LINE_KEY, _VALUE_COLS).select(
         *S.LINE_KEY, "feature", X.fmt2(F.col("value")).alias("value_text"))
+
+
+@register("feature_values_typed", f"""
+SELECT {KEY}, 'supplier' AS feature, CAST(l_suppkey AS VARCHAR) AS value_text FROM lineitem
+UNION ALL SELECT {KEY}, 'flag', l_returnflag FROM lineitem
+UNION ALL SELECT {KEY}, 'discount', printf('%.2f', l_discount) FROM lineitem
+""")
+def feature_values_typed(spark, sf):
+    """P18 + F6: integers and texts as they are, floats with 2 decimals."""
+    li = S.lineitem(spark, sf).select(*S.LINE_KEY, F.col("l_suppkey").alias("supplier"),
+                                      F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("discount"))
+    return C.unpivot_text(li, S.LINE_KEY, ["supplier", "flag", "discount"])
