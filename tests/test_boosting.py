@@ -144,3 +144,24 @@ def test_workflow_takes_null_labels_out_of_the_fit(spark):
     df = spark.createDataFrame(rows, "k string, label string, a double, b double")
     models, metrics = W.train_models(df, "k", "label", ["a", "b"], small=True, substring_rules=[], mapping={}, excluded=[])
     assert set(models) == {"Random Forest", "GBM"} and metrics.count() == 2
+
+
+def test_small_nodes_get_no_histogram(monkeypatch):
+    """Nodes too small for two children are leaves at once, and the last level needs no histograms: the same trees
+    from far fewer bins (one node of a level before: features x bins)."""
+    x, y = cloud(300, noise=2.0, seed=2)
+    codes, seen, count = B.binned(x, B.bin_edges(x)), [], np.bincount
+
+    def bincount(a, weights=None, minlength=0):
+        seen.append(minlength)
+        return count(a, weights, minlength)
+
+    monkeypatch.setattr(B.np, "bincount", bincount)
+    found = B.fit_codes(codes, y, np.ones(300), 3, B.Settings(rounds=1, depth=8, min_rows=40))
+    nodes = found["rounds"][0]
+    assert max(seen) <= len(nodes["feature"]) * B.BINS and (nodes["feature"] >= 0).sum() > 3
+    at = np.tile(np.arange(3), (300, 1))
+    while (nodes["feature"][at] >= 0).any():
+        f = nodes["feature"][at]
+        at = np.where(f >= 0, nodes["left"][at] + (codes[np.arange(300)[:, None], np.maximum(f, 0)] > nodes["cut"][at]), at)
+    assert min(count(at[:, k])[np.unique(at[:, k])].min() for k in range(3)) >= 40
