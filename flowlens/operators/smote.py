@@ -14,7 +14,10 @@ class-wide self join:
 4. other rings: a tile or ring is visited only if the triangle inequality leaves room for a
    point within r: no point nearer than |d(seed, pivot) - ring|, none across the plane half
    way to another pivot. (class, tile, ring) is the join key; a pair of blocks is one task's
-   group of bounded size.
+   group of bounded size;
+5. groups: where that leaves much of a class open (many dimensions), rings of neighbouring tiles
+   are visited together, so that a seed is sent to a few groups and not to each of its tiles. A
+   group has a quarter of the points that a seed of the class has to visit, at most a block.
 
 Only rows of classes that need new rows are read, and only points that are copied are seeds.
 Rows without a label, and rows whose vector is null, of another length than most, or holds a
@@ -39,7 +42,8 @@ from flowlens.operators.windows import hash_rank
 from flowlens.session import cut_lineage
 
 SEED = 42
-TILE_ROWS = 2000      # points of one block, seeds of one block
+TILE_ROWS = 2000      # points of one ring; blocks of points or seeds that meet have at most BLOCK times as many
+BLOCK = 4
 PIVOT_BYTES = 32 << 20  # all pivots together (they are broadcast)
 BINS = 1024           # steps of a tile's distance histogram, cut into rings
 MAX_CLASSES = 10_000
@@ -134,12 +138,38 @@ def rings(index: DataFrame) -> DataFrame:
     return large.join(cut, ["__c", "__tile", "__bin"]).drop("__bin")
 
 
+def pivot_order(pivots: np.ndarray) -> np.ndarray:
+    """Places of the pivots in an order that keeps near ones together: halved again and again at the median
+    of the coordinate with the widest spread."""
+    out, todo = [], [np.arange(len(pivots))]
+    while todo:
+        mine = todo.pop()
+        if len(mine) <= 2:
+            out += mine.tolist()
+            continue
+        x = pivots[mine]
+        order = mine[x[:, np.ptp(x, axis=0).argmax()].argsort(kind="stable")]
+        todo += [order[len(order) // 2:], order[:len(order) // 2]]
+    return np.array(out).argsort()
+
+
+def ring_groups(spread: DataFrame, pivots: dict[int, np.ndarray], visited: dict[int, float]) -> DataFrame:
+    """(ring key, group): rings in the order of their pivots, together as far as a group has at most a quarter
+    of the points ``visited`` by a seed of the class."""
+    rows = [(c, t, int(place), max(1.0, min(BLOCK * TILE_ROWS, visited.get(c, 0.0) / 4)))
+            for c, p in pivots.items() for t, place in enumerate(pivot_order(p))]       # one row per pivot
+    places = spread.sparkSession.createDataFrame(rows, "__c int, __tile int, place int, most double")
+    so_far = Window.partitionBy("__c").orderBy("place", "__ring").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.floor((F.sum("n").over(so_far) - F.col("n")) / F.col("most")).cast("int")
+    return spread.join(F.broadcast(places), ["__c", "__tile"]).select(*RING, start.alias("group"))
+
+
 def nearest_in_rings(ask: DataFrame, index: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """(p, q, q_m, d): the ``k`` nearest other points of each seed in each (ring, block) it asks.
 
     ``ask``: (__pid, __arr, ring key), ``sizes``: (ring key, blocks). Points are dealt over
-    their ring's blocks, seeds over blocks of ``TILE_ROWS``."""
-    asked = ask.groupBy(*RING).agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("seed_blocks"))
+    their ring's blocks, seeds over blocks of ``BLOCK`` x ``TILE_ROWS``."""
+    asked = ask.groupBy(*RING).agg(F.ceil(F.count("*") / (BLOCK * TILE_ROWS)).cast("int").alias("seed_blocks"))
     sizes = cut_lineage(sizes.select(*RING, "blocks").join(asked, RING))
     slot = F.xxhash64(F.lit(SEED), "__pid")
     names = [f"seed{c}" for c in RING]   # the seeds are rows of the index: names of their own
@@ -178,7 +208,7 @@ def nearest_in_rings(ask: DataFrame, index: DataFrame, sizes: DataFrame, k: int)
 
 
 def open_tiles(seeds: DataFrame, pivots: dict[int, np.ndarray], spans: dict[int, tuple], k: int) -> DataFrame:
-    """(__c, __pid, __arr, own, r, __tile, dt) of every tile that may hold a point within the
+    """(__c, __pid, own, own_ring, r, __tile, dt) of every tile that may hold a point within the
     seed's radius; ``spans``: class -> (smallest, largest distance, rows) of its tiles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,12 +241,12 @@ def open_tiles(seeds: DataFrame, pivots: dict[int, np.ndarray], spans: dict[int,
                     s, t = np.nonzero(keep)
                     rows_of = pa.array(part[s])
                     yield pa.RecordBatch.from_arrays(
-                        [batch["__c"].take(rows_of), batch["__pid"].take(rows_of), batch["__arr"].take(rows_of),
+                        [batch["__c"].take(rows_of), batch["__pid"].take(rows_of),
                          pa.array(own[part][s]), batch["__ring"].take(rows_of), pa.array(r[s]),
                          pa.array(t.astype(np.int32)), pa.array(d[s, t])],
-                        names=["__c", "__pid", "__arr", "own", "own_ring", "r", "__tile", "dt"])
+                        names=["__c", "__pid", "own", "own_ring", "r", "__tile", "dt"])
     return seeds.select("__c", "__pid", "__m", "__arr", "__tile", "__ring", "__dp", "r").mapInArrow(
-        run, "__c int, __pid long, __arr array<double>, own int, own_ring int, r double, __tile int, dt double")
+        run, "__c int, __pid long, own int, own_ring int, r double, __tile int, dt double")
 
 
 def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k: int = 5,
@@ -245,7 +275,7 @@ def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k
     index = cut_lineage(rings(tiles(pts, pivots)))
     spread = index.groupBy(*RING).agg(F.count("*").alias("n"), F.sum("__m").alias("rows"),
                                       F.min("__dp").alias("lo"), F.max("__dp").alias("hi"))
-    spread = cut_lineage(spread.withColumn("blocks", F.ceil(F.col("n") / TILE_ROWS).cast("int")))
+    spread = cut_lineage(spread.withColumn("blocks", F.ceil(F.col("n") / (BLOCK * TILE_ROWS)).cast("int")))
     spans = {c: (np.full(len(p), np.inf), np.full(len(p), -np.inf), np.zeros(len(p), np.int64))
              for c, p in pivots.items()}
     for r in spread.groupBy("__c", "__tile").agg(      # one row per pivot
@@ -261,13 +291,27 @@ def same_class_neighbours(df: DataFrame, key: str, label: str, array_col: str, k
     so_far = Window.partitionBy("p").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, 0)
     radius = near.join(own, near["p"] == own["__pid"]).withColumn("rows", F.sum("q_m").over(so_far) + F.col("__m") - 1) \
         .groupBy("p").agg(F.min(F.when(F.col("rows") >= k, F.col("d"))).alias("r"))
-    asking = searching.join(radius, searching["__pid"] == radius["p"], "left").drop("p")
-    ask = open_tiles(asking, pivots, spans, k).join(
-        spread.select(*RING, "lo", "hi"), ["__c", "__tile"]).where(
-        ~((F.col("__tile") == F.col("own")) & (F.col("__ring") == F.col("own_ring")))
-        & (F.col("dt") - F.col("r") <= F.col("hi")) & (F.col("dt") + F.col("r") >= F.col("lo")))
-    ask = cut_lineage(ask.select("__pid", "__arr", *RING))
-    allp = near.unionByName(nearest_in_rings(ask, index, spread, k))
+    asking = cut_lineage(searching.join(radius, searching["__pid"] == radius["p"], "left").drop("p"))
+
+    def opened(of_rings: DataFrame) -> DataFrame:
+        """The rings, with the columns of ``of_rings``, that each seed has to visit besides its own."""
+        return join_small(open_tiles(asking, pivots, spans, k), of_rings, ["__c", "__tile"]).where(
+            ~((F.col("__tile") == F.col("own")) & (F.col("__ring") == F.col("own_ring")))
+            & (F.col("dt") - F.col("r") <= F.col("hi")) & (F.col("dt") + F.col("r") >= F.col("lo")))
+
+    bounds = spread.select(*RING, "lo", "hi", "n")
+    seeds_of = {r[0]: r[1] for r in asking.groupBy("__c").count().collect()}           # one row per class
+    visited = {r[0]: r[1] / seeds_of[r[0]] for r in opened(bounds).groupBy("__c").agg(F.sum("n")).collect()}
+    group = cut_lineage(ring_groups(spread, pivots, visited))
+    together = [F.col("__c"), F.col("group").alias("__tile"), F.lit(0).alias("__ring")]   # a group stands as one ring
+    ask = opened(bounds.join(group, RING)).select("__pid", *together).distinct()
+    ask = cut_lineage(ask.join(searching.select("__pid", "__arr"), "__pid"))
+    sizes = spread.join(group, RING).select(*together, "n").groupBy(*RING).agg(F.sum("n").alias("n"))
+    sizes = cut_lineage(sizes.withColumn("blocks", F.ceil(F.col("n") / (BLOCK * TILE_ROWS)).cast("int")))
+    grouped = join_small(index, group, RING).select("__pid", "__m", "__arr", *together)
+    # a group may hold the seed's own ring as well
+    allp = near.unionByName(nearest_in_rings(ask, grouped, sizes, k)).groupBy("p", "q").agg(
+        F.first("q_m").alias("q_m"), F.first("d").alias("d"))
 
     fw = Window.partitionBy("p").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, -1)
     first = Window.partitionBy("p").orderBy("d", "q")
