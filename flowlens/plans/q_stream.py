@@ -93,7 +93,7 @@ def flow_model(spark, sf):
     from flowlens.streaming import score as SC
     from flowlens.plans.q_ml import _cached
     def fit():
-        lf = S.line_flows(spark, sf)
+        lf = SC.spread_rows(S.line_flows(spark, sf), S.LINE_KEY)
         return SC.with_label_text(SC.flow_pipeline(SC.SCORE_FEATURES, "l_returnflag").fit(lf))
     return _cached(spark, ("flow_model", sf), fit)
 
