@@ -21,6 +21,7 @@ are read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,19 +44,34 @@ TOLERANCE = 1e-9
 GAP = 2e-4
 #: The vocabulary's own pattern, for lower-cased texts of plain Latin characters.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+# fixed values: how a vocabulary file cuts texts that ``PIECES`` cuts alike, and how it marks the end of a word
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True}
+WORD_END = "</w>"
 
 
 class Ids:
     """Token ids of texts, as the tokenizers library gives them; ids of words are kept."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        parts = [json.loads(p.__getstate__()) if p else {} for p in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        if (parts[0].get("normalizers"), parts[1].get("pretokenizers", [])[:1]) != (NORMAL, [SPLIT]):
+            raise ValueError("the pattern of words and that of the vocabulary file differ")
+        # the same model for words that are cut and lower-cased already
+        self.learner = Tokenizer(self.tokenizer.model)
+        self.learner.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -65,12 +81,12 @@ class Ids:
         out = {}
         for at in range(0, len(words), 4096):
             some = words[at:at + 4096]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            edge = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
-            if edge[-1] != len(ids) or found.word_ids[-1] != len(some) - 1:
+            ids = np.array(self.learner.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edge = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(edge) != len(some) or edge[-1] != 4 * len(ids):
                 raise ValueError("words of the pattern and of the vocabulary file differ")
-            out |= {w: ids[a:b].tobytes() for w, a, b in zip(some, edge, edge[1:], strict=False)}
+            raw, edge = ids.tobytes(), [0, *edge.tolist()]
+            out.update(zip(some, [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)], strict=True))
         return out
 
     def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -78,8 +94,8 @@ class Ids:
         cut = [None if UNUSUAL.search(t) or any(s in t for s in self.special)
                else PIECES.findall(t.lower()) for t in texts]
         used = set().union(*(x for x in cut if x))
-        if len(self.words) > KEEP_WORDS:
-            self.words.clear()
+        if len(self.words) > KEEP_WORDS:              # words of this slice stay
+            self.words = {w: v for w in used if (v := self.words.get(w))}
         new = self._learn(list(used.difference(self.words)))
         table = self.words | new if len(new) > KEEP_WORDS else self.words
         table.update((w, v) for w, v in new.items() if table is not self.words or len(w) <= KEEP_LENGTH)

@@ -52,6 +52,16 @@ def test_encoding_equals_the_library(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_in_use_stay_when_the_kept_ones_are_too_many(library, monkeypatch):
+    """Words are encoded without the file's own splitting, and those of the slice outlast the others."""
+    monkeypatch.setattr(K, "KEEP_WORDS", 4)
+    ids, learnt = K.Ids(PATH), []
+    monkeypatch.setattr(ids, "_learn", lambda words, learn=ids._learn: learnt.append(sorted(words)) or learn(words))
+    for text in ("one two three", "two İ's", "two --'s ǅ"):
+        assert next(iter(ids.encoded([text]))).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert "two" in learnt[0] and "two" not in learnt[1] + learnt[2]
+
+
 @pytest.mark.parametrize("demand", [{}, {256: 3}, {1: 700}, {100: 1}, {85: 10, 86: 10, 170: 5}, {129: 4, 128: 9, 127: 1}])
 def test_patterns_use_up_the_demand(demand):
     found, used = K.solve_patterns(demand, 256), {}
