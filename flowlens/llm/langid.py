@@ -103,7 +103,7 @@ def count_grams(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
             counts.clear()
 
         for batch in batches:
-            for part in C.text_slices(batch, "text", C.SLICE_BYTES):
+            for part in C.text_slices(batch, "text", C.PIECE_BYTES):
                 langs = np.array(part["lang"].to_pylist())
                 w = words_of([t.lower() for t in part["text"].to_pylist()])
                 per_word = np.repeat(np.arange(len(langs)), np.diff(w["bounds"]))
@@ -199,8 +199,8 @@ def identify(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans
         n = len(texts)
         pred, share, found = np.full(n, "und", object), np.zeros(n), [[] for _ in range(n)]
         scores, letters, bounds, starts, ends, at = [], [], [np.zeros(1, np.int64)], [], [], 0
-        while at < n:                      # trigrams of a few MB at a time, words of the whole group
-            stop, room = at, C.SLICE_BYTES
+        while at < n:                      # trigrams of a piece at a time, words of the whole group
+            stop, room = at, C.PIECE_BYTES
             while stop < n and (stop == at or room > 0):
                 room -= len(texts[stop])
                 stop += 1

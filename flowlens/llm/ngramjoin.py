@@ -111,14 +111,16 @@ def classes_of(df: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.text_slices(batch, "text"):
-                key, edges, name, check = shingle_sets(part, size, salt)
+                sets = [shingle_sets(piece, size, salt) for piece in C.text_slices(part, "text", C.PIECE_BYTES)]
+                key, count, name, check = (np.concatenate(x) for x in zip(*(
+                    (key, np.diff(edges), name, check) for key, edges, name, check in sets), strict=True))
                 n = part.num_rows
                 found, times = np.unique(key, return_counts=True)
                 hot = times >= max(8, len(key) // HOT_SHARE)
                 m = int(hot.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([part["id"], pa.nulls(m, part["id"].type)]),
-                     pa.array(np.concatenate([np.diff(edges), np.full(m, -1)])),
+                     pa.array(np.concatenate([count, np.full(m, -1)])),
                      pa.array(np.concatenate([name, np.zeros(m, np.int64)])),
                      pa.array(np.concatenate([np.zeros(n, np.int64), found[hot].astype(np.int64)])),
                      pa.array(np.concatenate([np.zeros(n, np.int64), times[hot]])),
@@ -199,7 +201,7 @@ def shared_codes(df: DataFrame, hot: dict[str, np.ndarray], buckets: int, size:
         for batch in batches:
             for part in C.text_slices(batch, "text", GROUP_BYTES):
                 keys, names, totals = [], [], []
-                for piece in C.text_slices(part, "text"):
+                for piece in C.text_slices(part, "text", C.PIECE_BYTES):
                     key, edges, name, _ = shingle_sets(piece, size, salt)
                     fresh = np.zeros(len(name), bool)
                     for i in np.flatnonzero(name):        # a class once per task

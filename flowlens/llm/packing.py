@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlens.llm import common as C
-from flowlens.llm.bpe import DIGITS, KEEP_LENGTH, KEEP_WORDS, LETTERS, UNUSUAL
+from flowlens.llm.bpe import DIGITS, KEEP_LENGTH, LETTERS, UNUSUAL
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 SIZE, STEP = 2048, 8
+#: Words kept per worker before the memory is dropped and filled anew: about 300 bytes each.
+KEEP_WORDS = 200_000
 TOLERANCE = 1e-9
 #: Column generation ends when no pattern can lower the number of sequences by this share.
 GAP = 2e-4
@@ -134,7 +136,7 @@ def cut_documents(df: DataFrame, path: str, end_id: int | None = END_ID, size: i
         seen = np.zeros(size // step + 2, np.int64)
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
-            for part in C.text_slices(batch, "text", C.SLICE_BYTES):
+            for part in C.text_slices(batch, "text", C.PIECE_BYTES):
                 made = []
                 for ids in token_ids(path).encoded([t or "" for t in part["text"].to_pylist()]):
                     ids = np.concatenate([ids, tail])

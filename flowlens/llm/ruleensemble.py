@@ -111,7 +111,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.with_text(batches):
-            for part in C.text_slices(batch, "text"):
+            for part in C.text_slices(batch, "text", C.PIECE_BYTES):
                 x = text_statistics(*C.text_bytes(part["text"]))
                 edges = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
